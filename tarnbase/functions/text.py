@@ -267,7 +267,7 @@ def is_degenerate(x: Column | str, cut_off: Column | str | bool = False, gate: i
     """Whether a model's output has run into a loop: few different characters, a short period at the end, or few different n-grams. Only outputs cut off for length, or longer than gate, are looked at."""
     t = F.right(text(x), F.lit(tail))
     chars = F.size(F.array_distinct(F.split(t, "")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (gram - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(gram)))
+    grams = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))
     cut = F.lit(cut_off) if isinstance(cut_off, bool) else _c(cut_off)
     low = F.size(F.array_distinct(grams)) < F.size(grams) * ratio
     return (text(x) != "") & (cut | (F.length(text(x)) >= gate)) & ((chars < least) | t.rlike(r"(?s)(.{1,12})\1{14}$") | low)

@@ -42,7 +42,7 @@ def rooms(messages: DataFrame, marks: DataFrame | None = None, order: str = "msg
     image = X.kind_is("ctype", X.IMAGE_KINDS)
     mixed = X.kind_is("ctype", X.MIXED_KINDS)
     t = t.withColumn("kind", F.when(image, "image").when(mixed, "mixed").when(X.kind_is("ctype", X.TEXT_KINDS), "text").otherwise("other")).where("kind <> 'other'")
-    t = t.where((F.col("kind") == "image") | ~Q.is_noise("content", rules) | ((F.col("kind") == "mixed") & Q.keep_image_of_noise("content", rules)))
+    t = t.where((F.col("kind") == "image") | ~Q.is_noise("content", rules, clean=True) | ((F.col("kind") == "mixed") & Q.keep_image_of_noise("content", rules, clean=True)))
     t = t.withColumn("epoch", X.message_epoch("message_time"))
     return W.suppress_repeats(t, ["group_name", "speaker", "content"], "epoch", order, seconds)
 

@@ -62,10 +62,10 @@ def infer_category(rows: DataFrame, tree: DataFrame, key: str, explicit: str, ta
 
 def speaker_identity(messages: DataFrame, identities: DataFrame, id_keys: list[str], name_keys: list[str], key: str) -> DataFrame:
     """Identity of the speaker by the first id key that is known, else by the first name key; the highest priority wins per key. identities: key_type (id, name), key, role, priority."""
-    best = identities.groupBy("key_type", "key").agg(F.max_by("role", F.struct("priority", "role")).alias("role"))
-    probes = [F.struct(F.lit(i).alias("ord"), F.lit("id" if c in id_keys else "name").alias("key_type"), F.col(c).cast("string").alias("key")) for i, c in enumerate([*id_keys, *name_keys])]
-    t = messages.select(key, F.explode(F.array(*probes)).alias("p")).select(key, "p.*").where("key is not null and key <> ''")
-    hit = t.join(best, ["key_type", "key"]).groupBy(key).agg(F.min_by("role", "ord").alias("role"))
+    best = identities.groupBy(F.col("key_type").alias("__kt"), F.col("key").alias("__k")).agg(F.max_by("role", F.struct("priority", "role")).alias("role"))
+    probes = [F.struct(F.lit(i).alias("ord"), F.lit("id" if c in id_keys else "name").alias("__kt"), F.col(c).cast("string").alias("__k")) for i, c in enumerate([*id_keys, *name_keys])]
+    t = messages.select(key, F.explode(F.array(*probes)).alias("p")).select(key, "p.*").where("__k is not null and __k <> ''")
+    hit = t.join(best, ["__kt", "__k"]).groupBy(key).agg(F.min_by("role", "ord").alias("role"))
     return messages.join(hit, key, "left")
 
 

@@ -52,19 +52,23 @@ def sentences(x: Column | str, end: str = SENTENCE_END) -> Column:
     return F.filter(both, lambda s: s.isNotNull())
 
 
-def windows_by_limit(x: Column | str, limit: int = 2000, overlap: int = 1, end: str = SENTENCE_END) -> Column:
-    """Runs of sentences up to a length: array of (s, e, text, overlapped), the latter with `overlap` sentences of either neighbour (none before the first). A sentence that is too long is a run of its own."""
-    sents = sentences(x, end)
+def windows_by_limit(df: DataFrame, key: str, col: str, limit: int = 2000, overlap: int = 1, end: str = SENTENCE_END) -> DataFrame:
+    """Runs of sentences up to a length: key, no, s, e, text, overlapped, the latter with `overlap` sentences of either neighbour (none before the first). A sentence that is too long is a run of its own."""
     state = F.struct(F.lit(0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
-    def step(a: Column, y: Column) -> Column:
-        full = (a["n"] + F.length(y) > limit) & (a["n"] > 0)
+    def step(a: Column, n: Column) -> Column:
+        full = (a["n"] + n > limit) & (a["n"] > 0)
         out = F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))
-        return F.when(full, F.struct(a["i"].alias("s"), (a["i"] + 1).alias("i"), F.length(y).alias("n"), out.alias("out"))).otherwise(F.struct(a["s"].alias("s"), (a["i"] + 1).alias("i"), (a["n"] + F.length(y)).alias("n"), a["out"].alias("out")))
+        return F.when(full, F.struct(a["i"].alias("s"), (a["i"] + 1).alias("i"), n.alias("n"), out.alias("out"))).otherwise(F.struct(a["s"].alias("s"), (a["i"] + 1).alias("i"), (a["n"] + n).alias("n"), a["out"].alias("out")))
 
-    runs = F.aggregate(sents, state, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["out"]))
-    cut = lambda s, e: F.array_join(F.slice(sents, s + 1, F.greatest(e - s, F.lit(0))), "")
-    return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), cut(r["s"], r["e"]).alias("text"), cut(F.greatest(r["s"] - F.when(r["s"] > 0, overlap).otherwise(0), F.lit(0)), F.least(r["e"] + overlap, F.size(sents))).alias("overlapped")))
+    t = df.select(key, sentences(col, end).alias("__s"))
+    t = t.withColumn("__n", F.transform("__s", F.length))
+    runs = F.aggregate("__n", state, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["i"].alias("e"))))).otherwise(a["out"]))
+    t = t.withColumn("__r", runs).select(key, "__s", F.posexplode("__r").alias("no", "r")).select(key, "__s", "no", "r.s", "r.e")
+    cut = lambda a, b: F.array_join(F.slice("__s", a + 1, F.greatest(b - a, F.lit(0))), "")
+    s, e = F.col("s"), F.col("e")
+    wide = cut(F.greatest(s - F.when(s > 0, overlap).otherwise(0), F.lit(0)), F.least(e + overlap, F.size("__s")))
+    return t.select(key, "no", "s", "e", cut(s, e).alias("text"), wide.alias("overlapped"))
 
 
 _CHUNKS = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
@@ -75,7 +79,7 @@ def heading_chunks(raw: str | None, chunk: int = 900, least: int = 120) -> list[
     title, _, rest = (raw or "").partition("\n\n")
     title = title.strip()
     found = list(re.finditer(r"(?m)^## (.+)$", rest))
-    parts = [(f"{title} / {m.group(1).strip()}", rest[m.end() : n.start() if n else len(rest)], True) for m, n in zip(found, [*found[1:], None], strict=True)] or [(title, rest, False)]
+    parts = [(f"{title} / {m.group(1).strip()}", rest[m.end() : n.start() if n else len(rest)], True) for m, n in zip(found, [*found[1:], None][: len(found)], strict=True)] or [(title, rest, False)]
     out: list[tuple[str, str]] = []
     for name, body, section in parts:
         body = re.sub(r"\s+", " ", body).strip()
@@ -162,11 +166,11 @@ def merge_pages(df: DataFrame, doc: str, page: str, content: str, numbers: bool
     return df.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 
 
-def translate_parts(x: Column | str, most: int = 5000, from_length: int = 6000) -> Column:
-    """Texts long enough to be translated in parts, cut at line ends."""
-    t = text(x)
-    runs = windows_by_limit(t, most, 0, r"\n+")
-    return F.when(F.length(t) >= from_length, F.transform(runs, lambda r: r["text"])).otherwise(F.array(t))
+def translate_parts(df: DataFrame, key: str, col: str, most: int = 5000, from_length: int = 6000) -> DataFrame:
+    """Texts long enough to be translated in parts, cut at line ends; others whole: key, no, text."""
+    long = F.length(text(col)) >= from_length
+    parts = windows_by_limit(df.where(long), key, col, most, 0, r"\n+").select(key, "no", "text")
+    return parts.unionByName(df.where(~long).select(key, F.lit(0).alias("no"), text(col).alias("text")))
 
 
 def parse_index_answer(x: Column | str) -> Column:
