@@ -14,8 +14,14 @@ Groups are never expanded into all pairs:
 2. In each bucket every class is compared with the bucket's smallest id.
    Confirmed links are merged into components.
 3. Buckets that now lie in one component are done. In the others, sketches of
-   different components are compared in blocks of bounded size inside the
-   worker, and only pairs that pass the sketch leave it to be confirmed.
+   different components are compared inside the worker, in blocks of bounded
+   size. From small buckets the pairs that pass leave to be confirmed; in
+   large ones the rows bring their whole sets along (as 32-bit hashes) and a
+   block intersects them itself, so only pairs that will be confirmed leave.
+
+Texts are never shuffled: a bitmap of bounded size (a Bloom filter of the ids
+that are wanted) goes to the text scan, and the few sets that come out of it
+are joined exactly.
 
 With k=128 and r=4 a pair at J=0.75 meets in some band with probability
 1 - 6e-6, and more above; the sketch cut lies over five deviations above the
@@ -37,8 +43,8 @@ from tarnbase.llm.common import connected_components, stage, text_batches
 
 SKETCH_BITS = 512
 SAMPLES, ROWS = 128, 4
-#: Rows of a block when a bucket is compared in blocks.
-BLOCK = 256
+#: Rows of a block when a bucket is compared in blocks; buckets up to SMALL are compared by sketches alone.
+BLOCK, SMALL = 256, 32
 
 
 class _Hashes(dict):
@@ -147,17 +153,41 @@ def sketches(docs: DataFrame, width: int = 5, samples: int = SAMPLES, rows: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _META)
 
 
+#: Bits of the filter of wanted ids: 16 for each id, within these bounds. Beyond, more sets than needed are made; the results stay the same.
+FILTER_BITS = (1 << 16, 1 << 28)
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of the ids, three bits each, as 64-bit words; at most 32 MB whatever their number."""
+    n = ids.count()
+    bits = min(max(FILTER_BITS[0], 1 << (16 * n).bit_length()), FILTER_BITS[1])
+    at = ids.select(F.explode(F.array(*[F.expr(f"pmod(xxhash64(id, {k}), {bits}L)") for k in range(3)])).alias("p"))
+    words = at.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, s): the whole shingle sets of the named documents."""
-    text_batches(docs.sparkSession)
+    """(id, s): the whole shingle sets of the named documents, and of a few more."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    shared = spark.sparkContext.broadcast(_wanted(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        bits = np.uint64(64 * len(wanted))
         for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                p = batch.column(2 + k).to_numpy().astype(np.uint64) % bits
+                ok &= (wanted[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(ok))
             sets = [_signed(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "id long, s array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return own.select("doc_id", "text", *[F.expr(f"pmod(xxhash64(doc_id, {k}), {FILTER_BITS[1]}L)").alias(f"h{k}") for k in range(3)]).mapInArrow(run, "id long, s array<long>")
 
 
 def _passing(pairs: DataFrame, reps: DataFrame, cut: int) -> DataFrame:
@@ -168,42 +198,66 @@ def _passing(pairs: DataFrame, reps: DataFrame, cut: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(apart <= cut).select("a", "b")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(_sets(docs, ids, width), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
-    return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    return both.where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
-def _compare_blocks(rows: DataFrame, cut: int) -> DataFrame:
-    """rows: (key, bi, bj, blk, doc, comp, sketch), sorted by (key, bi, bj). Pairs of different components whose sketches pass, group by group; a group has two blocks at most."""
+def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (i, j) of sorted sets reach the similarity: one matrix product where the block has few different members, one by one otherwise."""
+    size = np.array([len(s) for s in sets])
+    fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    got = np.zeros(len(i), np.int64)
+    members, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(members) * len(sets) <= 1 << 23 and fits.sum() > len(sets):
+        m = np.zeros((len(sets), len(members)), np.float32)
+        m[np.repeat(np.arange(len(sets)), size), at] = 1
+        got = np.rint((m @ m.T)[i, j]).astype(np.int64)
+    else:
+        for k in np.flatnonzero(fits):
+            got[k] = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+    return fits & (100 * got >= percent * (size[i] + size[j] - got))
 
-    def pairs_of(doc, comp, sk, blk, same):
+
+def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> DataFrame:
+    """rows: (key, bi, bj, blk, doc, comp, sketch[, s]), sorted by (key, bi, bj). Pairs of different components whose sketches (and, if the rows hold them, whole sets) are alike enough, group by group; a group has two blocks at most."""
+
+    def pairs_of(doc, comp, sk, blk, same, sets):
         apart = np.bitwise_count(sk[:, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64)
         ok = (apart <= cut) & (comp[:, None] != comp[None, :])
         if not same:
             ok &= blk[:, None] != blk[None, :]
         i, j = np.nonzero(np.triu(ok, 1))
+        if sets is not None and len(i):
+            good = _alike(sets, i, j, percent)
+            i, j = i[good], j[good]
         return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(cols):
-            key, bi, bj, blk, doc, comp, sk = cols
+            key, bi, bj, blk, doc, comp, sk = cols[:7]
             edge = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
             start, stop = np.r_[0, edge], np.r_[edge, len(key)]
-            n = stop - start
-            two = start[n == 2]
-            ok = (np.bitwise_count(sk[two] ^ sk[two + 1]).sum(axis=1, dtype=np.int64) <= cut) & (comp[two] != comp[two + 1])
-            ok &= (bi[two] == bj[two]) | (blk[two] != blk[two + 1])
-            two = two[ok]
-            out = [(np.minimum(doc[two], doc[two + 1]), np.maximum(doc[two], doc[two + 1]))]
-            for s, t in zip(start[n > 2], stop[n > 2], strict=True):
-                out.append(pairs_of(doc[s:t], comp[s:t], sk[s:t], blk[s:t], bi[s] == bj[s]))
+            out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            if whole:
+                rest = stop - start > 1
+            else:  # pairs are the most common group
+                rest = stop - start > 2
+                two = start[stop - start == 2]
+                ok = (np.bitwise_count(sk[two] ^ sk[two + 1]).sum(axis=1, dtype=np.int64) <= cut) & (comp[two] != comp[two + 1])
+                two = two[ok]
+                out.append((np.minimum(doc[two], doc[two + 1]), np.maximum(doc[two], doc[two + 1])))
+            for s, t in zip(start[rest], stop[rest], strict=True):
+                sets = [np.frombuffer(x, np.uint32) for x in cols[7][s:t]] if whole else None
+                out.append(pairs_of(doc[s:t], comp[s:t], sk[s:t], blk[s:t], bi[s] == bj[s], sets))
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             got = np.unique(np.stack([a, b], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
@@ -214,6 +268,8 @@ def _compare_blocks(rows: DataFrame, cut: int) -> DataFrame:
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             cols.append(batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
+            if whole:
+                cols.append(np.array([*batch.column(7).to_pylist(), None], object)[:-1])
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             key, bi, bj = cols[:3]
             last = np.flatnonzero((key != key[-1]) | (bi != bi[-1]) | (bj != bj[-1]))
@@ -227,6 +283,17 @@ def _compare_blocks(rows: DataFrame, cut: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _short(sets: DataFrame) -> DataFrame:
+    """(id, s): sets as sorted 32-bit members in bytes; too few of them collide to matter, and what they let through is confirmed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.unique(np.asarray(x, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "s"])
+
+    return sets.mapInArrow(run, "id long, s binary")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their word shingles.
 
@@ -250,18 +317,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     member = stage(spread.join(shared, "key").select("key", "doc", "lead"), "members")
 
     star = member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    links = confirm(_passing(star, reps, cut), docs, percent, width)
+    star = stage(_passing(star, reps, cut), "star")
+    links = confirm(star, stage(_sets(docs, _ends(star), width), "sets"), percent)
     comps = stage(connected_components(links), "comps")
 
     at = member.join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     at = stage(at, "at")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    left = at.join(mixed, "key").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
-    left = left.withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
-    left = left.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "doc", "comp", "sketch")
-    left = left.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    rest = confirm(_compare_blocks(left, cut).distinct(), docs, percent, width)
+    mixed = mixed.select("key", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    rows = stage(at.join(mixed, "key").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc"), "mixed")
+    small = rows.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), "doc", "comp", "sketch")
+    small = small.repartition("key").sortWithinPartitions("key")
+    near = stage(_compare_blocks(small, cut, percent, whole=False).distinct(), "near")
+    large = rows.where(F.col("c") > SMALL)
+    sets = stage(_sets(docs, _ends(near).union(large.select(F.col("doc").alias("id"))).distinct(), width), "sets")
+    large = large.join(_short(sets).withColumnRenamed("id", "doc"), "doc")
+    large = large.withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
+    large = large.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "doc", "comp", "sketch", "s")
+    large = large.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    far = _compare_blocks(large, cut, percent, whole=True)
+    rest = confirm(near.union(far).distinct(), sets, percent)
     # merge the components that the further links join
     of = comps.select("node", "component")
     ends = rest.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
