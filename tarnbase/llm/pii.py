@@ -90,9 +90,9 @@ def _terms(words: str) -> Column:
 
 
 def disclosing_terms(found: DataFrame, threshold: float = 0.95, support: int = 3, window: int = 8) -> DataFrame:
-    """(term): terms that disclose some entity of the corpus.
+    """(th, term): terms that disclose some entity of the corpus, with the hashes of the texts they stand in.
 
-    found: doc_id, text, base. A context is up to `window` words on either
+    found: text, base. A context is up to `window` words on either
     side of an entity; entities and pairs in fewer than `support` distinct
     contexts say nothing. All documents are counted.
     """
@@ -100,22 +100,31 @@ def disclosing_terms(found: DataFrame, threshold: float = 0.95, support: int = 3
     near = 24 * window
     left = F.expr(rf"split(substring(text, greatest(b.s - {near}, 0) + 1, least(b.s, {near})), '[\\x20\\x09-\\x0D]+')")
     right = F.expr(rf"split(substring(text, b.e + 1, {near}), '[\\x20\\x09-\\x0D]+')")
-    ctx = hits.select(F.concat(F.col("b.kind"), F.lit(":"), F.lower("b.m")).alias("entity"), F.expr("lower(b.m)").alias("own"), left.alias("l"), right.alias("r"))
+    entity = F.concat(F.col("b.kind"), F.lit(":"), F.lower("b.m"))
+    ctx = hits.select(entity.alias("entity"), F.xxhash64("text").alias("th"), left.alias("l"), right.alias("r"))
     ctx = ctx.withColumn("words", F.expr(f"concat(slice(l, greatest(size(l) - {window}, 1), {window + 1}), slice(r, 1, {window + 1}))"))
-    ctx = ctx.select("entity", F.xxhash64("words").alias("c"), _terms("words").alias("terms")).distinct()
-    ctx = stage(ctx, "contexts")
-    often = ctx.groupBy("entity").agg(F.count_distinct("c").alias("ne")).where(F.col("ne") >= support)
-    pairs = ctx.select("entity", "c", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("c").alias("net")).where(F.col("net") >= support)
-    pairs = stage(pairs.join(often, "entity"), "pairs")
+    ctx = ctx.groupBy("entity", F.xxhash64("words").alias("c")).agg(F.first("words").alias("words"), F.min("th").alias("th"))
+    ctx = stage(ctx.select("entity", "c", "th", _terms("words").alias("terms")), "contexts")
+    often = ctx.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
+    near_terms = ctx.select("entity", "c", "th", F.explode("terms").alias("term"))
+    pairs = near_terms.groupBy("entity", "term").agg(F.count("*").alias("net")).where(F.col("net") >= support).join(often, "entity")
+    n = found.select(F.xxhash64("text").alias("th")).distinct().count()
+
+    def share(nt: str) -> Column:
+        return F.log(F.col("net") * n / (F.col("ne") * F.col(nt))) / F.log(F.lit(float(n)) / F.col("ne"))
+
+    # texts among the contexts already bound a term's count from below, which rules out the words that stand everywhere
+    least = near_terms.groupBy("term").agg(F.count_distinct("th").alias("lo"))
+    pairs = stage(pairs.where(F.col("ne") < n).join(least, "term").where(share("lo") >= threshold).select("term", "net", "ne"), "pairs")
     terms = pairs.select("term").distinct()
     few = terms.count()
     if not few:
-        return terms
+        return found.select(F.xxhash64("text").alias("th"), F.lit("").alias("term")).limit(0)
     words = found.select(F.xxhash64("text").alias("th"), F.explode(_terms(_SPLIT)).alias("term"))
-    nt = words.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    n = found.select(F.xxhash64("text").alias("th")).distinct().count()
-    share = F.log(F.col("net") * n / (F.col("ne") * F.col("nt"))) / F.log(F.lit(float(n)) / F.col("ne"))
-    return stage(pairs.join(nt, "term").where(F.col("ne") < n).where(share >= threshold).select("term").distinct(), "terms")
+    stand = stage(words.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").distinct(), "stand")
+    nt = stand.groupBy("term").agg(F.count("*").alias("nt"))
+    told = pairs.join(nt, "term").where(share("nt") >= threshold).select("term").distinct()
+    return stage(stand.join(told, "term", "left_semi"), "told")
 
 
 def all_spans(docs: DataFrame, **options) -> DataFrame:
@@ -125,13 +134,11 @@ def all_spans(docs: DataFrame, **options) -> DataFrame:
     repeated rows each get theirs; an empty table stays empty.
     """
     found = find(docs)
-    terms = disclosing_terms(found.select("doc_id", "text", "base"), **options)
-    few = terms.count()
+    told = disclosing_terms(found.select("text", "base"), **options)
     empty = F.expr("cast(array() as array<struct<s:int,k:int,kind:string,e:int,m:string>>)")
-    if not few:
+    if told.isEmpty():
         return found.withColumn("spans", F.col("base"))
-    words = found.select(F.xxhash64("text").alias("th"), F.explode(_terms(_SPLIT)).alias("term"))
-    per = words.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("th").agg(F.collect_set("term").alias("terms"))
+    per = told.groupBy("th").agg(F.collect_set("term").alias("terms"))
     rx = F.expr(r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(transform(array_sort(terms, (a, b) -> if(length(a) <> length(b), length(b) - length(a), if(a < b, -1, if(a > b, 1, 0)))), t -> concat('\\Q', t, '\\E')), '|'), ')(?![\\p{L}\\p{N}])')")
     per = stage(per.select("th", rx.alias("__rx")), "per")
     t = found.withColumn("__th", F.xxhash64("text")).join(per, F.col("__th") == F.col("th"), "left").drop("th", "__th")
