@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SIDE, HIDDEN = 2, 16
 STRIDE, ROUNDS, BATCH = 16, 2, 512
 #: Characters of the bigram table; bounds it.
 CHARS = 400
-#: Words a worker remembers.
-REMEMBER = 300_000
+#: Tokens that are scored together; bounds a worker's memory.
+TOGETHER = 65_536
 
 
 class Lexicon:
@@ -41,51 +42,42 @@ class Lexicon:
 
     def __init__(self, words: list[str], counts: list[int], chars: dict[str, int], bigrams: np.ndarray):
         """words by falling count; bigrams: log P(next | char), 0 is the boundary, the last is any other character."""
-        self.chars, self.bigrams = chars, bigrams
-        total = max(1, sum(counts))
-        own = min(OWN, len(words))
-        shared = CLASSES - OWN - REST
-        self.word: dict[str, tuple[int, float]] = {w: (i, 0.0) for i, w in enumerate(words[:own])}
-        mass = max(1, total - sum(counts[:own]))
-        at, acc = [], 0
-        for c in counts[own:]:
-            at.append(OWN + min(shared - 1, int(acc / mass * shared)))
-            acc += c
-        sums: dict[int, int] = {}
-        for k, c in zip(at, counts[own:], strict=True):
-            sums[k] = sums.get(k, 0) + c
-        for w, k, c in zip(words[own:], at, counts[own:], strict=True):
-            self.word[w] = (k, math.log(c / sums[k]))
-
-    def look(self, w: str) -> tuple[int, float]:
-        got = self.word.get(w)
-        if got is not None:
-            return got
-        other = len(self.bigrams) - 1
-        ids = [0, *(self.chars.get(c, other) for c in w), 0]
-        lp = float(self.bigrams[ids[:-1], ids[1:]].sum()) - 12.0 * ids.count(other)
-        n = len(w)
-        return CLASSES - REST + (0 if n <= 6 else 1 if n <= 10 else 2 if n <= 15 else 3), lp
-
-
-class _Known(dict):
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon = lexicon
-
-    def __missing__(self, w: str) -> tuple[int, float]:
-        got = self.lexicon.look(w)
-        if len(self) < REMEMBER:
-            self[w] = got
-        return got
-
-
-def _tokens(text: str | None, known: _Known) -> tuple[np.ndarray, float]:
-    """Classes of the words of a whole text and the sum of log P(word | class)."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, np.int64), 0.0
-    cls, lp = zip(*map(known.__getitem__, words), strict=True)
-    return np.array(cls, np.int64), math.fsum(lp)
+        self.ids = {w: i for i, w in enumerate(words)}
+        own, shared = min(OWN, len(words)), CLASSES - OWN - REST
+        n = np.array(counts, np.float64)
+        tail = n[own:]
+        before = np.cumsum(tail) - tail
+        at = OWN + np.minimum(shared - 1, before / max(1.0, tail.sum()) * shared).astype(np.int64)
+        sums = np.bincount(at, weights=tail, minlength=CLASSES)
+        #: The last entry stands for words that have none.
+        self.classes = np.r_[np.arange(own), at, 0].astype(np.int64)
+        self.within = np.r_[np.zeros(own), np.log(np.maximum(tail, 1) / np.maximum(sums[at], 1)), 0.0]
+        other = len(bigrams) - 1
+        self.letters = np.full(0x110000, other, np.int16)
+        self.letters[32] = 0
+        for c, k in chars.items():
+            self.letters[ord(c)] = k
+        self.bigrams = bigrams.copy()
+        self.bigrams[:, other] -= 12.0  # one of very many characters
+
+    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray]:
+        """Words of a whole text and their numbers, -1 for those without."""
+        words = text.lower().split() if text else []
+        return words, np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+
+    def class_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
+        """Classes; words without a number have one by their length."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        return np.where(ids >= 0, self.classes[ids], CLASSES - REST + (n > 6) + (n > 10) + (n > 15))
+
+    def spelled(self, words: list[str], ids: np.ndarray) -> float:
+        """Sum of log P(word | class): by frequency, or letter by letter."""
+        total = float(self.within[ids[ids >= 0]].sum())
+        rare = [words[i] for i in np.flatnonzero(ids < 0)]
+        if rare:
+            c = self.letters[np.frombuffer(f" {' '.join(rare)} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+            total += float(self.bigrams[c[:-1], c[1:]].sum())
+        return total
 
 
 def _context(cls: np.ndarray) -> np.ndarray:
@@ -125,6 +117,18 @@ def class_logprob(w: Weights, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
+def document_sums(w: Weights, docs: list[np.ndarray]) -> np.ndarray:
+    """Summed class log-probabilities of several documents, scored together; each sees only its own words."""
+    edge = np.full(SIDE, CLASSES)
+    whole = np.concatenate([x for d in docs for x in (edge, d)] + [edge])
+    at = np.concatenate([np.arange(len(d)) + o for d, o in zip(docs, np.cumsum([SIDE] + [len(d) + SIDE for d in docs[:-1]]), strict=True)]).astype(np.int64)
+    lp = np.zeros(len(at))
+    for i in range(0, len(at), 4096):
+        rows = at[i : i + 4096]
+        lp[i : i + 4096] = class_logprob(w, np.stack([whole[rows + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), whole[rows])
+    return np.array([x.sum() for x in np.split(lp, np.cumsum([len(d) for d in docs])[:-1])])
+
+
 def sgd(w: Weights, grads: Weights, ctx: np.ndarray, cls: np.ndarray, rate: float = 0.08) -> None:
     """One Adagrad step, in place; grads holds the squared sums."""
     n = len(cls)
@@ -191,12 +195,12 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STR
         begin = _pack(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, begin: bytes = begin) -> Iterator[pa.RecordBatch]:
-            known, w = _Known(shared.value), _unpack(begin)
+            lex, w = shared.value, _unpack(begin)
             past = tuple(np.full_like(x, 1e-3) for x in w)
             seen, ctxs, goals, held = 0, [], [], 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    cls, _ = _tokens(text, known)
+                    cls = lex.class_of(*lex.tokens(text))
                     at = np.arange((seen + turn * stride // max(1, rounds)) % stride, len(cls), stride)
                     seen += len(cls)
                     if len(at):
@@ -233,14 +237,25 @@ def score(docs: DataFrame, lex: Lexicon, weights: Weights) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, w = shared.value
-        known = _Known(lex)
         for batch in batches:
-            pll, n = [], []
-            for text in batch.column(1).to_pylist():
-                cls, own = _tokens(text, known)
-                n.append(len(cls))
-                pll.append(own + float(class_logprob(w, _context(cls), cls).sum(dtype=np.float64)) if len(cls) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.round(pll, 4), pa.float64())], names=["doc_id", "n_tokens", "pll"])
+            pll, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            rows, held = [], []
+
+            def close(rows=rows, held=held, pll=pll) -> None:
+                if held:
+                    pll[rows] += document_sums(w, held)
+                rows.clear(), held.clear()
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words, ids = lex.tokens(text)
+                n[i] = len(words)
+                if words:
+                    pll[i] = lex.spelled(words, ids)
+                    rows.append(i), held.append(lex.class_of(words, ids))
+                    if sum(map(len, held)) >= TOGETHER:
+                        close()
+            close()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(pll, 4))], names=["doc_id", "n_tokens", "pll"])
 
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, pll double")
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
