@@ -10,129 +10,164 @@ posterior at the mean word, so that long texts do not all score 1.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import text_batches
+from tarnbase.llm.common import stage, text_batches
 
-#: Rows per language that the model is fitted on, at most: those of the smallest hashes of doc_id, so the choice needs no order of input.
+#: Rows per language that the model is fitted on, about; which ones, a hash of doc_id says.
 FIT_ROWS = 1500
 #: Entries of the word table and of each n-gram table, at most: the most frequent, ties by code point.
 TABLE = 60_000
 GRAMS = (4, 3, 2, 1)
-BACKOFF, FLOOR = 0.4, -14.0
+BACKOFF, FLOOR = math.log(0.4), -14.0
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words a worker remembers the scores of.
-REMEMBER = 300_000
+#: Words that are scored together; bounds a worker's memory.
+TOGETHER = 100_000
+
+
+def _padded(w: str) -> str:
+    """A word between its ends, four characters at least."""
+    return f"\x02{w}\x03" if len(w) > 1 else f"\x02{w}\x03\x03"
+
+
+def _codes(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n characters from each place."""
+    out = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ (chars[at + k] + np.uint64(0x632BE59BD9B4E019))
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Model:
     """Per-language log frequencies of words and character n-grams."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams = langs, words, grams
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.words.get(w)
-        return got if got is not None else self._back(f"\x02{w}\x03")
-
-    def _back(self, w: str) -> np.ndarray:
-        total, used = np.zeros(len(self.langs)), 0
-        n = GRAMS[0]
-        for i in range(max(1, len(w) - n + 1)):
-            total += self._gram(w[i : i + n], 0)
-            used += 1
-        return total / used + np.log(BACKOFF)
-
-    def _gram(self, g: str, depth: int) -> np.ndarray:
-        while depth < len(GRAMS):
-            n = GRAMS[depth]
-            parts = [g[i : i + n] for i in range(max(1, len(g) - n + 1))] if len(g) >= n else []
-            hits = [x for x in (self.grams[n].get(p) for p in parts) if x is not None]
-            if hits:
-                return np.mean(hits, axis=0) + depth * np.log(BACKOFF)
-            depth += 1
-        return np.full(len(self.langs), FLOOR)
+        self.langs = langs
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.rows = np.array(list(words.values()), np.float64).reshape(-1, len(langs))
+        self.keys, self.gram_rows = {}, {}
+        with np.errstate(over="ignore"):
+            for n, table in grams.items():
+                chars = np.frombuffer("".join(table).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                keys = _codes(chars, np.arange(len(table)) * n, n)
+                order = np.argsort(keys, kind="stable")
+                self.keys[n] = keys[order]
+                self.gram_rows[n] = np.array(list(table.values()), np.float64).reshape(-1, len(langs))[order]
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words that were not learned: the mean over their 4-grams, each backed off to the longest n-grams in it that were."""
+        padded = [_padded(w) for w in words]
+        n_of = np.fromiter(map(len, padded), np.int64, len(padded))
+        chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        first = np.cumsum(n_of) - n_of
+        count = n_of - 3
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        score = np.full((len(at), len(self.langs)), FLOOR)
+        todo = np.arange(len(at))
+        with np.errstate(over="ignore"):
+            for depth, n in enumerate(GRAMS):
+                keys = self.keys[n]
+                if not len(todo) or not len(keys):
+                    continue
+                total, hits = np.zeros((len(todo), len(self.langs))), np.zeros(len(todo), np.int64)
+                for k in range(GRAMS[0] - n + 1):
+                    code = _codes(chars, at[todo] + k, n)
+                    j = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                    hit = keys[j] == code
+                    total[hit] += self.gram_rows[n][j[hit]]
+                    hits += hit
+                done = hits > 0
+                score[todo[done]] = total[done] / hits[done, None] + depth * BACKOFF
+                todo = todo[~done]
+        return np.add.reduceat(score, np.cumsum(count) - count, axis=0) / count[:, None] + BACKOFF
+
+    def sums(self, docs: list[list[str]]) -> np.ndarray:
+        """Summed scores of documents; each has a word at least."""
+        flat = [w for d in docs for w in d]
+        at = np.fromiter(map(self.ids.get, flat, repeat(-1)), np.int64, len(flat))
+        new: dict[str, int] = {}
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = len(self.rows) + new.setdefault(flat[i], len(new))
+        rows = np.concatenate([self.rows, self.unseen(list(new))]) if new else self.rows
+        n = np.fromiter(map(len, docs), np.int64, len(docs))
+        return np.add.reduceat(rows[at], np.cumsum(n) - n, axis=0)
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, table: int = TABLE) -> Model:
-    """labelled: text, lang, key (a stable hash). Null or blank langs and texts teach nothing."""
+    """labelled: text, lang, key (a stable hash). Null langs and texts teach nothing. Rows are chosen where they are, by their hash and their language's number of rows, so no text is moved; counts are of whole texts."""
     t = labelled.where("lang is not null and text is not null")
-    langs = [r[0] for r in t.select("lang").distinct().orderBy("lang").collect()]
+    sizes = {r[0]: r[1] for r in t.groupBy("lang").agg(F.count("*")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([], {}, {n: {} for n in GRAMS})
-    chosen = t.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("r") <= rows)
-    words = chosen.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
-    words = words.persist()
+    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, rows / sizes[x]))])
+    chosen = t.where(F.pmod("key", F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")])
+    words = stage(chosen.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")), "words")
     ln, at = len(langs), {x: i for i, x in enumerate(langs)}
-    total = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("c")).collect()}
 
-    def logs(counts: DataFrame, sums: dict[str, int]) -> dict[str, np.ndarray]:
+    def logs(counts: DataFrame) -> dict[str, np.ndarray]:
+        sums = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("c")).collect()}
+        base = np.array([sums.get(x, 0) + 1.0 for x in langs])
         keep = counts.groupBy("w").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("m")).where("n > 1").orderBy(F.desc("n"), "w").limit(table)
         out = {}
         for r in keep.collect():
             v = np.full(ln, 0.3)
             for k, c in r["m"].items():
                 v[at[k]] += c
-            out[r["w"]] = np.log(v / np.array([sums[x] + 1.0 for x in langs])).astype(np.float32)
+            out[r["w"]] = np.log(v / base)
         return out
 
+    padded = words.select("lang", "c", F.expr("concat('\x02', w, '\x03', if(length(w) = 1, '\x03', ''))").alias("p"))
     grams = {}
     for n in GRAMS:
-        padded = F.expr("concat('\x02', w, '\x03')")
-        g = words.withColumn("p", padded).where(F.length("p") >= n).select("lang", F.explode(F.expr(f"transform(sequence(1, length(p) - {n - 1}), i -> substring(p, i, {n}))")).alias("w"), "c")
-        g = g.groupBy("lang", "w").agg(F.sum("c").alias("c"))
-        sums = {r[0]: r[1] for r in g.groupBy("lang").agg(F.sum("c")).collect()}
-        grams[n] = logs(g, {x: sums.get(x, 0) for x in langs})
-    model = Model(langs, logs(words, {x: total.get(x, 0) for x in langs}), grams)
-    words.unpersist()
-    return model
-
-
-class _Rows(dict):
-    def __init__(self, model: Model):
-        self.model, self.rows, self.extra = model, np.zeros((REMEMBER + 4096, len(model.langs)), np.float32), 0
-
-    def __missing__(self, w: str) -> int:
-        if len(self) < REMEMBER:
-            self[w] = i = len(self)
-        else:  # places that are used again: the caller sums before they run out
-            i = REMEMBER + self.extra
-            self.extra += 1
-        self.rows[i] = self.model.word(w)
-        return i
+        g = padded.select("lang", "c", F.explode(F.expr(f"transform(sequence(1, length(p) - {n - 1}), i -> substring(p, i, {n}))")).alias("w"))
+        grams[n] = logs(g.groupBy("lang", "w").agg(F.sum("c").alias("c")))
+    return Model(langs, logs(words), grams)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score. A text that is null or has no letter, and any text if nothing was learned, is `und` with score 0."""
     spark = docs.sparkSession
     text_batches(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Rows(Model(*shared.value))
-        langs = known.model.langs
+        model = shared.value
+        langs = np.array(model.langs, object)
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column(1).to_pylist():
-                words = _WORD.findall(text.lower()) if text and langs else []
-                if not words:
-                    pred.append(UNKNOWN), score.append(0.0)
-                    continue
-                total = np.zeros(len(langs))
-                for i in range(0, len(words), 4096):
-                    known.extra = 0
-                    total += known.rows[np.fromiter(map(known.__getitem__, words[i : i + 4096]), np.int64)].sum(axis=0, dtype=np.float64)
-                mean = total / len(words)
-                best = int(mean.argmax())
-                pred.append(langs[best]), score.append(float(1 / np.exp(mean - mean[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            rows: list[int] = []
+            held: list[list[str]] = []
+
+            def close(rows=rows, held=held, pred=pred, score=score) -> None:
+                if held:
+                    mean = model.sums(held) / np.array([[len(d)] for d in held])
+                    best = mean.argmax(axis=1)
+                    pred[rows] = langs[best]
+                    score[rows] = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+                rows.clear(), held.clear()
+
+            n = 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = _WORD.findall(text.lower()) if text and len(langs) else []
+                if words:
+                    rows.append(i), held.append(words)
+                    n += len(words)
+                    if n >= TOGETHER:
+                        close()
+                        n = 0
+            close()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
