@@ -23,7 +23,7 @@ from tarnbase.llm.common import n_words, stage
 PATTERN = (5, 2, 1)
 #: Words of a block.
 BLOCK = 4096
-_GRID, _CHUNK, _PER_BUCKET = 4096, 50_000, 20_000
+_GRID, _CHUNK, _PER_BUCKET = 4096, 50_000, 4_000
 _GOLDEN = 0.6180339887498949
 
 
@@ -137,11 +137,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken; a document in which a target is reached is cut after its last taken word. Columns stay; n_chars, if there, is brought up to date. Documents of which nothing is taken go."""
     cols = docs.columns
     own = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    plan = mixture(own, row="__row", **options).where("taken > 0").select("__row", "size", "taken")
-    t = own.join(plan, "__row").withColumn("__turn", F.explode(F.expr("sequence(0, cast(ceil(taken / size) as int) - 1)")))
-    keep = F.least(F.col("size"), F.col("taken") - F.col("__turn") * F.col("size"))
+    plan = mixture(own, row="__row", **options).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    t = own.join(plan, "__row").withColumn("__turn", F.explode(F.expr("sequence(0, cast(ceil(__taken / __size) as int) - 1)")))
+    keep = F.least(F.col("__size"), F.col("__taken") - F.col("__turn") * F.col("__size"))
     cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', __keep, '}+'), 0)")
-    t = t.withColumn("__keep", keep).withColumn("text", F.when(F.col("__keep") < F.col("size"), cut).otherwise(F.col("text")))
+    t = t.withColumn("__keep", keep).withColumn("text", F.when(F.col("__keep") < F.col("__size"), cut).otherwise(F.col("text")))
     if "n_chars" in cols:
         t = t.withColumn("n_chars", F.length("text").cast("long"))
     return t.select(*cols)
