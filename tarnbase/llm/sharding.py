@@ -124,7 +124,7 @@ def kd_shards(docs: DataFrame, depth: int = 3, tolerance: float = 1e-4) -> DataF
         node = F.col("node")
     out = rows.join(units.select("th", "size", "piece", (F.col("node") - 2**depth).cast("int").alias("shard")), ["th", "size", "piece"])
     out = stage(out.select("doc_id", "size", "text_crc32", "th", "shard"), "placed")
-    parts = max(1, -(-out.count() // 20_000))
+    parts = max(1, -(-out.count() // 4_000))
     out = out.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, th), {parts}) as int)"))
     sums = out.groupBy("shard", "part").agg(F.count("*").alias("c"))
     ahead = F.coalesce(F.sum("c").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
