@@ -114,8 +114,30 @@ class Logistic:
         return np.clip(((x - self.mean) / self.scale * self.w[1:]).sum(axis=1) + self.w[0], -30, 30)
 
 
+class Anchored:
+    """Logistic regression on few columns that stays near given weights unless rows say otherwise; for calibration, which often has few rows of one class."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray, centre: list[float], strength: float = 2.0, steps: int = 50) -> Anchored:
+        z = np.c_[np.ones(len(x)), x]
+        c = np.array(centre)
+        w, prior = c.copy(), np.full(len(c), strength)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            g = z.T @ (p - y) + prior * (w - c)
+            h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(prior)
+            d = np.linalg.solve(h, g)
+            w = w - d * min(1.0, 2 / max(1e-12, np.abs(d).max()))
+            if np.abs(d).max() < 1e-8:
+                break
+        self.w = w
+        return self
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x * self.w[1:]).sum(axis=1) + self.w[0], -30, 30)
+
+
 class CoTrained:
-    def __init__(self, text: Logistic, meta: Logistic, cal_text: Logistic, cal_meta: Logistic, joint: Logistic):
+    def __init__(self, text: Logistic, meta: Logistic, cal_text: Anchored, cal_meta: Anchored, joint: Anchored):
         self.text, self.meta, self.cal_text, self.cal_meta, self.joint = text, meta, cal_text, cal_meta, joint
 
     def score(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,18 +148,10 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-x)) for x in (a, b, c))
 
 
-def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained | None:
-    """Labelled rows (both views, y in 0, 1) and an unlabelled pool to a model; None without rows of both classes."""
-    if len(y) < 8 or len(np.unique(y)) < 2:
-        return None
-    aside = np.zeros(len(y), bool)
-    for c in (0, 1):  # a fifth of each class is kept aside, every fifth row
-        aside[np.flatnonzero(y == c)[::5]] = True
-    fit = ~aside if len(np.unique(y[~aside])) == 2 else np.ones(len(y), bool)
+def _exchange(views: dict[str, tuple[np.ndarray, np.ndarray]], fit: np.ndarray, y: np.ndarray, rounds: int, confident: float) -> dict[str, Logistic]:
+    """Both views trained on the rows of `fit`, handing each other pseudo-labels of the pool over rounds."""
     share = y[fit].mean()
-    views = {"t": (t, pool_t), "m": (m, pool_m)}
-    given: dict[str, dict[int, int]] = {"t": {}, "m": {}}  # pseudo-labels that each view was handed
-    models: dict[str, Logistic] = {}
+    given: dict[str, dict[int, int]] = {v: {} for v in views}  # pseudo-labels that each view was handed
 
     def train(v: str) -> Logistic:
         own, pool = views[v]
@@ -145,10 +159,8 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
         labels = np.fromiter(given[v].values(), np.float64, len(given[v]))
         return Logistic().fit(np.r_[own[fit], pool[rows]], np.r_[y[fit].astype(float), labels])
 
-    for _ in range(max(1, rounds)):
+    for _ in range(rounds):
         models = {v: train(v) for v in views}
-        if not len(pool_t) or not rounds:
-            break
         for v, other in (("t", "m"), ("m", "t")):
             s = models[v].logit(views[v][1])
             most = int(confident * len(s))
@@ -157,12 +169,33 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
             for i in [*order[::-1][: int(most * share)].tolist(), *order[: int(most * (1 - share))].tolist()]:
                 if sure[i] >= 0.95:
                     given[other].setdefault(i, int(s[i] > 0))
-    models = {v: train(v) for v in views}
-    hold = aside if len(np.unique(y[aside])) == 2 else fit
-    lt, lm, yh = models["t"].logit(t[hold])[:, None], models["m"].logit(m[hold])[:, None], y[hold].astype(float)
-    ct, cm = Logistic().fit(lt, yh), Logistic().fit(lm, yh)
-    joint = Logistic().fit(np.c_[ct.logit(lt), cm.logit(lm)], yh)
-    return CoTrained(models["t"], models["m"], ct, cm, joint)
+    return {v: train(v) for v in views}
+
+
+def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, folds: int = 3) -> CoTrained | None:
+    """Labelled rows (both views, y in 0, 1) and an unlabelled pool to a model; None without rows of both classes. Calibration uses log-odds that models of the other folds gave."""
+    if len(y) < 8 or min(np.bincount(y, minlength=2)[:2]) < 2:
+        return None
+    views = {"t": (t, pool_t), "m": (m, pool_m)}
+    fold = np.zeros(len(y), np.int64)
+    for c in (0, 1):
+        rows = np.flatnonzero(y == c)
+        fold[rows] = np.arange(len(rows)) % folds
+    out = {v: np.zeros(len(y)) for v in views}
+    for k in range(folds):
+        rest = fold != k
+        if len(np.unique(y[rest])) < 2:
+            continue
+        models = _exchange(views, rest, y, rounds, confident)
+        for v in views:
+            out[v][~rest] = models[v].logit(views[v][0][~rest])
+    whole = _exchange(views, np.ones(len(y), bool), y, rounds, confident)
+    yf = y.astype(float)
+    cal = {v: Anchored().fit(out[v][:, None], yf, [0.0, 1.0]) for v in views}
+    prior = float(np.log((yf.sum() + 1) / (len(yf) - yf.sum() + 1)))
+    both = np.c_[cal["t"].logit(out["t"][:, None]), cal["m"].logit(out["m"][:, None])]
+    joint = Anchored().fit(both, yf, [-prior, 1.0, 1.0])
+    return CoTrained(whole["t"], whole["m"], cal["t"], cal["m"], joint)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained | None:
