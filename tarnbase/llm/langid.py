@@ -54,7 +54,7 @@ class Model:
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
         self.langs = langs
         self.ids = {w: i for i, w in enumerate(words)}
-        self.rows = np.array(list(words.values()), np.float64).reshape(-1, len(langs))
+        self.rows = np.array(list(words.values()), np.float64).reshape(len(words), len(langs))
         self.keys, self.gram_rows = {}, {}
         with np.errstate(over="ignore"):
             for n, table in grams.items():
@@ -62,7 +62,7 @@ class Model:
                 keys = _codes(chars, np.arange(len(table)) * n, n)
                 order = np.argsort(keys, kind="stable")
                 self.keys[n] = keys[order]
-                self.gram_rows[n] = np.array(list(table.values()), np.float64).reshape(-1, len(langs))[order]
+                self.gram_rows[n] = np.array(list(table.values()), np.float64).reshape(len(table), len(langs))[order]
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words that were not learned: the mean over their 4-grams, each backed off to the longest n-grams in it that were."""
