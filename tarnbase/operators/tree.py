@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnbase.functions.lineage import cut
+
 
 def paths(tree: DataFrame, depth: int = 10, sep: str = "-") -> DataFrame:
     """Every node with its full path. tree: id, parent_id, name. Returns id, name, level, path, path_ids, root_id. Nodes without a known way to a root are left out."""
@@ -44,15 +46,15 @@ def follow(links: DataFrame, most: int = 100) -> DataFrame:
 
     Pointers double in length each round, so a chain of n takes log n joins.
     """
-    t = links.select("src", F.col("dst").alias("final"), F.lit(1).alias("hops"))
+    t = cut(links.select("src", F.col("dst").alias("final"), F.lit(1).alias("hops")))
     while True:
         nxt = t.select(F.col("src").alias("__s"), F.col("final").alias("__f"), F.col("hops").alias("__h"))
-        j = t.join(nxt, F.col("final") == F.col("__s"), "left")
         on = F.col("__f").isNotNull() & (F.col("hops") + F.col("__h") <= most)
-        t2 = j.select("src", F.when(on, F.col("__f")).otherwise(F.col("final")).alias("final"), F.when(on, F.col("hops") + F.col("__h")).otherwise(F.col("hops")).alias("hops"), on.alias("__on"))
-        if not t2.where("__on").take(1):
-            return t2.drop("__on")
-        t = t2.drop("__on")
+        j = t.join(nxt, F.col("final") == F.col("__s"), "left")
+        j = cut(j.select("src", F.when(on, F.col("__f")).otherwise(F.col("final")).alias("final"), F.when(on, F.col("hops") + F.col("__h")).otherwise(F.col("hops")).alias("hops"), on.alias("__on")))
+        t = j.drop("__on")
+        if not j.where("__on").take(1):
+            return t
 
 
 def name_with_fallback(rows: DataFrame, names: DataFrame, key: str = "name", category: str = "category") -> DataFrame:

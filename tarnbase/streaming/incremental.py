@@ -80,7 +80,7 @@ def stream_distinct(stream: DataFrame, keys: Sequence[str], time: str, within: s
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_turns(stream: DataFrame, group: str, order: str, speaker: str, eligible: str, epoch: str, gap: int = 180, timeout: str = "10 minutes") -> DataFrame:
+def stream_turns(stream: DataFrame, group: str, order: str, speaker: str, eligible: str, epoch: str, gap: int = 180, timeout_ms: int = 600_000) -> DataFrame:
     """Answer turns of a live chat: a turn is sent when another message closes it, or after a time without any. Same rule as windows.answer_turns; messages of one trigger are taken in order."""
     out = f"{group} string, speaker string, start_epoch double, end_epoch double, n_messages long"
     state = "speaker string, start double, last double, n long"
@@ -105,7 +105,7 @@ def stream_turns(stream: DataFrame, group: str, order: str, speaker: str, eligib
                     close()
                     cur = (who, float(at), float(at), 1) if ok else (None, 0.0, 0.0, 0)
             held.update(cur)
-            held.setTimeoutDuration(timeout)
+            held.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=[group, "speaker", "start_epoch", "end_epoch", "n_messages"])
 
     return stream.groupBy(group).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
