@@ -69,7 +69,7 @@ def regular_content(x: Column | str) -> Column:
 def chat_line(x: Column | str, limit: int = 300) -> Column:
     """The lines of a chat message without links, pictures and quote prefixes, joined by spaces, cut at limit."""
     plain = F.regexp_replace(F.translate(text(x), "  \r", "  \n"), " ", "")
-    lines = F.transform(F.split(plain, "\n"), F.trim)
+    lines = F.transform(F.split(plain, "\n"), lambda v: F.trim(v))
     lines = F.filter(lines, lambda s: (s != "") & ~s.rlike(URL_OR_IMAGE))
     lines = F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, QUOTE_PREFIX, ""))), lambda s: s != "")
     return F.left(collapse(F.array_join(lines, " ")), F.lit(limit))
@@ -185,7 +185,7 @@ def is_image_address(x: Column | str) -> Column:
 
 def is_image_answer(x: Column | str) -> Column:
     """Whether every part of the text is the address of a picture."""
-    parts = F.filter(F.transform(F.split(text(x), r"[\n,，]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text(x), r"[\n,，]+"), lambda v: F.trim(v)), lambda s: s != "")
     return (F.size(parts) > 0) & F.forall(parts, is_image_address)
 
 
@@ -237,13 +237,13 @@ def scope(x: Column | str, default: str = "industry_specific") -> Column:
 def confidence(x: Column | str) -> Column:
     """A number from 0 to 1; what exceeds 1 is a percentage, what is no number is 0."""
     v = _c(x).try_cast("double")
-    v = F.when(v > 1, v / 100).otherwise(v)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), F.lit(0.0))
+    v = F.coalesce(F.when(v > 1, v / 100).otherwise(v), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
 def clean_list(x: Column | str, limit: int | None = None) -> Column:
     """Trimmed, non-blank, distinct members in order."""
-    out = F.array_distinct(F.filter(F.transform(F.coalesce(_c(x), F.array().cast("array<string>")), F.trim), lambda s: s.isNotNull() & (s != "")))
+    out = F.array_distinct(F.filter(F.transform(F.coalesce(_c(x), F.array().cast("array<string>")), lambda v: F.trim(v)), lambda s: s.isNotNull() & (s != "")))
     return F.slice(out, 1, limit) if limit else out
 
 
@@ -286,7 +286,7 @@ def without_tags(x: Column | str) -> Column:
 
 def parse_qa(x: Column | str, question: str = "问题", answer: str = "答案", source: str = "来源", sep: str = "###") -> Column:
     """Question-answer pairs of a model's output: array of (q, a, source). Pairs are labelled in either language; [notes] in labelled answers go."""
-    parts = F.filter(F.transform(F.split(F.replace(text(x), F.lit("："), F.lit(":")), sep), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.replace(text(x), F.lit("："), F.lit(":")), sep), lambda v: F.trim(v)), lambda s: s != "")
 
     def one(part: Column, q: str, a: str, fold: str, drop: bool) -> Column:
         rx = rf"(?s){fold}{q}\s*:(.*?){a}\s*:(.*?)(?={q}\s*:|$)"
@@ -352,7 +352,7 @@ def segment_chars(x: Column | str) -> Column:
 def split_values(x: Column | str, stop: tuple[str, ...] = ()) -> Column:
     """Attribute values parted at the usual separators; distinct, without stop words."""
     parts = F.flatten(F.transform(_c(x), lambda s: F.split(s, r"[\t ；、,，+|]")))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda s: (s != "") & ~s.isin(*stop) if stop else s != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda v: F.trim(v)), lambda s: (s != "") & ~s.isin(*stop) if stop else s != ""))
 
 
 def pad_cut(x: Column | str, n: int, pad: str = "[mask]") -> Column:

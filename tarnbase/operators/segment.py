@@ -176,7 +176,7 @@ def translate_parts(df: DataFrame, key: str, col: str, most: int = 5000, from_le
 def parse_index_answer(x: Column | str) -> Column:
     """Keywords, phrases and topics of a model's answer: a map from the label to its members."""
     lines = F.filter(F.split(text(x), "\n"), lambda s: s.rlike(r"^\s*(关键词|短语|主题|keywords|phrases|topics)\s*[:：]"))
-    pairs = F.transform(lines, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^\s*([^:：]+)[:：]", 1)), F.filter(F.transform(F.split(F.regexp_replace(s, r"^[^:：]+[:：]", ""), "[,，、;；]"), F.trim), lambda v: v != "")))
+    pairs = F.transform(lines, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^\s*([^:：]+)[:：]", 1)), F.filter(F.transform(F.split(F.regexp_replace(s, r"^[^:：]+[:：]", ""), "[,，、;；]"), lambda v: F.trim(v)), lambda v: v != "")))
     return F.map_from_entries(pairs)
 
 

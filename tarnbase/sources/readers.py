@@ -106,7 +106,7 @@ def qa_rows(cells: DataFrame, headers: dict[str, Sequence[str]] = HEADERS) -> Da
         return F.coalesce(*[F.nullif(F.trim(F.try_element_at(low, F.lit(n.lower()))), F.lit("")) for n in names])
 
     t = cells.select("file", "sheet", "row_no", *[field(n).alias(f) for f, n in headers.items()])
-    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"[\n;；|]+"), F.trim), lambda s: s != "")
+    parts = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"[\n;；|]+"), lambda v: F.trim(v)), lambda s: s != "")
     return t.where("q is not null and a is not null").withColumn("synonyms", parts("synonyms")).withColumn("tags", parts("tags"))
 
 

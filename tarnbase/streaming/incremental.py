@@ -113,6 +113,12 @@ def stream_turns(stream: DataFrame, group: str, order: str, speaker: str, eligib
 
 def run_stream(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Drain what is there, batch by batch, writing each once: the offsets are committed only after `write` returns."""
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # state that waits for a time-out would otherwise keep the query running without data
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     q.awaitTermination()
     return q
