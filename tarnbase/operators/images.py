@@ -24,7 +24,7 @@ def page_index(mapping: DataFrame) -> DataFrame:
     return t.withColumn("attachable", F.coalesce(F.col("s3_path"), F.lit("")) != "")
 
 
-def plan(rows: DataFrame, marks: DataFrame, contents: DataFrame, allowed: DataFrame, pointed: DataFrame | None = None, key: str = "id") -> DataFrame:
+def plan(marks: DataFrame, contents: DataFrame, allowed: DataFrame, pointed: DataFrame | None = None, key: str = "id") -> DataFrame:
     """What to do with each mark: a repeat of the same content goes, one whose content is not on the row's pages goes unless a phrase points at it, the others stay. marks: key, pos, path; contents: path, md5; allowed: key, md5; pointed: key, pos."""
     t = marks.join(contents, "path", "left")
     ok = allowed.select(F.col(key).alias("__k"), F.col("md5").alias("__m")).distinct().withColumn("__on", F.lit(True))

@@ -49,11 +49,16 @@ def infer_category(rows: DataFrame, tree: DataFrame, key: str, explicit: str, ta
 
     def runs(x: Column) -> Column:
         w = F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda s: s != "")
-        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in range(1, words + 1)]
-        return F.array_distinct(F.flatten(F.array(*grams)))
+        def of(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+        return F.array_distinct(F.flatten(F.array(*map(of, range(1, words + 1)))))
+
+    def scored(score: int, found: Column) -> Column:
+        return F.transform(found, lambda n: F.struct(F.lit(score).alias("score"), n.alias("name")))
 
     sources = ((300, F.array(F.array_join(F.filter(F.split(F.lower(text(explicit)), r"[^\p{L}\p{N}]+"), lambda s: s != ""), " "))), (200, F.flatten(F.transform(F.coalesce(F.col(tags), F.array().cast("array<string>")), runs))), (100, runs(text(title))))
-    names = F.flatten(F.array(*[F.transform(a, lambda n, s=s: F.struct(F.lit(s).alias("score"), n.alias("name"))) for s, a in sources]))
+    names = F.flatten(F.array(*[scored(s, a) for s, a in sources]))
     hits = rows.select(key, F.explode(F.array_distinct(names)).alias("h")).select(key, "h.*").where("name <> ''")
     leaf = tree.select("path", "leaf", F.array_join(F.filter(F.split(F.lower("leaf"), r"[^\p{L}\p{N}]+"), lambda s: s != ""), " ").alias("name"))
     best = hits.join(leaf, "name").groupBy(key).agg(F.max(F.struct("score", F.length("path").alias("n"), "path", "leaf")).alias("b"))

@@ -20,8 +20,11 @@ def split_content(x: Column | str, sep: str = r"\n\s*\+", clean: str = r"\n\s*-"
     """Parts between separators, without marks of lists; parts that hold a black word go."""
     parts = F.transform(F.split(text(x), sep), lambda s: F.trim(F.regexp_replace(s, clean, "\n")))
     parts = F.filter(parts, lambda s: s != "")
+    def clean_of(word: str) -> Column:
+        return F.filter(parts, lambda s: ~s.contains(word))
+
     for w in black:
-        parts = F.filter(parts, lambda s, w=w: ~s.contains(w))
+        parts = clean_of(w)
     return parts
 
 

@@ -140,7 +140,7 @@ def test_language_rule(spark, x, want):
 
 
 def test_greedy_clusters(spark):
-    t = spark.createDataFrame([(1, "p", "how to pay now", "long answer here"), (2, "p", "how to pay nov", "short"), (3, "p", "zzz", "qqq"), (4, "o", "how to pay now", "x")], "id int, platform string, q string, a string")
+    t = spark.createDataFrame([(1, "p", "how to pay now", "long answer here"), (2, "p", "how to pay now now", "short"), (3, "p", "zzz", "qqq"), (4, "o", "how to pay now", "x")], "id int, platform string, q string, a string")
     assert rows(K.qa_dedup(t), "id") == [(1,), (3,), (4,)]
     w = spark.createDataFrame([(1, "g", "Color"), (2, "g", "colour"), (3, "g", "shape"), (4, "g", " ")], "id int, grp string, word string")
     assert rows(K.edit_clusters(w, "grp", "id", "word"), "id", "cluster") == [(1, 0), (2, 0), (3, 1), (4, 2)]
