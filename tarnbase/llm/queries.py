@@ -80,4 +80,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: The mix in closed form: a line is covered from its start up to the target, a second time beyond its length.
+_MIX = r"""WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('mix:' || doc_id) AS h FROM documents),
+ z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1),
+ w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM z),
+ r AS (SELECT *, 2.0 * source_size AS cap, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest, 1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER o, 0) AS left_ FROM w WINDOW o AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ l AS (SELECT arg_min(left_ / rest, cap / weight) AS level FROM r WHERE cap >= left_ / rest * weight),
+ g AS (SELECT source, source_size, CAST(least(cap, coalesce(level * weight, cap)) AS DOUBLE) AS target FROM r LEFT JOIN l ON true),
+ p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start)) AS BIGINT) AS taken FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
+#: All pairs, and what they reach.
+_VECTORS = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95), r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a), c AS (SELECT n, min(m) AS m FROM r GROUP BY 1)
+ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, least(e.vec_id, coalesce(c.m, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.m, e.vec_id)) AS kept FROM e LEFT JOIN c ON c.n = e.vec_id"""
+#: All pairs that share a shingle, and what they reach.
+_TEXTS = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], chr(10)) AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT a AS n, b AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT n, min(m) AS m FROM r GROUP BY 1)
+ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.m, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(c.m, w.doc_id)) AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.n = w.doc_id"""
+
+ORACLES: dict[str, str] = {"op4_embedding_dedup": _VECTORS, "op6_minhash_odd_sketch": _TEXTS, "op10_source_mixing": _MIX}
