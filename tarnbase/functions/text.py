@@ -7,7 +7,7 @@ ASCII in Java.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What chat systems call the kinds of a message.
@@ -193,8 +193,8 @@ def replace_urls(x: Column | str, by: str = "") -> Column:
     return F.regexp_replace(text(x), CHAT_URL, by)
 
 
-def generalise(x: Column | str) -> Column:
-    """De-identified for reuse: links, e-mail, phone numbers, user, business and numeric ids; the order of the steps matters."""
+def mask_identifiers(x: Column | str) -> Column:
+    """Links, e-mail, phone numbers, user, business and numeric ids masked; the order of the steps matters."""
     t = replace_urls(F.trim(text(x)), "[链接]")
     w, edge, end = r"[\p{L}\p{N}_]", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     steps = [
@@ -210,7 +210,17 @@ def generalise(x: Column | str) -> Column:
     ]
     for pattern, by in steps:
         t = F.regexp_replace(t, pattern, by)
-    return sanitise_chat(t)
+    return t
+
+
+def generalise(x: Column | str) -> Column:
+    """De-identified for reuse and cleaned. Over long texts use generalise_column, which masks once."""
+    return sanitise_chat(mask_identifiers(x))
+
+
+def generalise_column(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df with the de-identified text as a column. The masked text is a step of its own: cleaning looks at it several times."""
+    return df.withColumn("__masked", mask_identifiers(col)).withColumn(name, sanitise_chat("__masked")).drop("__masked")
 
 
 def _lookup(x: Column, table: dict[str, tuple[str, ...]], default: Column | str | None) -> Column:

@@ -93,7 +93,9 @@ def normalise_candidates(df: DataFrame, default_platform: str | None = None) ->
     """A model's items as candidates: question and answer under either name, de-identified unless the answer is a picture, levels and scopes by their main names; empty ones go."""
     has = lambda *cs: F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in cs if c in df.columns], F.lit(""))
     q, a = has("q", "question"), has("a", "answer")
-    t = df.withColumn("__q", X.generalise(q)).withColumn("__a", F.when(X.is_image_answer(a), a).otherwise(X.generalise(a)))
+    t = df.withColumn("__q0", q).withColumn("__a0", a)
+    t = X.generalise_column(X.generalise_column(t, "__q0", "__q"), "__a0", "__a1")
+    t = t.withColumn("__a", F.when(X.is_image_answer("__a0"), F.col("__a0")).otherwise(F.col("__a1"))).drop("__q0", "__a0", "__a1")
     t = t.where("__q <> '' and __a <> ''")
     for c, f in (("quality_level", X.level), ("reuse_scope", X.scope), ("confidence", X.confidence), ("is_qualified", X.flag)):
         if c in df.columns:
