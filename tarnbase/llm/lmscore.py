@@ -16,6 +16,7 @@ the executors, and the next round starts from the average.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +32,8 @@ WORDS = 20_000
 CLASSES, OWN, REST = 64, 40, 4
 SIDE, HIDDEN = 2, 16
 STRIDE, ROUNDS, BATCH = 16, 2, 512
+#: Different words that a task counts before it hands them on.
+COUNTED = 200_000
 #: Characters of the bigram table; bounds it.
 CHARS = 400
 #: Tokens that are scored together; bounds a worker's memory.
@@ -162,11 +165,40 @@ def _unpack(b: bytes) -> Weights:
     return tuple(out)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, c) over all documents, by the same rule that scoring splits words by. Tasks count in tables of bounded size before the shuffle."""
+    text_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["w", "c"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    held.update(text.lower().split())
+            if len(held) >= COUNTED:
+                yield flush()
+        if held:
+            yield flush()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
 def lexicon(docs: DataFrame, words: int = WORDS) -> Lexicon:
     """Counts over all documents; the driver receives the `words` most frequent words and a table of character pairs."""
-    t = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
-    t = stage(t, "words")
-    top = t.orderBy(F.desc("c"), "w").limit(words).collect()
+    t = stage(word_counts(docs), "words")
+    # the count from which a word is frequent enough, from the numbers of words by count: so no task sends a whole table of its own
+    cut, left = 1, words
+    for r in t.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        cut, left = r["c"], left - r["n"]
+        if left <= 0:
+            break
+    top = t.where(F.col("c") >= cut).orderBy(F.desc("c"), "w").limit(words).collect()
     bound = (top[-1]["c"], top[-1]["w"]) if len(top) == words else None
     rest = t if bound is None else t.where((F.col("c") < bound[0]) | ((F.col("c") == bound[0]) & (F.col("w") > bound[1])))
     # the spelling of rare words; if there are none yet, of all
