@@ -105,7 +105,6 @@ def _assign(reps: DataFrame, centres: dict[int, np.ndarray], reach: float) -> Da
 
 def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Compare the left rows (home here) of a block with its right rows; counts of linked vectors and a spanning forest."""
-    cell = int(pdf["cell"].iloc[0])
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     if left.empty or right.empty:
         return pd.DataFrame({"id": [], "links": [], "to": []})
@@ -132,7 +131,7 @@ def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         cols = copies[homes[copies] == h]
         back[np.ix_(meets, cols)] = False
     yn = xm @ back
-    # the left row's count too is made in one place only: at its home, over all it meets there; where it is the copy, by the rule above
+    # labels run along links until they rest: a spanning forest of the block
     lx, ly = xi.copy(), yi.copy()
     big = np.iinfo(np.int64).max
     while True:
@@ -142,7 +141,6 @@ def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         lx, ly = lx2, ly2
     out = pd.DataFrame({"id": np.r_[xi, yi], "links": np.r_[xn, yn], "to": np.r_[lx, ly]})
-    del cell
     return out[(out["links"] > 0) | (out["id"] != out["to"])]
 
 
