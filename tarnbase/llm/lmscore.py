@@ -7,10 +7,11 @@ log P(w_i | w_{i-2}, w_{i-1}, w_{i+1}, w_{i+2}), summed over all positions.
 Word counts come from all documents. The most frequent words have classes of
 their own, those next in frequency share classes of equal mass, and the rest
 are spelled by a character bigram model of the rest of the corpus. The
-network is trained in numpy where the data is: every task trains a copy on
-one position in STRIDE of each of its documents (so all documents take part,
-and the work follows the corpus), the copies are averaged, first in groups on
-the executors, and the next round starts from the average.
+network is trained in numpy where the data is: in round r every task trains a
+copy on the positions r, r + STRIDE, r + 2 STRIDE, ... of each of its documents,
+so that after STRIDE rounds every position has been a target. The copies are
+averaged, first in groups on the executors, and the next round starts from the
+average.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from tarnbase.llm.common import stage, text_batches
 WORDS = 20_000
 CLASSES, OWN, REST = 64, 40, 4
 SIDE, HIDDEN = 2, 16
-STRIDE, ROUNDS, BATCH = 16, 2, 512
+#: STRIDE is at most ROUNDS, so that every position is a target.
+STRIDE, ROUNDS, BATCH = 2, 2, 512
 #: Different words that a task counts before it hands them on.
 COUNTED = 200_000
 #: Characters of the bigram table; bounds it.
@@ -216,7 +218,9 @@ def lexicon(docs: DataFrame, words: int = WORDS) -> Lexicon:
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
-    """Rounds of local training and averaging over all documents."""
+    """Rounds of local training and averaging over all positions of all documents."""
+    if stride > rounds:
+        raise ValueError("with more strides than rounds some positions are never a target")
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(lex)
@@ -230,19 +234,28 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STR
             lex, w = shared.value, _unpack(begin)
             past = tuple(np.full_like(x, 1e-3) for x in w)
             seen, ctxs, goals, held = 0, [], [], 0
+
+            def step(least: int) -> None:
+                """Train on what is held, in batches, until fewer than `least` positions are left."""
+                nonlocal ctxs, goals, held
+                ctx, goal = np.concatenate(ctxs), np.concatenate(goals)
+                while len(goal) >= least:
+                    sgd(w, past, ctx[:BATCH], goal[:BATCH])
+                    ctx, goal = ctx[BATCH:], goal[BATCH:]
+                ctxs, goals, held = [ctx], [goal], len(goal)
+
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     cls = lex.class_of(*lex.tokens(text))
-                    at = np.arange((seen + turn * stride // max(1, rounds)) % stride, len(cls), stride)
+                    at = np.arange(turn % stride, len(cls), stride)
                     seen += len(cls)
                     if len(at):
                         ctxs.append(_context(cls)[at]), goals.append(cls[at])
                         held += len(at)
                     if held >= BATCH:
-                        sgd(w, past, np.concatenate(ctxs), np.concatenate(goals))
-                        ctxs, goals, held = [], [], 0
+                        step(BATCH)
             if held:
-                sgd(w, past, np.concatenate(ctxs), np.concatenate(goals))
+                step(1)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_pack(w)], pa.binary())], names=["n", "w"])
 

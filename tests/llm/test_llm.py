@@ -442,6 +442,17 @@ def test_pseudo_likelihood(spark):
     assert lmscore.pseudo_likelihood(d.limit(0)).count() == 0
 
 
+def test_every_position_is_a_target(spark):
+    d = docs_of(spark, ["aa bb cc"])
+    lex = lmscore.lexicon(d)
+    cls = lex.class_of(*lex.tokens("aa bb cc"))
+    bias = lmscore.train(d, lex)[3]
+    assert len(set(cls)) == 3 and (bias[cls] > 0).all() and (np.delete(bias, cls) < 0).all()
+    assert lmscore.STRIDE <= lmscore.ROUNDS
+    with pytest.raises(ValueError):
+        lmscore.train(d, lex, rounds=2, stride=16)
+
+
 def test_document_sums_are_each_documents_own():
     rng = np.random.default_rng(0)
     w = lmscore.start_weights()
