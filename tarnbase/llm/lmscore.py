@@ -4,10 +4,14 @@ A small bidirectional window network predicts the class of every word from
 the two words on either side, and the word from its class:
 log P(w_i | w_{i-2}, w_{i-1}, w_{i+1}, w_{i+2}), summed over all positions.
 
-Word counts come from all documents. The most frequent words have classes of
-their own, those next in frequency share classes of equal mass, and the rest
-are spelled by a character bigram model of the rest of the corpus. The
-network is trained in numpy where the data is: in round r every task trains a
+Word counts come from all documents, and every word of them has a probability
+in its class by its own count. The most frequent words have classes of their
+own, those that make up one token in WORDS at least share classes of equal mass,
+and the rest share classes by their length; so the rule is the same at every
+size, and classes take in as many words as the corpus has. The counts of the
+most frequent words are with every task, those of all others stay distributed
+and are joined to the words of the documents. Only words that the corpus does
+not have are spelled, by a character bigram model of all its words. The network is trained in numpy where the data is: in round r every task trains a
 copy on the positions r, r + STRIDE, r + 2 STRIDE, ... of each of its documents,
 so that after STRIDE rounds every position has been a target. The copies are
 averaged, first in groups on the executors, and the next round starts from the
@@ -23,47 +27,59 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnbase.llm.common import stage, text_batches
 
-#: Words with a probability of their own; bounds the table that is broadcast.
+#: Words whose counts are with every task; bounds the table that is broadcast. A word of one token in so many is always among them.
 WORDS = 20_000
 CLASSES, OWN, REST = 64, 40, 4
+#: The classes by length begin above these.
+LENGTHS = 6, 10, 15
 SIDE, HIDDEN = 2, 16
 #: STRIDE is at most ROUNDS, so that every position is a target.
 STRIDE, ROUNDS, BATCH = 2, 2, 512
 #: Different words that a task counts before it hands them on.
 COUNTED = 200_000
-#: Characters of the bigram table; bounds it.
+#: Characters of the bigram table; bounds it. All others have their own share of what it gives to others.
 CHARS = 400
-#: Tokens that are scored together; bounds a worker's memory.
+#: Tokens that are scored together, and rows handed on together; bounds a worker's memory.
 TOGETHER = 65_536
 
 
 class Lexicon:
     """Class and log P(word | class) of every word there can be."""
 
-    def __init__(self, words: list[str], counts: list[int], chars: dict[str, int], bigrams: np.ndarray):
-        """words by falling count; bigrams: log P(next | char), 0 is the boundary, the last is any other character."""
+    def __init__(self, words: list[str], counts: list[int], common: int, rest: list[int], chars: dict[str, int], bigrams: np.ndarray, others: dict[str, int], table: DataFrame):
+        """words by falling count, the first `common` with classes by frequency; rest: tokens of all other words of the corpus by class; bigrams: log P(next | char), 0 is the boundary, the last is any other character; others: the counts of those; table: (w, c) of the words that are not in `words`."""
         self.ids = {w: i for i, w in enumerate(words)}
-        own, shared = min(OWN, len(words)), CLASSES - OWN - REST
+        own, shared = min(OWN, common), CLASSES - OWN - REST
         n = np.array(counts, np.float64)
-        tail = n[own:]
+        tail = n[own:common]
         before = np.cumsum(tail) - tail
         at = OWN + np.minimum(shared - 1, before / max(1.0, tail.sum()) * shared).astype(np.int64)
         sums = np.bincount(at, weights=tail, minlength=CLASSES)
+        by_length = np.fromiter(map(rest_class, map(len, words[common:])), np.int64, len(words) - common)
+        #: Tokens of the classes by length, and one for words that the corpus does not have.
+        self.rest = np.r_[np.zeros(CLASSES - REST), rest] + 1.0
         #: The last entry stands for words that have none.
-        self.classes = np.r_[np.arange(own), at, 0].astype(np.int64)
-        self.within = np.r_[np.zeros(own), np.log(np.maximum(tail, 1) / np.maximum(sums[at], 1)), 0.0]
-        other = len(bigrams) - 1
-        self.letters = np.full(0x110000, other, np.int16)
+        self.classes = np.r_[np.arange(own), at, by_length, 0].astype(np.int64)
+        self.within = np.r_[np.zeros(own), np.log(tail / np.maximum(sums[at], 1)), np.log(n[common:] / self.rest[by_length]), 0.0]
+        self.letters = np.full(0x110000, len(bigrams) - 1, np.int16)
         self.letters[32] = 0
         for c, k in chars.items():
             self.letters[ord(c)] = k
-        self.bigrams = bigrams.copy()
-        self.bigrams[:, other] -= 12.0  # one of very many characters
+        self.bigrams = bigrams
+        total = sum(others.values()) + 1
+        self.others = {c: math.log(k / total) for c, k in others.items()}
+        self.unknown = -math.log(total * 0x110000)
+        self.table = table
+
+    def __getstate__(self) -> dict:
+        """What tasks get: all but the distributed table."""
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def tokens(self, text: str | None) -> tuple[list[str], np.ndarray]:
         """Words of a whole text and their numbers, -1 for those without."""
@@ -73,16 +89,26 @@ class Lexicon:
     def class_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """Classes; words without a number have one by their length."""
         n = np.fromiter(map(len, words), np.int64, len(words))
-        return np.where(ids >= 0, self.classes[ids], CLASSES - REST + (n > 6) + (n > 10) + (n > 15))
+        return np.where(ids >= 0, self.classes[ids], rest_class(n))
+
+    def counted(self) -> DataFrame:
+        """(w, lp): log P(word | class) of the corpus's words without a number."""
+        n = F.length("w")
+        tokens = F.lit(float(self.rest[-REST]))
+        for k, least in enumerate(LENGTHS, 1):
+            tokens = F.when(n > least, float(self.rest[k - REST])).otherwise(tokens)
+        return self.table.select("w", F.log(F.col("c") / tokens).alias("lp"))
+
+    def spelled(self, word: str) -> float:
+        """log P(word | class) of a word that the corpus does not have: letter by letter."""
+        c = self.letters[np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+        odd = sum(self.others.get(x, self.unknown) for x, k in zip(word, c[1:-1], strict=True) if k == len(self.bigrams) - 1)
+        return float(self.bigrams[c[:-1], c[1:]].sum()) + odd - math.log(self.rest[rest_class(len(word))])
 
-    def spelled(self, words: list[str], ids: np.ndarray) -> float:
-        """Sum of log P(word | class): by frequency, or letter by letter."""
-        total = float(self.within[ids[ids >= 0]].sum())
-        rare = [words[i] for i in np.flatnonzero(ids < 0)]
-        if rare:
-            c = self.letters[np.frombuffer(f" {' '.join(rare)} ".encode("utf-32-le", "surrogatepass"), "<u4")]
-            total += float(self.bigrams[c[:-1], c[1:]].sum())
-        return total
+
+def rest_class(n):
+    """The class of words that are not common, by their lengths."""
+    return CLASSES - REST + sum((n > least) * 1 for least in LENGTHS)
 
 
 def _context(cls: np.ndarray) -> np.ndarray:
@@ -192,7 +218,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, words: int = WORDS) -> Lexicon:
-    """Counts over all documents; the driver receives the `words` most frequent words and a table of character pairs."""
+    """Counts over all documents; the driver receives the `words` most frequent words and a table of character pairs, all other words stay distributed."""
     t = stage(word_counts(docs), "words")
     # the count from which a word is frequent enough, from the numbers of words by count: so no task sends a whole table of its own
     cut, left = 1, words
@@ -202,19 +228,25 @@ def lexicon(docs: DataFrame, words: int = WORDS) -> Lexicon:
             break
     top = t.where(F.col("c") >= cut).orderBy(F.desc("c"), "w").limit(words).collect()
     bound = (top[-1]["c"], top[-1]["w"]) if len(top) == words else None
-    rest = t if bound is None else t.where((F.col("c") < bound[0]) | ((F.col("c") == bound[0]) & (F.col("w") > bound[1])))
-    # the spelling of rare words; if there are none yet, of all
+    rest = t.where("false") if bound is None else t.where((F.col("c") < bound[0]) | ((F.col("c") == bound[0]) & (F.col("w") > bound[1])))
+    # common are words of one token in `words`; there are at most `words` of them, so all are in top
+    total = t.agg(F.sum("c")).first()[0] or 0
+    common = sum(r["c"] * words >= total for r in top)
+    length = sum(((F.length("w") > least).cast("int") for least in LENGTHS), F.lit(0))
+    by_length = {r["k"]: r["n"] for r in t.where(F.col("c") * words < total).groupBy(length.alias("k")).agg(F.sum("c").alias("n")).collect()}
+    # the spelling of all words
     ends = F.expr("transform(sequence(1, length(w) + 1), i -> concat(if(i = 1, ' ', substring(w, i - 1, 1)), if(i > length(w), ' ', substring(w, i, 1))))")
-    pairs = rest.select(F.explode(ends).alias("p"), "c").groupBy("p").agg(F.sum("c").alias("c"))
-    chars = pairs.where("substring(p, 1, 1) <> ' '").groupBy(F.substring("p", 1, 1).alias("a")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "a").limit(CHARS)
-    known = {r["a"]: i + 1 for i, r in enumerate(chars.collect())}
+    pairs = t.select(F.explode(ends).alias("p"), "c").groupBy("p").agg(F.sum("c").alias("c"))
+    chars = pairs.where("substring(p, 1, 1) <> ' '").groupBy(F.substring("p", 1, 1).alias("a")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "a").collect()  # as many as Unicode has at most
+    known = {r["a"]: i + 1 for i, r in enumerate(chars[:CHARS])}
     n = len(known) + 2
     table = np.full((n, n), 0.01)
     letter = lambda c: 0 if c == " " else known.get(c, n - 1)
     side = lambda c: F.when(c == " ", " ").when(c.isin(list(known)) if known else F.lit(False), c).otherwise("\x00")
     for r in pairs.groupBy(side(F.substring("p", 1, 1)).alias("a"), side(F.substring("p", 2, 1)).alias("b")).agg(F.sum("c").alias("c")).collect():
         table[letter(r["a"]), letter(r["b"])] += r["c"]
-    return Lexicon([r["w"] for r in top], [r["c"] for r in top], known, np.log(table / table.sum(axis=1, keepdims=True)))
+    bigrams, others = np.log(table / table.sum(axis=1, keepdims=True)), {r["a"]: r["c"] for r in chars[CHARS:]}
+    return Lexicon([r["w"] for r in top], [r["c"] for r in top], common, [by_length.get(k, 0) for k in range(REST)], known, bigrams, others, rest)
 
 
 def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
@@ -280,11 +312,21 @@ def score(docs: DataFrame, lex: Lexicon, weights: Weights) -> DataFrame:
     text_batches(spark)
     shared = spark.sparkContext.broadcast((lex, weights))
 
+    names = ["row", "doc_id", "n_tokens", "pll", "w", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for every document, with a key that is no word, and a row for every different word of it without a number."""
         lex, w = shared.value
+        first = TaskContext.get().partitionId() << 40
+
+        def hand_on(at: list[int], rare: list[str], times: list[int]) -> pa.RecordBatch:
+            out = [pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.array(rare, pa.string()), pa.array(times, pa.int64())]
+            at.clear(), rare.clear(), times.clear()
+            return pa.RecordBatch.from_arrays(out, names=names)
+
         for batch in batches:
             pll, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            rows, held = [], []
+            rows, held, at, rare, times = [], [], [], [], []
 
             def close(rows=rows, held=held, pll=pll) -> None:
                 if held:
@@ -295,14 +337,36 @@ def score(docs: DataFrame, lex: Lexicon, weights: Weights) -> DataFrame:
                 words, ids = lex.tokens(text)
                 n[i] = len(words)
                 if words:
-                    pll[i] = lex.spelled(words, ids)
+                    pll[i] = lex.within[ids[ids >= 0]].sum()
                     rows.append(i), held.append(lex.class_of(words, ids))
                     if sum(map(len, held)) >= TOGETHER:
                         close()
+                    missing = Counter([words[k] for k in np.flatnonzero(ids < 0).tolist()])
+                    at.extend(repeat(first + i, len(missing))), rare.extend(missing), times.extend(missing.values())
+                    if len(at) >= TOGETHER:
+                        yield hand_on(at, rare, times)
             close()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(pll, 4))], names=["doc_id", "n_tokens", "pll"])
-
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, pll double")
+            if at:
+                yield hand_on(at, rare, times)
+            row = range(first, first + batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), batch.column(0), pa.array(n), pa.array(pll), pa.array([f" {k}" for k in row]), pa.array(np.zeros(len(n), np.int64))], names=names)
+            first += batch.num_rows
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the words that the corpus does not have."""
+        lex, _ = shared.value
+        for batch in batches:
+            pll = batch.column(2).to_numpy(zero_copy_only=False).copy()
+            for i, new in enumerate(batch.column(3).to_pylist()):
+                pll[i] += sum(x["n"] * lex.spelled(x["w"]) for x in new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(pll, 4))], names=["doc_id", "n_tokens", "pll"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, pll double, w string, n long").join(lex.counted(), "w", "left")
+    new = F.collect_list(F.when((F.col("n") > 0) & F.col("lp").isNull(), F.struct("w", "n")))
+    own = F.coalesce(F.col("pll"), F.col("n") * F.col("lp"), F.lit(0.0))
+    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(own).alias("pll"), new.alias("new"))
+    t = whole.drop("row").mapInArrow(spell, "doc_id long, n_tokens long, pll double")
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
     return t.withColumn("mean_logprob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
 

@@ -1,10 +1,11 @@
 """Each operator against a brute-force version on small fixtures, with nulls, empty and odd texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -453,6 +454,40 @@ def test_every_position_is_a_target(spark):
         lmscore.train(d, lex, rounds=2, stride=16)
 
 
+def test_every_word_has_its_own_count(spark):
+    rng = random.Random(4)
+    rare = [f"{a}{b}{'x' * rng.choice((0, 5, 9, 14))}" for a in "abcdefgh" for b in "stuvw"]
+    texts = [" ".join(rng.choices(["the", "of", rng.choice(rare), rng.choice(rare[:9])], k=rng.randint(1, 40))) for _ in range(120)]
+    d = docs_of(spark, [*texts, texts[0], "once pair twin twin", "the unique pair", None, " "])
+    counts = Counter(w for r in d.collect() for w in (r["text"] or "").split())
+    lex = lmscore.lexicon(d, words=12)
+    assert len(lex.ids) == 12 < len(counts)
+    w = lmscore.train(d, lex)
+    common = {x for x, c in counts.items() if c * 12 >= sum(counts.values())}
+    length = lambda x: sum(len(x) > k for k in lmscore.LENGTHS)
+    tokens = Counter()
+    for x, c in counts.items():
+        tokens[length(x)] += c * (x not in common)
+    own = lambda x: 0.0 if x in common else math.log(counts.get(x, 1) / (tokens[length(x)] + 1))
+
+    def want(text):
+        words, ids = lex.tokens(text)
+        cls = lex.class_of(words, ids)
+        assert all((k < lmscore.OWN) == (x in common) for x, k in zip(words, cls, strict=True))
+        return float(lmscore.class_logprob(w, lmscore._context(cls), cls).sum(dtype=np.float64)) + sum(map(own, words)) if words else 0.0
+
+    both = d.unionByName(d.limit(5))
+    got = lmscore.score(both, lex, w).collect()
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    assert len(got) == both.count()
+    assert all(r["pll"] == pytest.approx(want(text[r["doc_id"]]), abs=2e-3) for r in got)
+    # words that the corpus does not have are spelled
+    new = lmscore.score(docs_of(spark, ["the qqq", "the qqq \u4e00"]), lex, w).orderBy("doc_id").collect()
+    q = lex.letters[ord("q")]
+    assert new[0]["pll"] == pytest.approx(want("the qqq") + lex.bigrams[[0, q, q, q], [q, q, q, 0]].sum(), abs=2e-3)
+    assert new[1]["pll"] < new[0]["pll"]
+
+
 def test_document_sums_are_each_documents_own():
     rng = np.random.default_rng(0)
     w = lmscore.start_weights()
