@@ -8,8 +8,9 @@ proportion of the classes, and hands them to the other's training set. Then
 both views are calibrated on labelled rows kept aside, and a model of the two
 calibrated log-odds scores every document.
 
-The models are fitted on a bounded sample of rows (FIT_ROWS, chosen by a hash
-of doc_id); features and scores cover all documents and whole texts.
+The models are fitted on a bounded sample of the labelled rows and one of the
+others (FIT_ROWS each, chosen by a hash of doc_id); features and scores cover
+all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tarnbase.llm.common import text_batches
 
-#: Rows (labelled and not) that the views are fitted on, about.
+#: Labelled rows that the views are fitted on, and rows of the pool, about.
 FIT_ROWS = 40_000
+#: Rows of either class that the sample has at least, about, if there are so many.
+CLASS_ROWS = 500
 ROUNDS = 5
 #: Rows a view may hand over in one round, as a share of the pool.
 CONFIDENT = 0.05
@@ -68,14 +71,6 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None, tex
     return [*out, 1.0, np.log1p(n), np.log1p(len(lines)), np.log1p(max(lengths)), np.log1p(sum(lengths) / len(lengths)), sum(x < 20 for x in lengths) / len(lengths), float(source is None) + float(lang is None)]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, t, m: both views of every row; source, lang and n_chars may be missing."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    cols += [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    text_batches(docs.sparkSession)
-    return docs.select(*cols).mapInArrow(_both, "doc_id long, t array<double>, m array<double>")
-
-
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     text, source, lang, n = (batch.column(i).to_pylist() for i in range(1, 5))
     t = np.array([text_features(x) for x in text], np.float64).reshape(-1, N_TEXT)
@@ -83,12 +78,6 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return t, m
 
 
-def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        t, m = _views(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["doc_id", "t", "m"])
-
-
 class Logistic:
     """Ridge logistic regression on standardised columns, by Newton steps."""
 
@@ -139,13 +128,15 @@ class Anchored:
 class CoTrained:
     def __init__(self, text: Logistic, meta: Logistic, cal_text: Anchored, cal_meta: Anchored, joint: Anchored):
         self.text, self.meta, self.cal_text, self.cal_meta, self.joint = text, meta, cal_text, cal_meta, joint
+        #: Log-odds that the sample gives to good quality beyond those of all labelled rows.
+        self.excess = 0.0
 
     def score(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of good quality by text, by metadata, by both."""
         a = self.cal_text.logit(self.text.logit(t)[:, None])
         b = self.cal_meta.logit(self.meta.logit(m)[:, None])
         c = self.joint.logit(np.c_[a, b])
-        return tuple(1 / (1 + np.exp(-x)) for x in (a, b, c))
+        return tuple(1 / (1 + np.exp(self.excess - x)) for x in (a, b, c))
 
 
 def _exchange(views: dict[str, tuple[np.ndarray, np.ndarray]], fit: np.ndarray, y: np.ndarray, rounds: int, confident: float) -> dict[str, Logistic]:
@@ -198,19 +189,42 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
     return CoTrained(whole["t"], whole["m"], cal["t"], cal["m"], joint)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = np.concatenate(_views(batch), axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "v"])
+
+
+def _stacked(rows: list, at: int) -> tuple[np.ndarray, np.ndarray]:
+    v = np.frombuffer(b"".join(r[at] for r in rows), np.float64).reshape(-1, N_TEXT + N_META)
+    return v[:, :N_TEXT], v[:, N_TEXT:]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained | None:
-    """labels: doc_id, quality (1 good, 0 bad, null unknown; the lowest counts where a document has several)."""
-    n = docs.count()
-    part = min(1.0, rows / max(1, n))
-    chosen = docs.where(F.abs(F.xxhash64(F.col("doc_id").cast("string")) % 1_000_003) < int(part * 1_000_003) + 1)
+    """labels: doc_id, quality (1 good, 0 bad, null unknown; the lowest counts where a document has several). None if documents of a class have no labels to speak of."""
+    text_batches(docs.sparkSession)
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    cols += [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+    docs = docs.select(*cols)
     known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
-    pdf = features(chosen).join(known, "doc_id", "left").orderBy("doc_id").toPandas()
-    if pdf.empty:
+    sizes = {r["y"]: r["count"] for r in docs.select("doc_id").join(known, "doc_id", "left").groupBy("y").count().collect()}
+    n = {y: sizes.get(y, 0) for y in (0, 1)}
+    if not n[0] or not n[1]:
         return None
-    t, m = np.stack(pdf["t"].to_numpy()), np.stack(pdf["m"].to_numpy())
-    y = pdf["y"].to_numpy(float)
-    has = ~np.isnan(y)
-    return co_train(t[has], m[has], y[has].astype(int), t[~has], m[~has])
+    # one rate for both classes, unless that leaves too few of one
+    rate = {y: min(1.0, max(rows / (n[0] + n[1]), CLASS_ROWS / n[y])) for y in n}
+    drawn = lambda rate, key=F.col("doc_id").cast("string"): F.abs(F.xxhash64(key) % 1_000_003) < F.lit(1_000_003) * rate
+    views = lambda t: t.mapInArrow(_packed, "doc_id long, v binary")
+    mine = known.where(drawn(F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))).join(docs.select("doc_id").distinct(), "doc_id")
+    # as many as `rows` and CLASS_ROWS allow, so they can be with every task
+    labelled = views(docs.join(F.broadcast(mine), "doc_id", "left_semi")).join(F.broadcast(mine), "doc_id").select("doc_id", "y", "v").orderBy("doc_id", "v").collect()
+    pool = []
+    if sizes.get(None):
+        pool = views(docs.where(drawn(F.lit(min(1.0, rows / sizes[None])), F.coalesce(F.col("doc_id").cast("string"), "text")))).join(known, "doc_id", "left_anti").orderBy("doc_id", "v").collect()
+    model = co_train(*_stacked(labelled, 2), np.array([r["y"] for r in labelled], int), *_stacked(pool, 1))
+    if model is not None:
+        model.excess = float(np.log(rate[1] / rate[0]))
+    return model
 
 
 _SCORES = "text_score double, meta_score double, score double"

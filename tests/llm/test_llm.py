@@ -427,6 +427,20 @@ def test_co_training_uses_the_pool():
     assert quality.co_train(t[:40], m[:40], np.ones(40, int), t, m) is None
 
 
+def test_few_labels_among_many_documents(spark):
+    good = lambda i: f"The river was calm that day, and {i} boats came home. Nobody spoke of the storm."
+    bad = lambda i: f"BUY!!! BUY!!! {i} $$$ CLICK >>> CLICK >>> WIN {i} WIN"
+    d = docs_of(spark, [(good if i % 2 else bad)(i) for i in range(4000)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep_good(d, lab, rows=200).collect()}
+    assert kept == set(range(1, 4000, 2))
+    # a class that is rare among the labels is not lost either, and stays rare
+    lab = spark.createDataFrame([(i, i % 2) for i in range(4000) if i % 2 or i < 20], "doc_id long, quality int")
+    model = quality.fit(d, lab, rows=200)
+    assert model is not None and model.excess < 0
+    assert {r["doc_id"] for r in quality.keep_good(d, lab, rows=200).collect()} == set(range(1, 4000, 2))
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(8)
     nouns, verbs = ["cat", "dog", "bird"], ["sees", "hears"]
