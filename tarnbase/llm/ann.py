@@ -10,11 +10,14 @@ space until F_m reaches the wanted confidence.
 Across the cluster, a shallow kd-tree of medians (fitted on a bounded sample
 of projected vectors) deals the vectors into cells, and a crowded cell into
 blocks of bounded size. Queries first search their own cell, which gives a
-bound d; then, in a second pass, every other cell whose box the stopping test
-does not exclude at that bound. In a block, rows are grouped by a local
-kd-tree whose leaves are met in order of their distance to the query.
+bound d; then the cells nearest to them, which tighten it; then every other
+cell whose box the stopping test does not exclude at that bound. In a block,
+rows are grouped by a local kd-tree whose leaves are met in order of their
+distance to the query, in growing steps, with the test before each step.
 Every vector is indexed and every query answered; equal vectors are searched
-once, with their k + 1 smallest ids, which is all that a top k can hold.
+once, with their k + 1 smallest ids, which is all that a top k can hold. A
+vector that very many rows share meets its queries by broadcast, so that they
+are not sent to one task; there are HOT such vectors at most.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage, vector_batches
-from tarnbase.llm.vectordedup import valid_vectors
+from tarnbase.llm.common import small_batches, stage
+from tarnbase.llm.vectordedup import as_binary, matrices, valid_vectors
 
 DIMENSIONS = 8
 #: Probability at which a query stops; the miss of one true neighbour is at most its complement.
@@ -38,6 +41,10 @@ FIT_ROWS = 20_000
 #: Vectors of a block and of a leaf.
 BLOCK, LEAF = 8192, 128
 MOST_CELLS = 4096
+#: Cells, in order of their distance to the query, of the second and of the third pass.
+PASSES = ((1, 9), (9, MOST_CELLS))
+#: A vector of more than one row in HOT is hot.
+HOT = 1000
 
 
 def chi2_cdf(x: np.ndarray, m: int) -> np.ndarray:
@@ -110,7 +117,7 @@ def _search(pdf: pd.DataFrame, k: int, m: int, confidence: float) -> pd.DataFram
     empty = pd.DataFrame({"q": [], "id": [], "score": []})
     if vec.empty or qry.empty:
         return empty
-    x = np.stack([np.frombuffer(b) for b in vec["v"]])
+    x = np.frombuffer(b"".join(vec["v"])).reshape(len(vec), -1)
     ids = vec["id"].to_numpy()
     r = _projection(x.shape[1], m)
     px = x @ r
@@ -121,19 +128,25 @@ def _search(pdf: pd.DataFrame, k: int, m: int, confidence: float) -> pd.DataFram
     outs = []
     for s in range(0, len(qry), 256):
         part = qry.iloc[s : s + 256]
-        q = np.stack([np.frombuffer(b) for b in part["v"]])
+        q = np.frombuffer(b"".join(part["v"])).reshape(len(part), -1)
         gaps = tree.gaps(q @ r)
         turn = np.argsort(gaps, axis=1, kind="stable")
         for i, (qid, bound) in enumerate(zip(part["id"].to_numpy(), part["bound"].to_numpy(), strict=True)):
             got_d, got_i = np.empty(0), np.empty(0, np.int64)
-            for j in turn[i]:
+            near, step = gaps[i, turn[i]], 1
+            j = 0
+            while j < len(near):
                 kth = min(bound, got_d[k - 1] if len(got_d) >= k else np.inf)
-                if kth < np.inf and gaps[i, j] > 0 and (kth == 0 or chi2_cdf(np.array(gaps[i, j] / (kth * kth)), m) >= confidence):
+                if kth < np.inf and near[j] > 0 and (kth == 0 or chi2_cdf(np.array(near[j] / (kth * kth)), m) >= confidence):
                     break
-                rows = order[first[j] : first[j + 1]]
+                rows = np.concatenate([order[first[t] : first[t + 1]] for t in turn[i, j : j + step]])
+                j, step = j + step, 2 * step
                 diff = x[rows] - q[i]
                 d = np.sqrt((diff * diff).sum(axis=1))
                 got_d, got_i = np.r_[got_d, d], np.r_[got_i, ids[rows]]
+                if len(got_d) > k:  # ties of the k-th stay for the order by id
+                    close = got_d <= np.partition(got_d, k - 1)[k - 1]
+                    got_d, got_i = got_d[close], got_i[close]
                 best = np.lexsort((got_i, got_d))[:k]
                 got_d, got_i = got_d[best], got_i[best]
             outs.append(pd.DataFrame({"q": qid, "id": got_i, "score": got_d}))
@@ -146,10 +159,12 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every:
     Queries are the rows whose id is divisible by `every` (or the given ids).
     Null, empty, zero and non-finite vectors take no part; vectors of
     different lengths are not compared. With fewer than k others, all are
-    returned. An empty table gives no rows.
+    returned. Rows that repeat an id with the same vector are one; if the
+    vectors differ, each is searched and found. Extra columns are ignored. An
+    empty table gives no rows.
     """
     spark = df.sparkSession
-    vector_batches(spark)
+    small_batches(spark)
     valid = valid_vectors(df, id_col, vec_col).distinct()
     # a class of equal vectors: its k + 1 smallest ids are all that any top k can show
     few = Window.partitionBy("v").orderBy("id")
@@ -160,7 +175,12 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every:
     if not n:
         return classes.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     # each query's class, by the vector itself
-    owner = stage(asked.join(classes.select(F.col("id").alias("q"), "v"), "v").select("id", "q"), "owner")
+    asked = stage(asked, "asked")
+    often = asked.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") * HOT > asked.count()).select("v")
+    named = classes.select(F.col("id").alias("q"), "v")
+    hot = stage(named.join(often, "v", "left_semi"), "hot")
+    owner = asked.join(F.broadcast(hot), "v").select("id", "q").union(asked.join(F.broadcast(hot), "v", "left_anti").join(named, "v").select("id", "q"))
+    owner = stage(owner, "owner")
     keep = min(1.0, FIT_ROWS / n)
     sample = classes.where(F.abs(F.xxhash64("id") % 1_000_003) < int(keep * 1_000_003) + 1).orderBy("id").toPandas()
     trees = {}
@@ -172,13 +192,9 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]
-            dims = np.array([len(v) for v in raw], np.int64)
-            cell = np.zeros(len(raw), np.int64)
-            for d in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == d)
-                cell[at] = shared.value[d].place(np.stack([raw[i] for i in at]) @ _projection(d, m)) + d * MOST_CELLS * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array([v.tobytes() for v in raw], pa.binary())], names=["id", "cell", "v"])
+            for d, rows, x in matrices(batch.column(1)):
+                cell = shared.value[d].place(x @ _projection(d, m)) + d * MOST_CELLS * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(cell), as_binary(x)], names=["id", "cell", "v"])
 
     at = stage(classes.mapInArrow(place, "id long, cell long, v binary"), "at")
     sizes = stage(at.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "sizes")
@@ -191,30 +207,40 @@ def nearest(df: DataFrame, queries: DataFrame | None = None, k: int = 10, every:
         dealt = queries_in.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.expr("sequence(0, nb - 1)")).alias("b"), F.lit(1).alias("side"), "id", "v", "bound")
         return vectors.unionByName(dealt).groupBy("cell", "b").applyInPandas(search, "q long, id long, score double")
 
-    one = stage(run(q.select("cell", "id", "v", F.lit(float("inf")).alias("bound"))), "first")
-    best = one.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("bound"))
-    again = q.select("id", "v", F.col("cell").alias("own")).join(best, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i, v, own, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(v)
-                gaps = shared.value[len(x)].gaps((x @ _projection(len(x), m))[None])[0]
-                ratio = np.where(gaps > 0, gaps / max(bound, 1e-300) ** 2 if bound > 1e-150 else np.inf, 0.0) if bound < np.inf else np.zeros(len(gaps))
-                todo = np.flatnonzero(chi2_cdf(ratio, m) < confidence) + len(x) * MOST_CELLS * 4
-                out += [(c, i, v, bound) for c in todo.tolist() if c != own]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "id", "v", "bound"])
-
-    two = run(again.select("id", "v", "own", "bound").mapInArrow(others, "cell long, id long, v binary, bound double"))
     by = Window.partitionBy("q").orderBy("score", "id")
-    top = one.unionByName(two).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("q", "id", "score")
+    top = stage(run(q.select("cell", "id", "v", F.lit(float("inf")).alias("bound"))), "found")
+    for start, stop in PASSES:
+        if all(len(t.lo) <= start for t in trees.values()):
+            break
+        best = top.withColumn("r", F.row_number().over(by)).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").alias("bound"))
+        again = q.select("id", "v", F.col("cell").alias("own")).join(best, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+
+        def others(batches: Iterator[pa.RecordBatch], start: int = start, stop: int = stop) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for i, v, own, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    x = np.frombuffer(v)
+                    gaps = shared.value[len(x)].gaps((x @ _projection(len(x), m))[None])[0]
+                    gaps[own - len(x) * MOST_CELLS * 4] = -1  # the first in the order: it has been searched
+                    turn = np.argsort(gaps, kind="stable")[start:stop]
+                    if bound < np.inf:
+                        ratio = gaps[turn] / max(bound, 1e-300) ** 2 if bound > 1e-150 else np.where(gaps[turn] > 0, np.inf, 0.0)
+                        turn = turn[chi2_cdf(ratio, m) < confidence]
+                    out += [(c, i, v, bound) for c in (turn + len(x) * MOST_CELLS * 4).tolist()]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "id", "v", "bound"])
+
+        more = run(again.select("id", "v", "own", "bound").mapInArrow(others, "cell long, id long, v binary, bound double"))
+        top = stage(top.unionByName(more).withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("q", "id", "score"), "found")
+    top = top.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("q", "id", "score")
     # classes to their ids, query classes to their queries
     members = low.join(classes.select(F.col("id").alias("c"), "v"), "v").select("c", F.col("id").alias("vec_id"))
     full = top.join(members, F.col("id") == F.col("c")).select("q", "vec_id", "score")
     full = full.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
-    out = owner.withColumnRenamed("id", "query_id").join(full, "q").where("query_id <> vec_id")
+    full = stage(full.select("q", "vec_id", "score"), "full")
+    owner, hot = owner.withColumnRenamed("id", "query_id"), F.broadcast(hot.select("q"))
+    many = owner.join(hot, "q", "left_semi").join(F.broadcast(full.join(hot, "q", "left_semi")), "q")  # HOT * (k + 1) rows at most
+    out = owner.join(hot, "q", "left_anti").join(full, "q").unionByName(many).where("query_id <> vec_id")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

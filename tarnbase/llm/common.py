@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Rows of one Arrow batch of texts handed to Python; bounds a worker's memory.
-TEXT_BATCH = 512
+#: Rows of one Arrow batch handed to Python; bounds a worker's memory.
+BATCH = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.conf.get("tarnbase.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if the executors are threads of this machine's driver (tests); on a cluster that is an error, as executors would write where nobody else reads."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tarnbase.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tarnbase-")
         spark.conf.set("tarnbase.shared.dir", folder)
     return folder.rstrip("/")
@@ -35,27 +38,50 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and keeps sizes known to the planner. Removed when the driver's Python ends."""
+#: Paths staged inside each open scratch().
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go at the end of the block; what is still needed then must have been written, or staged with keep."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
+def stage(df: DataFrame, name: str = "t", keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and keeps sizes known to the planner. Removed at the end of the scratch() around it (unless keep), or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tarnbase/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long texts must fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows at most: a batch of long texts must fit in a Python worker. Only ever lowers the session's setting, so it does not matter which of several lazy results runs first."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
-def vector_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+def nested(docs: DataFrame, name: str = "d") -> Column:
+    """All columns of docs as one struct, so that no name of theirs clashes with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
-def words_array(text: str = "text"):
-    """The words of a text as an array; a null or blank text gives an empty one."""
-    return F.expr(rf"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+def fingerprint(*cols: Column) -> Column:
+    """128 bits of the values of the columns, nulls included."""
+    values = [x for c in cols for x in (c, c.isNull())]
+    return F.struct(F.xxhash64(*values).alias("x"), F.xxhash64(F.lit(1), *values).alias("y"))
 
 
 def n_words(text: str = "text"):
@@ -63,7 +89,11 @@ def n_words(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Neighbours from which a node is a hub, whose edges are not sent to one task; and hubs at most, which bounds what is broadcast.
+HUB, HUBS = 50_000, 20_000
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph.
 
     edges: two integer columns. Returns (node, component) for every node that
@@ -71,26 +101,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     repeats and either direction are allowed; null ends are dropped. An empty
     input gives an empty result.
 
-    Alternating large-star and small-star rounds: each links every node to the
-    smallest neighbour seen, so stars hold after O(log n) rounds on usual
-    graphs. Minima are aggregated before the shuffle, so a hub is not gathered
-    in one task.
+    Alternating large-star and small-star rounds, until nothing changes: each
+    links every node to the smallest neighbour seen, so stars hold after
+    O(log^2 n) rounds. Minima are aggregated before the shuffle; a hub's edges
+    meet its minimum by a broadcast of the hubs, of which there are few.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
     e = stage(e.distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or mark == seen:
             break
         seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        pairs = star.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
+        star = _to_minimum(both, mark["n"], own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        pairs = _to_minimum(star, mark["n"], own=False)
         flat = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
         e = stage(flat.select("p.u", "p.v").where("u <> v").distinct(), "edges")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _to_minimum(star: DataFrame, n: int, own: bool) -> DataFrame:
+    """(u, v, m): m is u's smallest neighbour, or u itself if own is set and u is smaller."""
+    hub = max(HUB, 2 * n // HUBS)  # of the 2n ends of n edges no more than HUBS nodes have so many
+    low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    low = low.select(F.col("u").alias("k"), (F.least("u", "m") if own else F.col("m")).alias("m"), "c")
+    if n < hub:
+        return star.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
+    low = stage(low, "low")
+    hubs = F.broadcast(low.where(F.col("c") >= hub).select("k", "m"))
+    far = star.join(hubs, F.col("u") == F.col("k")).select("u", "v", "m")
+    near = star.join(hubs, F.col("u") == F.col("k"), "left_anti").join(low.where(F.col("c") < hub), F.col("u") == F.col("k"))
+    return near.select("u", "v", "m").union(far)

@@ -11,25 +11,29 @@ posterior at the mean word, so that long texts do not all score 1.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage, text_batches
+from tarnbase.llm.common import small_batches, stage
 
 #: Rows per language that the model is fitted on, about; which ones, a hash of doc_id says.
 FIT_ROWS = 1500
 #: Entries of the word table and of each n-gram table, at most: the most frequent, ties by code point.
 TABLE = 60_000
+#: Words and n-grams that occur less often than this are not learned; a word then backs off.
+LEAST = 2
 GRAMS = (4, 3, 2, 1)
 BACKOFF, FLOOR = math.log(0.4), -14.0
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters, in fitting and in predicting.
+LETTERS = r"\p{L}+"
+_WORD = regex.compile(LETTERS)
 #: Words that are scored together; bounds a worker's memory.
 TOGETHER = 100_000
 
@@ -112,13 +116,13 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, table: int = TABLE) -> Model:
         return Model([], {}, {n: {} for n in GRAMS})
     share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, rows / sizes[x]))])
     chosen = t.where(F.pmod("key", F.lit(1_000_003)) / 1_000_003.0 < share[F.col("lang")])
-    words = stage(chosen.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")), "words")
+    words = stage(chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), 0)).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")), "words")
     ln, at = len(langs), {x: i for i, x in enumerate(langs)}
 
     def logs(counts: DataFrame) -> dict[str, np.ndarray]:
         sums = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("c")).collect()}
         base = np.array([sums.get(x, 0) + 1.0 for x in langs])
-        keep = counts.groupBy("w").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("m")).where("n > 1").orderBy(F.desc("n"), "w").limit(table)
+        keep = counts.groupBy("w").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("m")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(table)
         out = {}
         for r in keep.collect():
             v = np.full(ln, 0.3)
@@ -138,7 +142,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, table: int = TABLE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score. A text that is null or has no letter, and any text if nothing was learned, is `und` with score 0."""
     spark = docs.sparkSession
-    text_batches(spark)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, rows: int = FIT_ROWS, table: int = TABLE) -> DataFrame:
-    """Fit on the rows that are not held out and predict every row: doc_id, held_out, lang_pred, score. Extra columns are ignored; repeated rows each get a row; an empty table gives none."""
+    """Fit on the rows that are not held out and predict every row: doc_id, held_out, lang_pred, score. Ties go to the language that is first by code point; whole texts count however long; extra columns are ignored; repeated rows each get a row, and count as often in fitting; an empty table gives none."""
     learn = docs.where(~held_out()).select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("key"))
     out = predict(docs.select("doc_id", "text"), fit(learn, rows, table))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -1,21 +1,28 @@
 """Masked pseudo-likelihood of documents.
 
-A small bidirectional window network predicts the class of every word from
-the two words on either side, and the word from its class:
-log P(w_i | w_{i-2}, w_{i-1}, w_{i+1}, w_{i+2}), summed over all positions.
-
-Word counts come from all documents, and every word of them has a probability
-in its class by its own count. The most frequent words have classes of their
-own, those that make up one token in WORDS at least share classes of equal mass,
-and the rest share classes by their length; so the rule is the same at every
-size, and classes take in as many words as the corpus has. The counts of the
-most frequent words are with every task, those of all others stay distributed
-and are joined to the words of the documents. Only words that the corpus does
-not have are spelled, by a character bigram model of all its words. The network is trained in numpy where the data is: in round r every task trains a
-copy on the positions r, r + STRIDE, r + 2 STRIDE, ... of each of its documents,
-so that after STRIDE rounds every position has been a target. The copies are
-averaged, first in groups on the executors, and the next round starts from the
-average.
+A small bidirectional window network predicts every word from the two words on
+either side: log P(w_i | w_{i-2}, w_{i-1}, w_{i+1}, w_{i+2}), summed over all
+positions. Its output is a softmax of two levels over words: first the class,
+then the group within the class, both from the hidden layer. The most frequent
+words are classes of their own; the other words of the table are dealt, by
+falling count, into groups of equal mass, so that most groups of the corpus's
+frequent words hold one word or a few. Within its group a word has its share of
+the group's count. The same groups are what the network sees of the context.
+
+Word counts come from all documents. The table that is with every task holds
+the words that make up one token in TABLE and occur LEAST times, a rule that is
+the same at every size. All other words are in four groups by length. Their
+counts, of which there are as many as the corpus has words, stay distributed
+and are joined to the words of the documents; a document's own occurrences are
+left out of them, so words that other documents have too are told from words
+that only it has. Those are spelled, by a character bigram model of all words.
+
+The network is trained in numpy where the data is. Documents are dealt to parts
+by a hash, PART tokens in each on average, and stand in a part by doc_id. In
+round r a copy of the network is trained on the positions r, r + STRIDE, ... of
+each document of a part, so that after STRIDE rounds every position has been a
+target; the copies are averaged in the order of the parts, and the next round
+starts from the average. So the result does not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -26,47 +33,67 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage, text_batches
-
-#: Words whose counts are with every task; bounds the table that is broadcast. A word of one token in so many is always among them.
-WORDS = 20_000
-CLASSES, OWN, REST = 64, 40, 4
-#: The classes by length begin above these.
+from tarnbase.llm.common import small_batches, stage
+
+#: The table has words of one token in TABLE that occur LEAST times; so it has TABLE words at most.
+TABLE, LEAST = 1_000_000, 50
+#: Words that are classes of their own; classes of GROUPS groups each; groups by length.
+OWN, SHARED, GROUPS, REST = 40, 20, 64, 4
+CLASSES = OWN + SHARED + REST
+#: Groups of words there are; as a context, EDGE stands beyond the ends.
+LEAVES = OWN + SHARED * GROUPS + REST
+EDGE = LEAVES
+#: The groups by length begin above these.
 LENGTHS = 6, 10, 15
 SIDE, HIDDEN = 2, 16
 #: STRIDE is at most ROUNDS, so that every position is a target.
-STRIDE, ROUNDS, BATCH = 2, 2, 512
+STRIDE, ROUNDS, BATCH = 2, 2, 2048
+#: Tokens of a part, about.
+PART = 2_000_000
 #: Different words that a task counts before it hands them on.
 COUNTED = 200_000
 #: Characters of the bigram table; bounds it. All others have their own share of what it gives to others.
 CHARS = 400
-#: Tokens that are scored together, and rows handed on together; bounds a worker's memory.
+#: Tokens that are scored together; bounds a worker's memory.
 TOGETHER = 65_536
+#: Weights that are added up in one task.
+ADDED = 32
+
+_LEAF = np.arange(LEAVES)
+#: Class of each group, and its number within a class of several.
+CLASS_OF = np.where(_LEAF < OWN, _LEAF, np.where(_LEAF < LEAVES - REST, OWN + (_LEAF - OWN) // GROUPS, _LEAF - LEAVES + CLASSES))
+GROUP_OF = np.where((_LEAF >= OWN) & (_LEAF < LEAVES - REST), (_LEAF - OWN) % GROUPS, 0)
+
+
+def rest_group(n):
+    """0 to REST - 1: which group by length a word outside the table is in, by its length."""
+    return sum((n > least) * 1 for least in LENGTHS)
 
 
 class Lexicon:
-    """Class and log P(word | class) of every word there can be."""
+    """Group and log P(word | group) of every word there can be."""
 
-    def __init__(self, words: list[str], counts: list[int], common: int, rest: list[int], chars: dict[str, int], bigrams: np.ndarray, others: dict[str, int], table: DataFrame):
-        """words by falling count, the first `common` with classes by frequency; rest: tokens of all other words of the corpus by class; bigrams: log P(next | char), 0 is the boundary, the last is any other character; others: the counts of those; table: (w, c) of the words that are not in `words`."""
+    def __init__(self, words: list[str], counts: list[int], rest: list[int], chars: dict[str, int], bigrams: np.ndarray, others: dict[str, int], table: DataFrame | None):
+        """words of the table by falling count; rest: tokens of all other words by length; bigrams: log P(next | char), 0 is the boundary, the last is any other character; others: the counts of those; table: (h, c), hash and count of the words that are not in `words`."""
         self.ids = {w: i for i, w in enumerate(words)}
-        own, shared = min(OWN, common), CLASSES - OWN - REST
         n = np.array(counts, np.float64)
-        tail = n[own:common]
-        before = np.cumsum(tail) - tail
-        at = OWN + np.minimum(shared - 1, before / max(1.0, tail.sum()) * shared).astype(np.int64)
-        sums = np.bincount(at, weights=tail, minlength=CLASSES)
-        by_length = np.fromiter(map(rest_class, map(len, words[common:])), np.int64, len(words) - common)
-        #: Tokens of the classes by length, and one for words that the corpus does not have.
-        self.rest = np.r_[np.zeros(CLASSES - REST), rest] + 1.0
-        #: The last entry stands for words that have none.
-        self.classes = np.r_[np.arange(own), at, by_length, 0].astype(np.int64)
-        self.within = np.r_[np.zeros(own), np.log(tail / np.maximum(sums[at], 1)), np.log(n[common:] / self.rest[by_length]), 0.0]
+        own = min(OWN, len(n))
+        tail = n[own:]
+        at = OWN + np.minimum(SHARED * GROUPS - 1, (np.cumsum(tail) - tail) / max(1.0, tail.sum()) * SHARED * GROUPS).astype(np.int64)
+        #: Tokens of every group; of those by length, one more for words that the corpus does not have.
+        self.mass = np.zeros(LEAVES)
+        self.mass[:own] = n[:own]
+        np.add.at(self.mass, at, tail)
+        self.mass[LEAVES - REST :] = np.array(rest) + 1.0
+        self.leaves = np.r_[np.arange(own), at].astype(np.int64)
+        self.within = np.r_[np.zeros(own), np.log(tail / self.mass[at])]
         self.letters = np.full(0x110000, len(bigrams) - 1, np.int16)
         self.letters[32] = 0
         for c, k in chars.items():
@@ -82,53 +109,54 @@ class Lexicon:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def tokens(self, text: str | None) -> tuple[list[str], np.ndarray]:
-        """Words of a whole text and their numbers, -1 for those without."""
+        """Words of a whole text and their numbers, -1 for those outside the table."""
         words = text.lower().split() if text else []
         return words, np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
 
-    def class_of(self, words: list[str], ids: np.ndarray) -> np.ndarray:
-        """Classes; words without a number have one by their length."""
+    def groups(self, words: list[str], ids: np.ndarray) -> np.ndarray:
+        """The group of each word."""
         n = np.fromiter(map(len, words), np.int64, len(words))
-        return np.where(ids >= 0, self.classes[ids], rest_class(n))
-
-    def counted(self) -> DataFrame:
-        """(w, lp): log P(word | class) of the corpus's words without a number."""
-        n = F.length("w")
-        tokens = F.lit(float(self.rest[-REST]))
-        for k, least in enumerate(LENGTHS, 1):
-            tokens = F.when(n > least, float(self.rest[k - REST])).otherwise(tokens)
-        return self.table.select("w", F.log(F.col("c") / tokens).alias("lp"))
-
-    def spelled(self, word: str) -> float:
-        """log P(word | class) of a word that the corpus does not have: letter by letter."""
-        c = self.letters[np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4")]
-        odd = sum(self.others.get(x, self.unknown) for x, k in zip(word, c[1:-1], strict=True) if k == len(self.bigrams) - 1)
-        return float(self.bigrams[c[:-1], c[1:]].sum()) + odd - math.log(self.rest[rest_class(len(word))])
-
-
-def rest_class(n):
-    """The class of words that are not common, by their lengths."""
-    return CLASSES - REST + sum((n > least) * 1 for least in LENGTHS)
-
-
-def _context(cls: np.ndarray) -> np.ndarray:
-    """The classes around every position; beyond the ends stands CLASSES."""
-    p = np.concatenate([np.full(SIDE, CLASSES), cls, np.full(SIDE, CLASSES)])
-    n = len(cls)
-    return np.stack([p[i : i + n] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
+        return np.where(ids >= 0, self.leaves[ids] if len(self.leaves) else 0, LEAVES - REST + rest_group(n))
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """log P(word | group) of words that no other document has: letter by letter."""
+        if not words:
+            return np.empty(0)
+        text = f" {' '.join(words)} "
+        c = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        start = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        out = np.add.reduceat(self.bigrams[c[:-1], c[1:]], start)
+        odd = np.flatnonzero(c == len(self.bigrams) - 1)
+        if len(odd):
+            np.add.at(out, np.searchsorted(start, odd, "right") - 1, [self.others.get(text[i], self.unknown) for i in odd])
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        return out - np.log(self.mass[LEAVES - REST + rest_group(n)])
 
 
-Weights = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Weights = list[np.ndarray]
 
 
-def start_weights(seed: int = 3) -> Weights:
+def start_weights(lex: Lexicon | None = None, seed: int = 3) -> Weights:
+    """Input tables by side, hidden bias; classes and their bias; groups of each class and their bias. The biases of the output begin at what is known without a context."""
     rng = np.random.default_rng(seed)
-    return (
-        (0.1 * rng.standard_normal((2 * SIDE, CLASSES + 1, HIDDEN))).astype(np.float32),
+    share = np.zeros(LEAVES) if lex is None else np.log((lex.mass + 1e-3) / lex.mass.sum())
+    group = share[OWN : LEAVES - REST].reshape(SHARED, GROUPS)
+    most = np.r_[share[:OWN], np.logaddexp.reduce(group, axis=1), share[LEAVES - REST :]]
+    return [
+        (0.1 * rng.standard_normal((2 * SIDE, LEAVES + 1, HIDDEN))).astype(np.float32),
         np.zeros(HIDDEN, np.float32),
         (0.1 * rng.standard_normal((HIDDEN, CLASSES))).astype(np.float32),
-        np.zeros(CLASSES, np.float32),
-    )
+        most.astype(np.float32),
+        (0.1 * rng.standard_normal((SHARED, HIDDEN, GROUPS))).astype(np.float32),
+        (group - np.logaddexp.reduce(group, axis=1, keepdims=True)).astype(np.float32),
+    ]
+
+
+def _context(leaves: np.ndarray) -> np.ndarray:
+    """The groups around every position."""
+    p = np.concatenate([np.full(SIDE, EDGE), leaves, np.full(SIDE, EDGE)])
+    n = len(leaves)
+    return np.stack([p[i : i + n] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
 
 
 def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
@@ -138,47 +166,83 @@ def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h + w[1])
 
 
-def class_logprob(w: Weights, ctx: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """log P(class | context) of every row."""
-    out = np.empty(len(cls), np.float32)
-    for i in range(0, len(cls), 4096):
-        z = _hidden(w, ctx[i : i + 4096]) @ w[2] + w[3]
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=-1, keepdims=True))
+    return p / p.sum(axis=-1, keepdims=True)
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows whose class has groups; their class and their place among the rows of that class, and the most rows of one."""
+    rows = np.flatnonzero((cls >= OWN) & (cls < OWN + SHARED))
+    rows = rows[np.argsort(cls[rows], kind="stable")]
+    s = cls[rows] - OWN
+    n = np.bincount(s, minlength=SHARED)
+    return rows, s, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n), int(n.max(initial=0))
+
+
+def leaf_logprob(w: Weights, ctx: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """log P(group | context) of every row."""
+    out = np.empty(len(leaf), np.float32)
+    for i in range(0, len(leaf), 4096):
+        l = leaf[i : i + 4096]
+        h, cls = _hidden(w, ctx[i : i + 4096]), CLASS_OF[l]
+        z = h @ w[2] + w[3]
         z -= z.max(axis=1, keepdims=True)
-        out[i : i + 4096] = z[np.arange(len(z)), cls[i : i + 4096]] - np.log(np.exp(z).sum(axis=1))
+        got = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
+        rows, s, k, most = _by_class(cls)
+        if most:
+            each = np.zeros((SHARED, most, HIDDEN), np.float32)
+            each[s, k] = h[rows]
+            q = np.matmul(each, w[4]) + w[5][:, None]
+            q -= q.max(axis=2, keepdims=True)
+            got[rows] += q[s, k, GROUP_OF[l[rows]]] - np.log(np.exp(q).sum(axis=2))[s, k]
+        out[i : i + 4096] = got
     return out
 
 
 def document_sums(w: Weights, docs: list[np.ndarray]) -> np.ndarray:
-    """Summed class log-probabilities of several documents, scored together; each sees only its own words."""
-    edge = np.full(SIDE, CLASSES)
-    whole = np.concatenate([x for d in docs for x in (edge, d)] + [edge])
+    """Summed log-probabilities of the groups of several documents, scored together; each sees only its own words."""
+    edge = np.full(SIDE, EDGE)
+    whole = np.concatenate([x for d in docs for x in (edge, d)] + [edge]).astype(np.int64)
     at = np.concatenate([np.arange(len(d)) + o for d, o in zip(docs, np.cumsum([SIDE] + [len(d) + SIDE for d in docs[:-1]]), strict=True)]).astype(np.int64)
     lp = np.zeros(len(at))
     for i in range(0, len(at), 4096):
         rows = at[i : i + 4096]
-        lp[i : i + 4096] = class_logprob(w, np.stack([whole[rows + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), whole[rows])
+        lp[i : i + 4096] = leaf_logprob(w, np.stack([whole[rows + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), whole[rows])
     return np.array([x.sum() for x in np.split(lp, np.cumsum([len(d) for d in docs])[:-1])])
 
 
-def sgd(w: Weights, grads: Weights, ctx: np.ndarray, cls: np.ndarray, rate: float = 0.08) -> None:
-    """One Adagrad step, in place; grads holds the squared sums."""
-    n = len(cls)
-    h = _hidden(w, ctx)
-    z = h @ w[2] + w[3]
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+def sgd(w: Weights, past: Weights, ctx: np.ndarray, leaf: np.ndarray, rate: float = 0.08) -> None:
+    """One Adagrad step, in place; past holds the squared sums."""
+    n = len(leaf)
+    cls, h = CLASS_OF[leaf], _hidden(w, ctx)
+    p = _softmax(h @ w[2] + w[3])
     p[np.arange(n), cls] -= 1
     p /= n
-    back = (p @ w[2].T) * (1 - h * h)
-    steps = [(2, None, h.T @ p), (3, None, p.sum(axis=0)), (1, None, back.sum(axis=0))]
+    back = p @ w[2].T
+    steps = [(w[2], past[2], h.T @ p), (w[3], past[3], p.sum(axis=0))]
+    rows, s, k, most = _by_class(cls)
+    if most:
+        each = np.zeros((SHARED, most, HIDDEN), np.float32)
+        each[s, k] = h[rows]
+        q = np.zeros((SHARED, most, GROUPS), np.float32)
+        q[s, k] = _softmax(np.matmul(each, w[4]) + w[5][:, None])[s, k]
+        q[s, k, GROUP_OF[leaf[rows]]] -= 1
+        q /= n
+        back[rows] += np.matmul(q, w[4].transpose(0, 2, 1))[s, k]
+        steps += [(w[4], past[4], np.matmul(each.transpose(0, 2, 1), q)), (w[5], past[5], q.sum(axis=1))]
+    back *= 1 - h * h
+    steps.append((w[1], past[1], back.sum(axis=0)))
+    for a, sq, g in steps:
+        sq += g * g
+        a -= rate * g / np.sqrt(sq + 1e-8)
     for i in range(2 * SIDE):
-        hot = np.zeros((n, CLASSES + 1), np.float32)
-        hot[np.arange(n), ctx[:, i]] = 1
-        steps.append((0, i, hot.T @ back))
-    for k, i, g in steps:
-        a, s = (w[k], grads[k]) if i is None else (w[k][i], grads[k][i])
-        s += g * g
-        a -= rate * g / np.sqrt(s + 1e-8)
+        order = np.argsort(ctx[:, i], kind="stable")
+        seen = ctx[order, i]
+        first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+        g, at = np.add.reduceat(back[order], first, axis=0), seen[first]
+        past[0][i][at] += g * g
+        w[0][i][at] -= rate * g / np.sqrt(past[0][i][at] + 1e-8)
 
 
 def _pack(w: Weights) -> bytes:
@@ -190,12 +254,12 @@ def _unpack(b: bytes) -> Weights:
     for x in start_weights():
         out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
         at += x.size
-    return tuple(out)
+    return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c) over all documents, by the same rule that scoring splits words by. Tasks count in tables of bounded size before the shuffle."""
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -217,54 +281,97 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def lexicon(docs: DataFrame, words: int = WORDS) -> Lexicon:
-    """Counts over all documents; the driver receives the `words` most frequent words and a table of character pairs, all other words stay distributed."""
+def lexicon(docs: DataFrame, table: int = TABLE, least: int = LEAST) -> Lexicon:
+    """Counts over all documents; the driver receives the words of the table (`table` at most) and a table of character pairs, all other words stay distributed."""
     t = stage(word_counts(docs), "words")
-    # the count from which a word is frequent enough, from the numbers of words by count: so no task sends a whole table of its own
-    cut, left = 1, words
-    for r in t.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
-        cut, left = r["c"], left - r["n"]
-        if left <= 0:
-            break
-    top = t.where(F.col("c") >= cut).orderBy(F.desc("c"), "w").limit(words).collect()
-    bound = (top[-1]["c"], top[-1]["w"]) if len(top) == words else None
-    rest = t.where("false") if bound is None else t.where((F.col("c") < bound[0]) | ((F.col("c") == bound[0]) & (F.col("w") > bound[1])))
-    # common are words of one token in `words`; there are at most `words` of them, so all are in top
     total = t.agg(F.sum("c")).first()[0] or 0
-    common = sum(r["c"] * words >= total for r in top)
-    length = sum(((F.length("w") > least).cast("int") for least in LENGTHS), F.lit(0))
-    by_length = {r["k"]: r["n"] for r in t.where(F.col("c") * words < total).groupBy(length.alias("k")).agg(F.sum("c").alias("n")).collect()}
+    common = (F.col("c") * table >= total) & (F.col("c") >= least)
+    top = t.where(common).toPandas().sort_values(["c", "w"], ascending=[False, True])
+    rest = t.where(~common)
+    length = sum(((F.length("w") > n).cast("int") for n in LENGTHS), F.lit(0))
+    by_length = {r["k"]: r["n"] for r in rest.groupBy(length.alias("k")).agg(F.sum("c").alias("n")).collect()}
     # the spelling of all words
     ends = F.expr("transform(sequence(1, length(w) + 1), i -> concat(if(i = 1, ' ', substring(w, i - 1, 1)), if(i > length(w), ' ', substring(w, i, 1))))")
-    pairs = t.select(F.explode(ends).alias("p"), "c").groupBy("p").agg(F.sum("c").alias("c"))
+    pairs = stage(t.select(F.explode(ends).alias("p"), "c").groupBy("p").agg(F.sum("c").alias("c")), "pairs")
     chars = pairs.where("substring(p, 1, 1) <> ' '").groupBy(F.substring("p", 1, 1).alias("a")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "a").collect()  # as many as Unicode has at most
     known = {r["a"]: i + 1 for i, r in enumerate(chars[:CHARS])}
     n = len(known) + 2
-    table = np.full((n, n), 0.01)
+    counts = np.full((n, n), 0.01)
     letter = lambda c: 0 if c == " " else known.get(c, n - 1)
     side = lambda c: F.when(c == " ", " ").when(c.isin(list(known)) if known else F.lit(False), c).otherwise("\x00")
     for r in pairs.groupBy(side(F.substring("p", 1, 1)).alias("a"), side(F.substring("p", 2, 1)).alias("b")).agg(F.sum("c").alias("c")).collect():
-        table[letter(r["a"]), letter(r["b"])] += r["c"]
-    bigrams, others = np.log(table / table.sum(axis=1, keepdims=True)), {r["a"]: r["c"] for r in chars[CHARS:]}
-    return Lexicon([r["w"] for r in top], [r["c"] for r in top], common, [by_length.get(k, 0) for k in range(REST)], known, bigrams, others, rest)
+        counts[letter(r["a"]), letter(r["b"])] += r["c"]
+    bigrams, others = np.log(counts / counts.sum(axis=1, keepdims=True)), {r["a"]: r["c"] for r in chars[CHARS:]}
+    # two words of one hash would share a count: a few among 10^10 words
+    hashed = rest.groupBy(F.xxhash64("w").alias("h")).agg(F.sum("c").alias("c"))
+    return Lexicon(top["w"].tolist(), top["c"].tolist(), [by_length.get(k, 0) for k in range(REST)], known, bigrams, others, hashed)
+
 
+_RARE = pa.struct([("h", pa.int64()), ("k", pa.int32()), ("q", pa.int8()), ("lp", pa.float32())])
+
+
+def encode(docs: DataFrame, lex: Lexicon, part: int = PART) -> DataFrame:
+    """Documents as numbers, dealt to parts and ordered by part and doc_id in files of their own parts: part, row (unique), doc_id, n, base (summed log P(word | group) of the table's words), leaves (16-bit groups of all words), rare (other words: hash, occurrences, group by length, log-probability if no other document has it)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(lex)
+    names = ["part", "doc_id", "th", "n", "base", "leaves", "rare", "row"]
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value
+        first = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            n, base = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            leaves, rare, times, sizes = [], [], [], [0]
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words, ids = lex.tokens(text)
+                n[i], base[i] = len(words), lex.within[ids[ids >= 0]].sum()
+                leaves.append(lex.groups(words, ids).astype("<u2").tobytes())
+                own = Counter([words[k] for k in np.flatnonzero(ids < 0).tolist()])
+                rare.extend(own), times.extend(own.values()), sizes.append(len(rare))
+            h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in rare), np.uint64, len(rare)).view(np.int64)
+            q = rest_group(np.fromiter(map(len, rare), np.int64, len(rare))) if rare else np.empty(0)
+            cols = [pa.array(h), pa.array(times, pa.int32()), pa.array(q.astype(np.int8)), pa.array(lex.spelled(rare).astype(np.float32))]
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(cols, fields=list(_RARE)))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(3), pa.array(n), pa.array(base), pa.array(leaves, pa.binary()), lists, pa.array(np.arange(first, first + len(n)))], names=names)
+            first += len(n)
+
+    tokens = float(lex.mass.sum())
+    parts = max(1, math.ceil(tokens / part))
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    t = t.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id, text), {parts}) as int)").alias("part"), F.xxhash64("text").alias("th"))
+    t = t.mapInArrow(run, "part int, doc_id long, th long, n long, base double, leaves binary, rare array<struct<h:long,k:int,q:tinyint,lp:float>>, row long")
+    # a part lies in one file, and a file in one row group, which one task reads
+    return stage(t.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "th").drop("th"), "encoded")
+
+
+def _sum_in_order(got: DataFrame) -> Weights | None:
+    """(part, n, w) to the mean of the weights; added up by parts in their order, ADDED of them in a task."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        n = pdf["n"].sum()
+        return pd.DataFrame({"part": [pdf["part"].iloc[0] // ADDED], "n": [n], "w": [sum(k / n * np.frombuffer(w) for k, w in zip(pdf["n"], pdf["w"], strict=True)).tobytes()]})
+
+    got = stage(got, "weights")
+    while (got.agg(F.max("part")).first()[0] or 0) >= ADDED:
+        got = stage(got.groupBy((F.col("part") / ADDED).cast("int").alias("g")).applyInPandas(add, "part int, n long, w binary"), "weights")
+    rows = got.orderBy("part").collect()
+    n = sum(r["n"] for r in rows)
+    return _unpack(sum(r["n"] / n * np.frombuffer(r["w"]) for r in rows).tobytes()) if rows else None
+
+
+def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
     """Rounds of local training and averaging over all positions of all documents."""
     if stride > rounds:
         raise ValueError("with more strides than rounds some positions are never a target")
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(lex)
-    weights = start_weights()
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    parts = max(1, texts.rdd.getNumPartitions())
+    spark = encoded.sparkSession
+    small_batches(spark)
+    weights = start_weights(lex)
     for turn in range(rounds):
-        begin = _pack(weights)
+        begin = spark.sparkContext.broadcast(_pack(weights))
 
-        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, begin: bytes = begin) -> Iterator[pa.RecordBatch]:
-            lex, w = shared.value, _unpack(begin)
-            past = tuple(np.full_like(x, 1e-3) for x in w)
+        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, begin=begin) -> Iterator[pa.RecordBatch]:
+            part, w, past = None, [], []
             seen, ctxs, goals, held = 0, [], [], 0
 
             def step(least: int) -> None:
@@ -276,102 +383,71 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int = STR
                     ctx, goal = ctx[BATCH:], goal[BATCH:]
                 ctxs, goals, held = [ctx], [goal], len(goal)
 
+            def close() -> Iterator[pa.RecordBatch]:
+                if held:
+                    step(1)
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen]), pa.array([_pack(w)], pa.binary())], names=["part", "n", "w"])
+
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    cls = lex.class_of(*lex.tokens(text))
-                    at = np.arange(turn % stride, len(cls), stride)
-                    seen += len(cls)
+                for p, leaves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if p != part:
+                        yield from close()
+                        part, w, seen, ctxs, goals, held = p, _unpack(begin.value), 0, [], [], 0
+                        past = [np.full_like(x, 1e-3) for x in w]
+                    leaf = np.frombuffer(leaves, "<u2").astype(np.int64)
+                    at = np.arange(turn % stride, len(leaf), stride)
+                    seen += len(leaf)
                     if len(at):
-                        ctxs.append(_context(cls)[at]), goals.append(cls[at])
+                        ctxs.append(_context(leaf)[at]), goals.append(leaf[at])
                         held += len(at)
-                    if held >= BATCH:
+                    if held >= 8 * BATCH:
                         step(BATCH)
-            if held:
-                step(1)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_pack(w)], pa.binary())], names=["n", "w"])
+            yield from close()
 
-        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, 0.0
-            for batch in batches:
-                for k, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    n, total = n + k, total + k * np.frombuffer(w)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).tobytes()], pa.binary())], names=["n", "w"])
-
-        got = texts.mapInArrow(learn, "n long, w binary").repartition(max(1, math.isqrt(parts))).mapInArrow(average, "n long, w binary").collect()
-        if got:
-            n = sum(r["n"] for r in got)
-            weights = _unpack(sum(r["n"] / n * np.frombuffer(r["w"]) for r in got).tobytes())
+        weights = _sum_in_order(encoded.select("part", "leaves").mapInArrow(learn, "part int, n long, w binary")) or weights
+        begin.unpersist()
     return weights
 
 
-def score(docs: DataFrame, lex: Lexicon, weights: Weights) -> DataFrame:
-    """doc_id, n_tokens, pll (summed log-probabilities), mean_logprob, pseudo_perplexity. A null or blank text has no tokens, pll 0 and null means."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast((lex, weights))
-
-    names = ["row", "doc_id", "n_tokens", "pll", "w", "n"]
+def score(encoded: DataFrame, lex: Lexicon, weights: Weights) -> DataFrame:
+    """doc_id, n_tokens, n_unseen (different words that no other document has), pll (summed log-probabilities), mean_logprob, pseudo_perplexity. A null or blank text has no tokens, pll 0 and null means."""
+    spark = encoded.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for every document, with a key that is no word, and a row for every different word of it without a number."""
-        lex, w = shared.value
-        first = TaskContext.get().partitionId() << 40
-
-        def hand_on(at: list[int], rare: list[str], times: list[int]) -> pa.RecordBatch:
-            out = [pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.float64()), pa.array(rare, pa.string()), pa.array(times, pa.int64())]
-            at.clear(), rare.clear(), times.clear()
-            return pa.RecordBatch.from_arrays(out, names=names)
-
-        for batch in batches:
-            pll, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            rows, held, at, rare, times = [], [], [], [], []
-
-            def close(rows=rows, held=held, pll=pll) -> None:
-                if held:
-                    pll[rows] += document_sums(w, held)
-                rows.clear(), held.clear()
-
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words, ids = lex.tokens(text)
-                n[i] = len(words)
-                if words:
-                    pll[i] = lex.within[ids[ids >= 0]].sum()
-                    rows.append(i), held.append(lex.class_of(words, ids))
-                    if sum(map(len, held)) >= TOGETHER:
-                        close()
-                    missing = Counter([words[k] for k in np.flatnonzero(ids < 0).tolist()])
-                    at.extend(repeat(first + i, len(missing))), rare.extend(missing), times.extend(missing.values())
-                    if len(at) >= TOGETHER:
-                        yield hand_on(at, rare, times)
-            close()
-            if at:
-                yield hand_on(at, rare, times)
-            row = range(first, first + batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), batch.column(0), pa.array(n), pa.array(pll), pa.array([f" {k}" for k in row]), pa.array(np.zeros(len(n), np.int64))], names=names)
-            first += batch.num_rows
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the words that the corpus does not have."""
-        lex, _ = shared.value
+        w = shared.value
         for batch in batches:
-            pll = batch.column(2).to_numpy(zero_copy_only=False).copy()
-            for i, new in enumerate(batch.column(3).to_pylist()):
-                pll[i] += sum(x["n"] * lex.spelled(x["w"]) for x in new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(pll, 4))], names=["doc_id", "n_tokens", "pll"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, pll double, w string, n long").join(lex.counted(), "w", "left")
-    new = F.collect_list(F.when((F.col("n") > 0) & F.col("lp").isNull(), F.struct("w", "n")))
-    own = F.coalesce(F.col("pll"), F.col("n") * F.col("lp"), F.lit(0.0))
-    whole = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(own).alias("pll"), new.alias("new"))
-    t = whole.drop("row").mapInArrow(spell, "doc_id long, n_tokens long, pll double")
+            sums = batch.column(3).to_numpy(zero_copy_only=False).copy()
+            rows, held, size = [], [], 0
+            for i, leaves in enumerate(batch.column(4).to_pylist()):
+                if leaves:
+                    rows.append(i), held.append(np.frombuffer(leaves, "<u2"))
+                    size += len(held[-1])
+                if held and (size >= TOGETHER or i + 1 == batch.num_rows):
+                    sums[rows] += document_sums(w, held)
+                    rows, held, size = [], [], 0
+            if held:
+                sums[rows] += document_sums(w, held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums)], names=["row", "doc_id", "n_tokens", "sums"])
+
+    scored = encoded.select("row", "doc_id", "n", "base", "leaves").mapInArrow(run, "row long, doc_id long, n_tokens long, sums double")
+    rare = encoded.select("row", F.explode("rare").alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"), F.col("x.q").alias("q"), F.col("x.lp").alias("lp"))
+    mass = F.array(*[F.lit(float(math.log(x))) for x in lex.mass[LEAVES - REST :]])
+    others = F.col("c") - F.col("k")
+    seen = F.coalesce(others > 0, F.lit(False))
+    own = F.col("k") * F.when(seen, F.log(others) - F.element_at(mass, F.col("q") + 1)).otherwise(F.col("lp").cast("double"))
+    per = rare.join(lex.table.select("h", "c"), "h", "left").groupBy("row").agg(F.sum(own).alias("own"), F.count_if(~seen).alias("unseen"))
+    t = scored.join(per, "row", "left")
+    pll = F.round(F.col("sums") + F.coalesce("own", F.lit(0.0)), 4)
+    t = t.select("doc_id", "n_tokens", F.coalesce("unseen", F.lit(0)).cast("long").alias("n_unseen"), pll.alias("pll"))
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
     return t.withColumn("mean_logprob", mean).withColumn("pseudo_perplexity", F.exp(-mean))
 
 
-def pseudo_likelihood(docs: DataFrame, words: int = WORDS, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
-    """Fit on all documents and score them all. Extra columns are ignored, repeated rows each get a row, an empty table gives none."""
-    lex = lexicon(docs, words)
-    return score(docs, lex, train(docs, lex, rounds, stride))
+def pseudo_likelihood(docs: DataFrame, table: int = TABLE, least: int = LEAST, rounds: int = ROUNDS, stride: int = STRIDE, part: int = PART) -> DataFrame:
+    """Fit on all documents and score them all. Extra columns are ignored; rows that repeat a document each get a row with the same score, and are other documents to each other; whole texts count however long; an empty table gives none."""
+    lex = lexicon(docs, table, least)
+    encoded = encode(docs, lex, part)
+    return score(encoded, lex, train(encoded, lex, rounds, stride))

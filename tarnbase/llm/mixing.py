@@ -8,22 +8,27 @@ weights; the rank of a slot among its source's slots names the block it
 takes. A source whose target exceeds its size starts over, up to the allowed
 number of times; the last block is cut where the target is reached.
 
+What a document gives to the mix, and where, is what the slots take of the
+blocks it lies in. The mix itself is written in the order of the slots.
+
 Cumulative sums and ranks are two-level (sums of hash buckets or of chunks of
-slots first, then within them), so that no source is ordered in one task.
+slots first, then within them), so that no source is ordered in one task: a
+source of n documents has about sqrt(n) buckets of sqrt(n) documents. Sources
+themselves are ordered in one task; they must number in the thousands or less.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import n_words, stage
+from tarnbase.llm.common import fingerprint, n_words, nested, stage
 
 #: Weights by rank of the source, repeating (fixed values of the contract).
 PATTERN = (5, 2, 1)
 #: Words of a block.
 BLOCK = 4096
-_GRID, _CHUNK, _PER_BUCKET = 4096, 50_000, 4_000
+_GRID, _CHUNK = 4096, 50_000
 _GOLDEN = 0.6180339887498949
 
 
@@ -89,59 +94,66 @@ def schedule(sources: DataFrame, kind: str = "golden") -> DataFrame:
     return ranked.unionByName(more)
 
 
-def mixture(docs: DataFrame, pattern: tuple[int, ...] = PATTERN, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: str = "mix", kind: str = "golden", row: str | None = None) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    docs: doc_id, text, source; others are ignored. Returns one row per row:
-    doc_id, size, source, source_size, target, taken, start (the document's
-    place on its source's line) and, if row names a column of docs, that too.
-    A null or blank text has size 0 and nothing is taken. Null is a source,
-    the last one. The order on a line is by seeded hash of doc_id, ties by
-    doc_id and size. An empty table gives no rows.
-    """
+def _plan(docs: DataFrame, tag: Column, pattern: tuple[int, ...] = PATTERN, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: str = "mix", kind: str = "golden") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents on their lines (row, doc_id, size, sk, start); sources (sk, source, source_size, target); what slots take (row, start, turn, words, at): of the document in row that begins at start, in the source's turn, the first so many words, from the slot at on. Rows with the same tag must be equal."""
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    tag = F.col(row) if row else F.monotonically_increasing_id()
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), h.alias("h"), tag.alias("row"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size"), h.alias("h"), tag.alias("row"))
     sized = stage(sized.withColumn("sk", key), "sized")
-    rows = sized.count()
-    buckets = max(1, -(-rows // _PER_BUCKET))
-    spread = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(2**32))).cast("int")
-    t = sized.withColumn("bucket", spread)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    goal = source_targets(totals.select("source", "source_size"), pattern, share, most).withColumn("sk", key)
+    goal = goal.withColumn("words", F.round("target").cast("long")).withColumn("nb", F.ceil(F.col("source_size") / block).cast("long"))
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("slots", full * F.col("nb") + F.ceil((F.col("words") - full * F.col("source_size")) / block).cast("long"))
+    goal = stage(goal.join(totals.select(key.alias("sk"), F.ceil(F.sqrt("n")).cast("long").alias("buckets")), "sk"), "goal")
+
+    spread = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(float(2**32))).cast("long")
+    t = sized.join(goal.select("sk", "buckets"), "sk").withColumn("bucket", spread)
     sums = t.groupBy("sk", "bucket").agg(F.sum("size").alias("s"))
     ahead = F.coalesce(F.sum("s").over(Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = Window.partitionBy("sk", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("s0", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(sums.select("sk", "bucket", ahead.alias("s1")), ["sk", "bucket"])
-    t = t.select("row", "doc_id", "size", "sk", (F.col("s0") + F.col("s1")).alias("start"))
+    t = stage(t.select("row", "doc_id", "size", "sk", (F.col("s0") + F.col("s1")).alias("start")), "lines")
 
-    goal = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), pattern, share, most).withColumn("sk", key)
-    goal = goal.withColumn("words", F.round("target").cast("long")).withColumn("nb", F.ceil(F.col("source_size") / block).cast("long"))
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("slots", full * F.col("nb") + F.ceil((F.col("words") - full * F.col("source_size")) / block).cast("long"))
-    goal = stage(goal, "goal")
     slots = schedule(goal.select("source", "slots"), kind).withColumn("sk", key).join(goal.select("sk", "source_size", "nb", "words"), "sk")
-    epoch, b = F.floor(F.col("rank") / F.col("nb")).cast("long"), (F.col("rank") % F.col("nb")).cast("long")
-    upto = F.least(F.least((b + 1) * block, F.col("source_size")), F.col("words") - epoch * F.col("source_size"))
-    slots = slots.select("sk", b.alias("block"), upto.alias("upto"), "at")
-
+    turn, b = F.floor(F.col("rank") / F.col("nb")).cast("int"), (F.col("rank") % F.col("nb")).cast("long")
+    upto = F.least(F.least((b + 1) * block, F.col("source_size")), F.col("words") - turn * F.col("source_size"))
+    slots = slots.select("sk", b.alias("block"), turn.alias("turn"), upto.alias("upto"), "at")
     held = t.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    got = held.join(slots, ["sk", "block"])
-    part = F.greatest(F.least(F.col("start") + F.col("size"), F.col("upto")) - F.greatest("start", F.col("block") * block), F.lit(0))
-    got = got.groupBy("row").agg(F.sum(part).cast("long").alias("taken"))
+    part = F.least(F.col("start") + F.col("size"), F.col("upto")) - F.greatest("start", F.col("block") * block)
+    got = held.join(slots, ["sk", "block"]).withColumn("words", part.cast("long")).where("words > 0")
+    return t, goal, got.groupBy("row", "start", "turn").agg(F.sum("words").alias("words"), F.min("at").alias("at"))
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """How many words of each document the mix takes, and from which slot on.
+
+    docs: doc_id, text, source; others are ignored. options: pattern (weights
+    by rank of the source), share and most (see source_targets), block (words
+    of a block), seed, kind (golden or corput). Returns one row per row:
+    doc_id, size, source, source_size, target, taken, first_slot (the place in
+    the schedule of the first slot that takes words of it; null if none does)
+    and start (the document's place on its source's line). A null or blank
+    text has size 0 and nothing is taken. Null is a source, the last one. The
+    order on a line is by seeded hash of doc_id, ties by doc_id and size; rows
+    that repeat a document stand next to each other, each for itself. Long
+    documents lie in many blocks. An empty table gives no rows.
+    """
+    t, goal, got = _plan(docs, F.monotonically_increasing_id(), **options)
+    got = got.groupBy("row").agg(F.sum("words").alias("taken"), F.min("at").alias("first_slot"))
     out = t.join(got, "row", "left").join(goal.select("sk", "source", "source_size", "target"), "sk")
-    out = out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "start", "row")
-    return out.withColumnRenamed("row", row) if row else out.drop("row")
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "start")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken; a document in which a target is reached is cut after its last taken word. Columns stay; n_chars, if there, is brought up to date. Documents of which nothing is taken go."""
-    cols = docs.columns
-    own = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    plan = mixture(own, row="__row", **options).where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    t = own.join(plan, "__row").withColumn("__turn", F.explode(F.expr("sequence(0, cast(ceil(__taken / __size) as int) - 1)")))
-    keep = F.least(F.col("__size"), F.col("__taken") - F.col("__turn") * F.col("__size"))
-    cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', __keep, '}+'), 0)")
-    t = t.withColumn("__keep", keep).withColumn("text", F.when(F.col("__keep") < F.col("__size"), cut).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        t = t.withColumn("n_chars", F.length("text").cast("long"))
-    return t.select(*cols)
+    """The mix itself, in the order of the slots: each document as often as it is taken, at the slot that takes its first word; a document in which a target is reached is cut after its last taken word. Columns stay, whatever their names; n_chars, if there, is brought up to date. Documents of which nothing is taken go, so null and blank texts do; rows that are equal in all columns are taken one by one."""
+    plain = lambda c: F.to_json(F.struct(c)) if docs.schema[c].dataType.typeName() in ("array", "map", "struct", "variant") else F.col(f"`{c}`")
+    whole = docs.select(nested(docs), fingerprint(*map(plain, docs.columns)).alias("row"))
+    t, _, got = _plan(whole.select("d.doc_id", "d.text", "d.source", "row"), F.col("row"), **options)
+    takes = got.join(t.select("row", "start", "size"), ["row", "start"])
+    out = whole.dropDuplicates(["row"]).join(takes.distinct(), "row").orderBy("at", "start", "turn")
+    cut = F.expr(r"regexp_extract(d.text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', words, '}+'), 0)")
+    new = {"text": F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("d.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns])

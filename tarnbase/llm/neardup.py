@@ -15,9 +15,10 @@ Groups are never expanded into all pairs:
    Confirmed links are merged into components.
 3. Buckets that now lie in one component are done. In the others, sketches of
    different components are compared inside the worker, in blocks of bounded
-   size. From small buckets the pairs that pass leave to be confirmed; in
-   large ones the rows bring their whole sets along (as 32-bit hashes) and a
-   block intersects them itself, so only pairs that will be confirmed leave.
+   size. From small buckets the pairs that pass leave to be confirmed. From
+   large ones the rows leave that pass with some other; only they fetch their
+   whole sets, and small blocks of them intersect these themselves, so that
+   one confirmed pair of any two components in a block leaves.
 
 Texts are never shuffled: a bitmap of bounded size (a Bloom filter of the ids
 that are wanted) goes to the text scan, and the few sets that come out of it
@@ -34,17 +35,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import connected_components, stage, text_batches
+from tarnbase.llm.common import connected_components, nested, small_batches, stage
 
 SKETCH_BITS = 512
 SAMPLES, ROWS = 128, 4
-#: Rows of a block when a bucket is compared in blocks; buckets up to SMALL are compared by sketches alone.
-BLOCK, SMALL = 256, 32
+#: Rows of a block when a bucket's whole sets are compared in blocks, and such blocks in one of sketches; buckets up to SMALL are compared by sketches alone.
+BLOCK, WIDE, SMALL = 256, 8, 32
 
 
 class _Hashes(dict):
@@ -120,9 +122,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, 0 for an empty one."""
+    if not len(s):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        m = _mix(s + _MUL)
+        return int(_signed(m.sum(dtype=np.uint64, keepdims=True))[0]), int(_signed(np.bitwise_xor.reduce(_mix(m ^ _M2), keepdims=True))[0])
+
+
 def sketches(docs: DataFrame, width: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
     """One pass over the texts: shingle count, 128-bit fingerprint of the set, band keys and odd sketch of each document. Empty sets have no bands and no sketch."""
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _seeds(samples)
@@ -132,13 +143,11 @@ def sketches(docs: DataFrame, width: int = 5, samples: int = SAMPLES, rows: int
                 ns, f1, f2, bands, sk = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     s = shingle_hashes(text, width)
-                    ns.append(len(s))
+                    x, y = fingerprint(s)
+                    ns.append(len(s)), f1.append(x), f2.append(y)
                     if not len(s):
-                        f1.append(0), f2.append(0), bands.append(None), sk.append(None)
+                        bands.append(None), sk.append(None)
                         continue
-                    m = _mix(s + _MUL)
-                    f1.append(int(_signed(m.sum(dtype=np.uint64, keepdims=True))[0]))
-                    f2.append(int(_signed(np.bitwise_xor.reduce(_mix(m ^ _M2), keepdims=True))[0]))
                     sig = signature(s, a, b)
                     key = np.arange(nb, dtype=np.uint64)
                     for i in range(rows):
@@ -153,26 +162,31 @@ def sketches(docs: DataFrame, width: int = 5, samples: int = SAMPLES, rows: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _META)
 
 
-#: Bits of the filter of wanted ids: 16 for each id, within these bounds. Beyond, more sets than needed are made; the results stay the same.
-FILTER_BITS = (1 << 16, 1 << 28)
+#: Bits of the filter of wanted ids: 16 for each id, within these bounds. Where that leaves under FEWEST for each, the ids are joined instead.
+FILTER_BITS, FEWEST = (1 << 16, 1 << 28), 8
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
-    """Bloom filter of the ids, three bits each, as 64-bit words; at most 32 MB whatever their number."""
-    n = ids.count()
+def _wanted(ids: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of n ids, three bits each, as 64-bit words; at most 32 MB whatever their number."""
     bits = min(max(FILTER_BITS[0], 1 << (16 * n).bit_length()), FILTER_BITS[1])
     at = ids.select(F.explode(F.array(*[F.expr(f"pmod(xxhash64(id, {k}), {bits}L)") for k in range(3)])).alias("p"))
-    words = at.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+    words = at.groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy().astype(np.int64)] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, s): the whole shingle sets of the named documents, and of a few more."""
+    """(id, fp, s): the whole shingle sets of the named documents, and of a few more, and the first word of their fingerprints."""
     spark = docs.sparkSession
-    text_batches(spark)
-    shared = spark.sparkContext.broadcast(_wanted(ids))
+    small_batches(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    n = ids.count()
+    if n * FEWEST > FILTER_BITS[1]:
+        own, bits = own.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), np.full(1, -1).view(np.uint64)
+    else:
+        bits = _wanted(ids, n)
+    shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
@@ -183,11 +197,10 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 p = batch.column(2 + k).to_numpy().astype(np.uint64) % bits
                 ok &= (wanted[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
             batch = batch.filter(pa.array(ok))
-            sets = [_signed(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x)[0] for x in sets], pa.int64()), pa.array(list(map(_signed, sets)), pa.list_(pa.int64()))], names=["id", "fp", "s"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return own.select("doc_id", "text", *[F.expr(f"pmod(xxhash64(doc_id, {k}), {FILTER_BITS[1]}L)").alias(f"h{k}") for k in range(3)]).mapInArrow(run, "id long, s array<long>")
+    return own.select("doc_id", "text", *[F.expr(f"pmod(xxhash64(doc_id, {k}), {FILTER_BITS[1]}L)").alias(f"h{k}") for k in range(3)]).mapInArrow(run, "id long, fp long, s array<long>")
 
 
 def _passing(pairs: DataFrame, reps: DataFrame, cut: int) -> DataFrame:
@@ -239,6 +252,9 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
         if sets is not None and len(i):
             good = _alike(sets, i, j, percent)
             i, j = i[good], j[good]
+            # one pair of any two components is all that merging them takes
+            _, k = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])]), axis=1, return_index=True)
+            i, j = i[k], j[k]
         return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +272,7 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
                 two = two[ok]
                 out.append((np.minimum(doc[two], doc[two + 1]), np.maximum(doc[two], doc[two + 1])))
             for s, t in zip(start[rest], stop[rest], strict=True):
-                sets = [np.frombuffer(x, np.uint32) for x in cols[7][s:t]] if whole else None
+                sets = [np.frombuffer(x, np.uint64) for x in cols[7][s:t]] if whole else None
                 out.append(pairs_of(doc[s:t], comp[s:t], sk[s:t], blk[s:t], bi[s] == bj[s], sets))
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
             got = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -283,34 +299,76 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _short(sets: DataFrame) -> DataFrame:
-    """(id, s): sets as sorted 32-bit members in bytes; too few of them collide to matter, and what they let through is confirmed."""
+def _promising(rows: DataFrame, cut: int) -> DataFrame:
+    """rows: (key, wi, wj, blk, doc, comp, sketch). The rows that have one of another component within `cut` bits, once for each pair (bi, bj) of small blocks in which they do."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blk, doc, comp = (pdf[c].to_numpy() for c in ("blk", "doc", "comp"))
+        sk = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        found = []
+        same = pdf["wi"].iat[0] == pdf["wj"].iat[0]
+        for i in range(0, len(doc), 64):
+            part = slice(i, i + 64)
+            ok = np.bitwise_count(sk[part, None, :] ^ sk[None, :, :]).sum(axis=2, dtype=np.int64) <= cut
+            ok &= comp[part, None] != comp[None, :]
+            if not same:
+                ok &= (blk[part, None] // WIDE) != (blk[None, :] // WIDE)
+            x, y = np.nonzero(ok)
+            found.append(np.unique(np.stack([x + i, blk[y]], axis=1), axis=0))
+        at, other = np.concatenate(found).T
+        return pd.DataFrame({"key": pdf["key"].iat[0], "bi": np.minimum(blk[at], other), "bj": np.maximum(blk[at], other), "blk": blk[at], "doc": doc[at], "comp": comp[at], "sketch": pdf["sketch"].to_numpy()[at]})
+
+    return rows.groupBy("key", "wi", "wj").applyInPandas(run, "key long, bi int, bj int, blk int, doc long, comp long, sketch array<long>")
+
+
+def _as_bytes(sets: DataFrame) -> DataFrame:
+    """(id, s): sorted sets as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(np.asarray(x, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+            out = [np.asarray(x, np.int64).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "s"])
 
-    return sets.mapInArrow(run, "id long, s binary")
+    return sets.select("id", "s").mapInArrow(run, "id long, s binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their word shingles.
 
     docs: doc_id (integer), text; other columns are ignored. Returns one row
-    per document: doc_id, n_shingles, component_id, kept. A null, empty or
-    blank text has no shingles, links with nothing and is kept. Equal texts
-    are linked; ties go to the smallest doc_id. An empty table gives no rows.
-    Rows that repeat a doc_id are treated as further documents of that id.
+    per row: doc_id, n_shingles, component_id, kept. A null, empty or blank
+    text has no shingles, links with nothing and is kept. Equal texts are
+    linked; ties go to the smallest doc_id. An empty table gives no rows. Rows
+    that repeat a doc_id are one document that is linked by any of its texts.
     """
     cut = sketch_cut(percent / 100, samples)
     meta = stage(sketches(docs, width, samples, rows), "meta")
+    fps = ["fp1", "fp2", "n_shingles"]
+    # a document is a node of its own id; a repeated id's further texts are nodes beyond all ids, linked to it
+    several = meta.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*fps)).alias("lo"), F.max(F.struct(*fps)).alias("hi")).where("lo <> hi")
+    several = stage(several.select("doc_id", "lo"), "several")
+    more = None
+    if several.isEmpty():
+        meta = meta.withColumn("node", F.col("doc_id"))
+    else:
+        top = meta.agg(F.max("doc_id")).first()[0] + 1
+        more = meta.where("n_shingles > 0").join(several, "doc_id").where(F.struct(*fps) != F.col("lo")).select("doc_id", *fps).distinct()
+        more = stage(more.withColumn("node", F.lit(top) + F.monotonically_increasing_id()), "more")
+        meta = meta.join(more, ["doc_id", *fps], "left").withColumn("node", F.coalesce("node", "doc_id"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        if more is None:
+            return stage(_sets(docs, ids, width), "sets")
+        known = ids.join(more.select(F.col("node").alias("id"), "doc_id"), "id", "left").select(F.coalesce("doc_id", "id").alias("id")).distinct()
+        got = _sets(docs, known, width).join(more.select(F.col("doc_id").alias("id"), F.col("fp1").alias("fp"), "node"), ["id", "fp"], "left")
+        return stage(got.select(F.coalesce("node", "id").alias("id"), "fp", "s").dropDuplicates(["id"]), "sets")
+
     full = meta.where("n_shingles > 0")
-    classes = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    copies = stage(classes.where("c > 1").select("fp1", "fp2", "n_shingles", "rep"), "copies")
-    # representatives: all but the copies that are not the smallest id of their class
-    tagged = full.join(copies, ["fp1", "fp2", "n_shingles"], "left").where("rep is null or rep = doc_id")
-    reps = stage(tagged.select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
+    classes = full.groupBy(*fps).agg(F.min("node").alias("rep"), F.count("*").alias("c"))
+    copies = stage(classes.where("c > 1").select(*fps, "rep"), "copies")
+    # representatives: all but the copies that are not the smallest node of their class
+    tagged = full.join(copies, fps, "left").where("rep is null or rep = node")
+    reps = stage(tagged.select(F.col("node").alias("doc_id"), "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
 
     spread = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).where("c > 1")
@@ -318,7 +376,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
 
     star = member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     star = stage(_passing(star, reps, cut), "star")
-    links = confirm(star, stage(_sets(docs, _ends(star), width), "sets"), percent)
+    links = confirm(star, sets_of(_ends(star)), percent)
+    if more is not None:
+        of_one = meta.where("node <> doc_id").join(copies, fps, "left").select(F.coalesce("rep", "node").alias("a"), "doc_id", "node")
+        first = meta.where("node = doc_id").join(copies, fps, "left").select("doc_id", F.coalesce("rep", "node").alias("b")).distinct()
+        links = links.union(of_one.join(first, "doc_id").select("a", "b")).union(of_one.select("a", "doc_id")).distinct()
     comps = stage(connected_components(links), "comps")
 
     at = member.join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
@@ -329,11 +391,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     small = rows.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), "doc", "comp", "sketch")
     small = small.repartition("key").sortWithinPartitions("key")
     near = stage(_compare_blocks(small, cut, percent, whole=False).distinct(), "near")
-    large = rows.where(F.col("c") > SMALL)
-    sets = stage(_sets(docs, _ends(near).union(large.select(F.col("doc").alias("id"))).distinct(), width), "sets")
-    large = large.join(_short(sets).withColumnRenamed("id", "doc"), "doc")
-    large = large.withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)")))
-    large = large.select("key", F.least("blk", "j").alias("bi"), F.greatest("blk", "j").alias("bj"), "blk", "doc", "comp", "sketch", "s")
+    large = rows.where(F.col("c") > SMALL).withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("w", F.expr(f"cast(blk div {WIDE} as int)"))
+    large = large.withColumn("j", F.explode(F.expr(f"sequence(0, cast((nb - 1) div {WIDE} as int))")))
+    large = stage(_promising(large.select("key", F.least("w", "j").alias("wi"), F.greatest("w", "j").alias("wj"), "blk", "doc", "comp", "sketch"), cut), "large")
+    sets = sets_of(_ends(near).union(large.select(F.col("doc").alias("id"))).distinct())
+    large = large.join(_as_bytes(sets).withColumnRenamed("id", "doc"), "doc").select("key", "bi", "bj", "blk", "doc", "comp", "sketch", "s")
     large = large.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     far = _compare_blocks(large, cut, percent, whole=True)
     rest = confirm(near.union(far).distinct(), sets, percent)
@@ -343,13 +405,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     merged = stage(connected_components(ends.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))), "merged")
     merged = merged.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
 
-    out = meta.join(copies, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    out = meta.join(copies, fps, "left").select("doc_id", "n_shingles", F.coalesce("rep", "node").alias("rep"))
     out = out.join(comps, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("c0"))
     out = out.join(merged, F.col("c0") == F.col("c1"), "left").select("doc_id", "n_shingles", F.coalesce("c2", "c0").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """Keep one document of each component, the one with the smallest doc_id; columns stay. Documents with a null doc_id are kept."""
-    gone = near_duplicates(docs.where("doc_id is not null"), percent, width).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """Keep one document of each component, the one with the smallest doc_id; columns stay, whatever their names. Documents with a null doc_id are kept; of rows that repeat a doc_id all stay or go."""
+    gone = near_duplicates(docs.where("doc_id is not null"), percent, width).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    whole = docs.select(nested(docs), F.col("doc_id").cast("long").alias("key"))
+    return whole.join(gone, F.col("key") == F.col("gone"), "left_anti").select("d.*")

@@ -3,11 +3,11 @@
 Documents are tokenised whole; only those longer than a sequence are cut.
 Pieces are dealt into groups of bounded size by a hash. Inside a group they
 are placed best-fit, largest first; then a local search empties bins: from
-the emptiest bin, pieces move into others, swap one for one, or two small
-ones swap for a large one, whenever that raises the sum of squared fills,
-until nothing improves. Bins that stay underfull, a few of each group, are
-dealt again into fewer groups and packed as a second round, so the loss does
-not grow with the number of groups.
+the emptiest bin on, pieces move into others, are exchanged one for one, two
+for one or one for two, by whatever raises the sum of squared fills most, until
+no exchange between any two underfull bins does. The pieces of bins that stay
+underfull are dealt again into fewer groups and packed as a second round, so
+the loss does not grow with the number of groups.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage, text_batches
+from tarnbase.llm.common import small_batches, stage
 
 CAPACITY = 4096
 #: Pieces of a group, about.
@@ -99,7 +99,7 @@ def _codec(path: str, end_id: int) -> Codec:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces. A null text is empty: one piece that holds the end id alone."""
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, step = _codec(tokenizer, end_id), 4 * capacity
@@ -117,80 +117,96 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = 400) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The bin (from 0, gapless) of each size. Deterministic: ties go to the earlier piece."""
-    n = len(sizes)
-    order = np.argsort(-sizes, kind="stable")
-    bins: list[list[int]] = []
-    fill: list[int] = []
+    sizes = np.asarray(sizes, np.int64)
+    where, fill = np.zeros(len(sizes), np.int64), []
     room: list[tuple[int, int]] = []  # (free, bin), sorted
-    for i in order.tolist():
+    for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         at = bisect.bisect_left(room, (s, -1))
         if at == len(room):
-            bins.append([i])
+            b = len(fill)
             fill.append(s)
-            b = len(bins) - 1
         else:
-            _, b = room.pop(at)
-            bins[b].append(i)
+            b = room.pop(at)[1]
             fill[b] += s
+        where[i] = b
         if fill[b] < capacity:
             bisect.insort(room, (capacity - fill[b], b))
-    _improve(sizes, bins, fill, capacity, rounds)
-    out = np.empty(n, np.int64)
-    for k, b in enumerate([b for b in bins if b]):
-        out[b] = k
-    return out
-
-
-def _improve(sizes: np.ndarray, bins: list[list[int]], fill: list[int], capacity: int, rounds: int) -> None:
-    """Empty the emptiest bin by moves and swaps with other underfull bins, as long as the sum of squared fills rises."""
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        if len(under) < 2 or sum(capacity - fill[b] for b in under[1:]) < 1:
+    improve(sizes, where, np.array(fill, np.int64), capacity)
+    return np.unique(where, return_inverse=True)[1]
+
+
+def improve(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int) -> None:
+    """Exchange pieces between underfull bins, in place, until none raises the sum of squared fills; emptiest bins first."""
+    change, seen = 1, np.zeros(len(fill), np.int64)  # when each bin was last found to have no exchange
+    while True:
+        under = np.flatnonzero((fill > 0) & (fill < capacity))
+        under = under[np.lexsort((under, fill[under]))]
+        todo = [a for a in under.tolist() if seen[a] < change]
+        if not todo:
             return
-        a, done = under[0], False
-        for b in reversed(under[1:]):
-            free = capacity - fill[b]
-            mine = sorted(bins[a], key=lambda i: -int(sizes[i]))
-            # move: the largest piece that fits
-            fit = next((i for i in mine if sizes[i] <= free), None)
-            if fit is not None:
-                _shift(sizes, bins, fill, a, b, [fit], [])
-                done = True
-                break
-            theirs = sorted(bins[b], key=lambda i: int(sizes[i]))
-            # one of mine for a smaller one of theirs, by as much as fits
-            best = max(((int(sizes[i]) - int(sizes[j]), i, j) for i in mine for j in theirs if 0 < sizes[i] - sizes[j] <= free), default=None, key=lambda x: (x[0], -x[1], -x[2]))
-            # two of mine for one of theirs, or one of mine for two of theirs
-            pair = None
-            if best is None and len(mine) < 60 and len(theirs) < 60:
-                gains = [(int(sizes[i]) + int(sizes[k]) - int(sizes[j]), (i, k), (j,)) for x, i in enumerate(mine) for k in mine[x + 1 :] for j in theirs]
-                gains += [(int(sizes[i]) - int(sizes[j]) - int(sizes[k]), (i,), (j, k)) for i in mine for x, j in enumerate(theirs) for k in theirs[x + 1 :]]
-                pair = max((g for g in gains if 0 < g[0] <= free), default=None)
-            if best is not None:
-                _shift(sizes, bins, fill, a, b, [best[1]], [best[2]])
-            elif pair is not None:
-                _shift(sizes, bins, fill, a, b, list(pair[1]), list(pair[2]))
-            else:
-                continue
-            done = True
-            break
-        if not done:
-            return
-
-
-def _shift(sizes, bins, fill, a, b, out, back) -> None:
-    for i in out:
-        bins[a].remove(i)
-        bins[b].append(i)
-    for i in back:
-        bins[b].remove(i)
-        bins[a].append(i)
-    d = sum(int(sizes[i]) for i in out) - sum(int(sizes[i]) for i in back)
-    fill[a] -= d
-    fill[b] += d
+        a = todo[0]
+        act = _exchange(sizes, where, fill, capacity, a)
+        if act is None:
+            seen[a] = change
+            continue
+        b, out, back = act
+        where[out], where[back] = b, a
+        d = int(sizes[out].sum() - sizes[back].sum())
+        fill[a] -= d
+        fill[b] += d
+        change += 1
+
+
+def _kinds(sizes: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` rows of every size: the others are as good. A bin has few different sizes, whatever the number of its pieces."""
+    rows = rows[np.argsort(sizes[rows], kind="stable")]
+    new = np.r_[True, sizes[rows][1:] != sizes[rows][:-1]] if len(rows) else np.empty(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return rows[np.arange(len(rows)) - first < most]
+
+
+def _exchange(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int, a: int) -> tuple[int, list[int], list[int]] | None:
+    """The bin, the pieces that a gives it and those it gives back: the move that raises the squared fills most; without moves the best exchange of one for one; then two for one; then one for two."""
+    mine = _kinds(sizes, np.flatnonzero(where == a), 2)
+    others = np.flatnonzero((fill > 0) & (fill < capacity))
+    others = others[others != a]
+    if not len(others) or not len(mine):
+        return None
+
+    def best(give: np.ndarray, take: np.ndarray, bins: np.ndarray) -> tuple[int, int] | None:
+        """Places of the sums to give and to take, for which a's loss is another bin's gain."""
+        got, most = None, 0
+        for i in range(0, len(give), max(1, 1_000_000 // len(take))):
+            d = give[i : i + max(1, 1_000_000 // len(take)), None] - take
+            gain = d * (fill[bins] - fill[a] + d)
+            gain[(d <= 0) | (d > capacity - fill[bins])] = 0
+            k = int(gain.argmax())
+            if gain.flat[k] > most:
+                got, most = (i + k // len(take), k % len(take)), int(gain.flat[k])
+        return got
+
+    one = mine[np.r_[True, sizes[mine][1:] != sizes[mine][:-1]]]
+    if hit := best(sizes[one], np.zeros(len(others), np.int64), others):
+        return int(others[hit[1]]), [int(one[hit[0]])], []
+    theirs = np.flatnonzero((fill[where] < capacity) & (where != a))
+    if hit := best(sizes[one], sizes[theirs], where[theirs]):
+        return int(where[theirs[hit[1]]]), [int(one[hit[0]])], [int(theirs[hit[1]])]
+    x, y = np.triu_indices(len(mine), 1)
+    if len(x) and (hit := best(sizes[mine[x]] + sizes[mine[y]], sizes[theirs], where[theirs])):
+        return int(where[theirs[hit[1]]]), [int(mine[x[hit[0]]]), int(mine[y[hit[0]]])], [int(theirs[hit[1]])]
+    pairs = []
+    for rows in np.split(theirs[np.argsort(where[theirs], kind="stable")], np.flatnonzero(np.diff(np.sort(where[theirs]))) + 1):
+        rows = _kinds(sizes, rows, 2)
+        x, y = np.triu_indices(len(rows), 1)
+        pairs.append(np.stack([rows[x], rows[y]]))
+    p = np.concatenate(pairs, axis=1)
+    p = p[:, sizes[p].sum(axis=0) < sizes[one].max()]
+    if p.shape[1] and (hit := best(sizes[one], sizes[p].sum(axis=0), where[p[0]])):
+        return int(where[p[0, hit[1]]]), [int(one[hit[0]])], p[:, hit[1]].tolist()
+    return None
 
 
 def _pack_groups(items: DataFrame, capacity: int, groups: int, tag: str) -> DataFrame:
@@ -202,7 +218,8 @@ def _pack_groups(items: DataFrame, capacity: int, groups: int, tag: str) -> Data
         fill = np.bincount(b, weights=pdf["size"].to_numpy()).astype(np.int64)
         return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "bin": pdf["g"].astype(np.int64) * 10_000_000 + b, "fill": fill[b]})
 
-    g = items.withColumn("g", F.expr(f"cast(pmod(xxhash64(item, '{tag}'), {groups}) as int)"))
+    # groups are few bytes and much work, so each has a partition, which is not merged with others
+    g = items.withColumn("g", F.expr(f"cast(pmod(xxhash64(item, '{tag}'), {groups}) as int)")).repartition(groups, "g")
     return g.groupBy("g").applyInPandas(run, "item long, size long, bin long, fill long")
 
 
@@ -211,18 +228,20 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset per
     piece. Null and empty texts hold the end id alone; a row that repeats a
-    document is packed again; an empty table gives no rows.
+    document is packed again; ties go to the row that is read first; extra
+    columns are ignored; an empty table gives no rows.
     """
     p = stage(pieces(docs, tokenizer, end_id, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
     n = p.where(F.col("length") < capacity).count()
     small = p.where(F.col("length") < capacity).select("item", F.col("length").alias("size"))
     first = stage(_pack_groups(small, capacity, max(1, -(-n // group)), "a"), "packed")
-    # bins with room left are packed again as wholes
-    loose = first.where(F.col("fill") < capacity - capacity // 64).select(F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
-    loose = stage(loose, "loose")
+    # the pieces of bins with room left are dealt again, into fewer groups
+    loose = stage(first.where(F.col("fill") < capacity - capacity // 64).select("item", "size", F.col("bin").alias("old")), "loose")
     m = loose.count()
-    again = _pack_groups(loose, capacity, max(1, -(-m // group)), "b").select(F.col("item").alias("bin"), F.col("bin").alias("bin2"))
-    placed = first.join(again, "bin", "left").select("item", F.coalesce(2 * F.col("bin2") + 1, 2 * F.col("bin")).alias("s"))
+    again = stage(_pack_groups(loose, capacity, max(1, -(-m // group)), "b").select("item", F.col("bin").alias("bin2")), "again")
+    if again.select(F.count_distinct("bin2")).first()[0] > loose.select(F.count_distinct("old")).first()[0]:
+        again = again.limit(0)
+    placed = first.join(again, "item", "left").select("item", F.coalesce(2 * F.col("bin2") + 1, 2 * F.col("bin")).alias("s"))
     t = p.join(placed, "item", "left").withColumn("sequence_id", F.coalesce(2 * F.col("s"), 2 * F.col("item") + 1))
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1))
     return t.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(offset, F.lit(0)).cast("long").alias("offset"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage
+from tarnbase.llm.common import fingerprint, nested, stage
 
 #: Fixed values of the contract, as possessive patterns with the same matches: kind, pattern, cheap test for whether to look at all.
 KINDS = (
@@ -38,15 +38,26 @@ def _q(s: str) -> str:
     return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
+#: Elements folded into one array: a fold copies what it has at each step, so long arrays are folded in parts.
+FOLD = 256
+_PARTS = "transform(sequence(0, cast(greatest(size({0}) - 1, 0) div " + str(FOLD) + " as int)), i -> slice({0}, i * " + str(FOLD) + " + 1, " + str(FOLD) + "))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """body with name standing for the value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def matches(text: str, pattern: str, literal: bool = True) -> Column:
     """All matches as (s, e, m): code points from 0, end exclusive. pattern: a regular expression, or the name of a column that holds one."""
     rx = f"'{_q(pattern)}'" if literal else pattern
-    return F.expr(f"""aggregate(
-        zip_with(regexp_extract_all({text}, {rx}, 0), split({text}, {rx}, -1), (m, g) -> struct(m as m, g as g)),
-        struct(0 as at, cast(array() as {_SPAN}) as out),
+    pairs = f"zip_with(regexp_extract_all({text}, {rx}, 0), split({text}, {rx}, -1), (m, g) -> struct(m as m, g as g))"
+    ahead = "aggregate(transform(p, c -> aggregate(c, 0, (a, x) -> a + length(x.g) + coalesce(length(x.m), 0))), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    spans = f"""flatten(transform(p, (c, k) -> aggregate(c, struct(o[k] as at, cast(array() as {_SPAN}) as out),
         (a, x) -> if(x.m is null, a, struct(a.at + length(x.g) + length(x.m) as at,
             concat(a.out, array(struct(a.at + length(x.g) as s, a.at + length(x.g) + length(x.m) as e, x.m as m))) as out)),
-        a -> a.out)""")
+        a -> a.out)))"""
+    return F.expr(_let("z", pairs, _let("p", _PARTS.format("z"), _let("o", ahead, spans))))
 
 
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"
@@ -71,12 +82,11 @@ def base_spans(text: str = "text") -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """docs with a column `base` of the rule-based spans. A null text is empty."""
-    t = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """(d, text, base): the columns of docs as a struct, the text (empty for null), its rule-based spans."""
+    t = docs.select(nested(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = base_spans()
     t = t.withColumns({name: found for name, found, _ in parts})
-    t = t.withColumn("base", F.expr("array_sort(concat(" + ", ".join(p for _, _, p in parts) + "))"))
-    return t.drop(*[name for name, _, _ in parts])
+    return t.select("d", "text", F.expr("array_sort(concat(" + ", ".join(p for _, _, p in parts) + "))").alias("base"))
 
 
 #: A term: what is left of a word, lower-cased, without punctuation at its ends.
@@ -90,25 +100,27 @@ def _terms(words: str) -> Column:
 
 
 def disclosing_terms(found: DataFrame, threshold: float = 0.95, support: int = 3, window: int = 8) -> DataFrame:
-    """(th, term): terms that disclose some entity of the corpus, with the hashes of the texts they stand in.
+    """(th, term): terms that disclose some entity of the corpus, with the fingerprints of the texts they stand in.
 
-    found: text, base. A context is up to `window` words on either
-    side of an entity; entities and pairs in fewer than `support` distinct
-    contexts say nothing. All documents are counted.
+    found: text, base. A context is up to `window` words on either side of an
+    entity, and what is written together with it; entities and pairs in fewer
+    than `support` distinct contexts say nothing. All documents are counted.
     """
     hits = found.where("size(base) > 0").select("text", F.explode("base").alias("b"))
-    near = 24 * window
-    left = F.expr(rf"split(substring(text, greatest(b.s - {near}, 0) + 1, least(b.s, {near})), '[\\x20\\x09-\\x0D]+')")
-    right = F.expr(rf"split(substring(text, b.e + 1, {near}), '[\\x20\\x09-\\x0D]+')")
+    near, space = 24 * window, r"'[\\x20\\x09-\\x0D]+'"
+    # so many words mostly lie so near; where they do not, the whole text on that side is split
+    left = F.expr(_let("x", f"split(substring(text, greatest(b.s - {near}, 0) + 1, least(b.s, {near})), {space})", f"if(size(x) > {window + 1} or b.s <= {near}, x, split(substring(text, 1, b.s), {space}))"))
+    right = F.expr(_let("x", f"split(substring(text, b.e + 1, {near}), {space})", f"if(size(x) > {window + 1} or length(text) <= b.e + {near}, x, split(substring(text, b.e + 1), {space}))"))
     entity = F.concat(F.col("b.kind"), F.lit(":"), F.lower("b.m"))
-    ctx = hits.select(entity.alias("entity"), F.xxhash64("text").alias("th"), left.alias("l"), right.alias("r"))
+    text = fingerprint(F.col("text")).alias("th")
+    ctx = hits.select(entity.alias("entity"), text, left.alias("l"), right.alias("r"))
     ctx = ctx.withColumn("words", F.expr(f"concat(slice(l, greatest(size(l) - {window}, 1), {window + 1}), slice(r, 1, {window + 1}))"))
-    ctx = ctx.groupBy("entity", F.xxhash64("words").alias("c")).agg(F.first("words").alias("words"), F.min("th").alias("th"))
+    ctx = ctx.groupBy("entity", fingerprint(F.col("words")).alias("c")).agg(F.first("words").alias("words"), F.min("th").alias("th"))
     ctx = stage(ctx.select("entity", "c", "th", _terms("words").alias("terms")), "contexts")
     often = ctx.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
     near_terms = ctx.select("entity", "c", "th", F.explode("terms").alias("term"))
     pairs = near_terms.groupBy("entity", "term").agg(F.count("*").alias("net")).where(F.col("net") >= support).join(often, "entity")
-    n = found.select(F.xxhash64("text").alias("th")).distinct().count()
+    n = found.select(text).distinct().count()
 
     def share(nt: str) -> Column:
         return F.log(F.col("net") * n / (F.col("ne") * F.col(nt))) / F.log(F.lit(float(n)) / F.col("ne"))
@@ -119,8 +131,8 @@ def disclosing_terms(found: DataFrame, threshold: float = 0.95, support: int = 3
     terms = pairs.select("term").distinct()
     few = terms.count()
     if not few:
-        return found.select(F.xxhash64("text").alias("th"), F.lit("").alias("term")).limit(0)
-    words = found.select(F.xxhash64("text").alias("th"), F.explode(_terms(_SPLIT)).alias("term"))
+        return found.select(text, F.lit("").alias("term")).limit(0)
+    words = found.select(text, F.explode(_terms(_SPLIT)).alias("term"))
     stand = stage(words.join(F.broadcast(terms) if few <= BROADCAST_TERMS else terms, "term", "left_semi").distinct(), "stand")
     nt = stand.groupBy("term").agg(F.count("*").alias("nt"))
     told = pairs.join(nt, "term").where(share("nt") >= threshold).select("term").distinct()
@@ -128,10 +140,11 @@ def disclosing_terms(found: DataFrame, threshold: float = 0.95, support: int = 3
 
 
 def all_spans(docs: DataFrame, **options) -> DataFrame:
-    """docs with base (the rule-based spans) and spans (those and the disclosing terms), both by start and then kind; text is never null.
+    """(d, text, base, spans): the columns of docs as a struct, the text (empty for null), the rule-based spans, those and the disclosing terms; both by start and then kind.
 
-    docs: doc_id, text and any others but base, spans. Empty texts have none;
-    repeated rows each get theirs; an empty table stays empty.
+    docs: text and any others, whatever their names. Empty texts have none;
+    rows that repeat a text each get its spans, and count once; an empty table
+    stays empty.
     """
     found = find(docs)
     told = disclosing_terms(found.select("text", "base"), **options)
@@ -140,11 +153,11 @@ def all_spans(docs: DataFrame, **options) -> DataFrame:
         return found.withColumn("spans", F.col("base"))
     per = told.groupBy("th").agg(F.collect_set("term").alias("terms"))
     rx = F.expr(r"concat('(?iu)(?<![\\p{L}\\p{N}])(?:', array_join(transform(array_sort(terms, (a, b) -> if(length(a) <> length(b), length(b) - length(a), if(a < b, -1, if(a > b, 1, 0)))), t -> concat('\\Q', t, '\\E')), '|'), ')(?![\\p{L}\\p{N}])')")
-    per = stage(per.select("th", rx.alias("__rx")), "per")
-    t = found.withColumn("__th", F.xxhash64("text")).join(per, F.col("__th") == F.col("th"), "left").drop("th", "__th")
-    t = t.withColumn("__t", F.when(F.col("__rx").isNotNull(), matches("text", "__rx", literal=False)))
-    extra = F.coalesce(F.expr(f"transform(__t, x -> struct(x.s as s, {len(KINDS)} as k, 'term' as kind, x.e as e, x.m as m))"), empty)
-    return t.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("__t", "__rx")
+    per = stage(per.select("th", rx.alias("rx")), "per")
+    t = found.withColumn("th", fingerprint(F.col("text"))).join(per, "th", "left")
+    t = t.withColumn("told", F.when(F.col("rx").isNotNull(), matches("text", "rx", literal=False)))
+    extra = F.coalesce(F.expr(f"transform(told, x -> struct(x.s as s, {len(KINDS)} as k, 'term' as kind, x.e as e, x.m as m))"), empty)
+    return t.select("d", "text", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -156,18 +169,20 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     t = all_spans(docs.select("doc_id", "text"), **options)
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k, _, _ in KINDS]
     terms = F.expr("cast(size(filter(spans, x -> x.kind = 'term')) as long)").alias("n_term")
-    return t.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), terms)
+    return t.select("d.doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), terms)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """docs with every span of its text replaced by [KIND]; overlapping spans become one, named by the first. Columns stay; null texts stay null; n_chars, if there, is brought up to date."""
-    cols = docs.columns
-    t = all_spans(docs.withColumn("__null", F.col("text").isNull()), **options)
-    built = F.expr("""aggregate(spans, struct(0 as at, cast(array() as array<string>) as out),
+    """docs with every span of its text replaced by [KIND]; overlapping spans become one, named by the first. Columns stay, whatever their names; null texts stay null; n_chars, if there, is brought up to date where the text changed."""
+    t = all_spans(docs, **options)
+    # a span counts if it begins where all before it have ended
+    fold = """aggregate(c, struct(o[k] as at, cast(array() as array<string>) as out),
         (a, x) -> if(x.s < a.at, struct(greatest(a.at, x.e) as at, a.out as out),
             struct(x.e as at, concat(a.out, array(substring(text, a.at + 1, x.s - a.at), concat('[', upper(x.kind), ']'))) as out)),
-        a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))""")
-    t = t.withColumn("text", F.when(F.col("__null"), F.lit(None).cast("string")).when(F.size("spans") > 0, built).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        t = t.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return t.select(*cols)
+        a -> array_join(a.out, ''))"""
+    ahead = "aggregate(p, array(0), (a, c) -> concat(a, array(greatest(element_at(a, -1), array_max(transform(c, x -> x.e))))))"
+    built = F.expr(_let("p", _PARTS.format("spans"), _let("o", ahead, f"concat(array_join(transform(p, (c, k) -> {fold}), ''), substring(text, element_at(o, -1) + 1))")))
+    new = {"text": F.when(F.size("spans") > 0, built).otherwise(F.col("d.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d.n_chars"))
+    return t.select(*[new.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns])

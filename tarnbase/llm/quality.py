@@ -1,8 +1,9 @@
 """Quality classifier by co-training two views.
 
 The text view sees what a text is made of: shares of character classes,
-repetition of words and lines. The metadata view sees the page: source,
-language, length and layout. Both are logistic models. In each round either
+repetition of words and lines, layout. The metadata view sees what is known of
+the page without its text: source, language and stated length. Both are
+logistic models. In each round either
 model labels the rows of an unlabelled pool it is most sure of, in the
 proportion of the classes, and hands them to the other's training set. Then
 both views are calibrated on labelled rows kept aside, and a model of the two
@@ -16,6 +17,7 @@ all documents and whole texts.
 from __future__ import annotations
 
 import operator
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import text_batches
+from tarnbase.llm.common import small_batches
 
 #: Labelled rows that the views are fitted on, and rows of the pool, about.
 FIT_ROWS = 40_000
@@ -36,8 +38,10 @@ ROUNDS = 5
 CONFIDENT = 0.05
 _SOURCES, _LANGS = 16, 8
 _GROUPS = [np.frombuffer(g, np.uint8) for g in (bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b" ", b"\n", b".,", b"!", b"|", b"*#$%&", b"?;:'\"()-", b"<>{}[]=/\\_~^@+", bytes(range(128, 256)))]
-N_TEXT = 2 * (len(_GROUPS) + 5) + 3
-N_META = _SOURCES + _LANGS + 7
+#: Stated lengths at which the metadata view tells pages apart.
+_STEPS = 50, 200, 1000, 5000, 20_000
+N_TEXT = 2 * (len(_GROUPS) + 5) + 7
+N_META = _SOURCES + _LANGS + len(_STEPS) + 4
 
 
 def text_features(text: str | None) -> list[float]:
@@ -57,24 +61,26 @@ def text_features(text: str | None) -> list[float]:
         1 - len(set(lines)) / max(1, len(lines)),
         sum(map(str.isupper, words)) / n,
     ]
-    return [1.0, *shares, *np.sqrt(shares).tolist(), np.log1p(n), len(raw) / n / 10]
+    lengths = [len(x) for x in text.split("\n")]
+    layout = [np.log1p(len(lengths)), np.log1p(max(lengths)), np.log1p(sum(lengths) / len(lengths)), sum(x < 20 for x in lengths) / len(lengths)]
+    return [1.0, *shares, *np.sqrt(shares).tolist(), np.log1p(n), len(raw) / n / 10, *layout]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None, text: str | None) -> list[float]:
-    """What is known about the page: source and language (hashed), length, layout."""
-    out = [0.0] * (_SOURCES + _LANGS)
-    out[zlib.crc32((source or "").encode()) % _SOURCES] = 1.0
-    out[_SOURCES + zlib.crc32((lang or "").encode()) % _LANGS] = 1.0
-    lines = text.split("\n") if text else []
-    lengths = [len(x) for x in lines] or [0]
+def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
+    """What is known about the page: source and language (hashed), its stated length, and what is not known."""
+    out = [0.0] * (_SOURCES + _LANGS + len(_STEPS))
+    out[zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % _SOURCES] = 1.0
+    out[_SOURCES + zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % _LANGS] = 1.0
     n = max(n_chars or 0, 0)
-    return [*out, 1.0, np.log1p(n), np.log1p(len(lines)), np.log1p(max(lengths)), np.log1p(sum(lengths) / len(lengths)), sum(x < 20 for x in lengths) / len(lengths), float(source is None) + float(lang is None)]
+    for i, least in enumerate(_STEPS):
+        out[_SOURCES + _LANGS + i] = float(n >= least)
+    return [*out, np.log1p(n), float(source is None), float(lang is None), float(n_chars is None)]
 
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     text, source, lang, n = (batch.column(i).to_pylist() for i in range(1, 5))
     t = np.array([text_features(x) for x in text], np.float64).reshape(-1, N_TEXT)
-    m = np.array([meta_features(s, g, k, x) for s, g, k, x in zip(source, lang, n, text, strict=True)], np.float64).reshape(-1, N_META)
+    m = np.array([meta_features(*x) for x in zip(source, lang, n, strict=True)], np.float64).reshape(-1, N_META)
     return t, m
 
 
@@ -202,7 +208,7 @@ def _stacked(rows: list, at: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained | None:
     """labels: doc_id, quality (1 good, 0 bad, null unknown; the lowest counts where a document has several). None if documents of a class have no labels to speak of."""
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     cols += [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
     docs = docs.select(*cols)
@@ -234,13 +240,16 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: floa
     """doc_id, text_score, meta_score, score, keep of every row.
 
     score is the probability of good quality; rows under `least` are not kept.
-    A null or blank text has the features of an empty one. Without labelled
-    rows of both classes every row scores 1 and is kept. An empty table gives
-    no rows; repeated rows each get a score.
+    A null or blank text has the features of an empty one, and columns that
+    are null or missing those of unknown values; whole texts count however
+    long. Where the labels lack a class, nothing can be fitted: scores and keep
+    are null. An empty table gives no rows; rows that repeat a document each
+    get the same score, and all teach if it is labelled; equal features score
+    alike; extra columns are ignored.
     """
     model = fit(docs, labels, rows)
     if model is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(1.0).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(True).alias("keep"))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")), F.lit(None).cast("boolean").alias("keep"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +259,18 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: floa
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     cols += [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(*cols).mapInArrow(run, "doc_id long, " + _SCORES).withColumn("keep", F.col("score") >= least)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier keeps; all columns stay. Rows are scored in place, so nothing is shuffled or joined."""
+    """The rows of docs that the classifier keeps; all columns stay, whatever their names. Rows are scored in place, so nothing is shuffled or joined. Where the labels lack a class, nothing can be fitted, so nothing is rejected, and a warning says so; else as scores."""
     model = fit(docs, labels, rows)
     if model is None:
+        warnings.warn("the labels lack a class: no quality model was fitted and no document is rejected", stacklevel=2)
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

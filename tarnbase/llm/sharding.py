@@ -1,7 +1,8 @@
 """K-d tree partitioning of documents into shards of near-equal bytes.
 
-The unit is a group of equal texts (a group of more than a share of a shard
-is broken into pieces by a hash of doc_id, so a hot group can be balanced).
+The unit is a group of equal texts (a group of more than a share of a shard, in
+bytes or in rows, is broken into pieces by a hash of doc_id, so a hot group can
+be balanced, and no task gets all its rows).
 Its dimensions are metadata: bytes of the text, source and language. A node
 is split along its widest dimension (extent relative to the whole table's) at
 the median weighted by bytes; ties on that dimension are ordered by a hash of
@@ -15,10 +16,12 @@ sees at most nodes x 4096 sums a round, whatever the size of the table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import stage
+from tarnbase.llm.common import fingerprint, stage
 
 _BINS = 4096
 _HASH_BITS = 40
@@ -68,40 +71,44 @@ def _by_node(values: dict[int, Column]) -> Column:
     return out
 
 
-def kd_shards(docs: DataFrame, depth: int = 3, tolerance: float = 1e-4) -> DataFrame:
-    """Put every row into one of 2**depth shards of near-equal bytes.
+def kd_shards(docs: DataFrame, depth: int | None = 3, tolerance: float = 1e-4, target_bytes: int | None = None) -> DataFrame:
+    """Put every row into one of 2**depth shards of near-equal bytes; with target_bytes, of as many levels as leaves need to hold no more than that.
 
     docs: doc_id, text, source, lang; others are ignored. Returns doc_id,
     size (UTF-8 bytes of the text plus 1; a null text has none), text_crc32,
     shard, slot (gapless from 0 in each shard, same on every run). Equal texts
-    share a shard unless their group outweighs a twentieth of one. A table
-    with fewer groups than shards leaves shards empty; an empty table gives no
-    rows. Null source or language is a value of its own.
+    share a shard unless their group outweighs a twentieth of one, in bytes or
+    in rows; null is a text of its own, and rows that repeat a document are
+    rows. A table with fewer groups than shards leaves shards empty; an empty
+    table gives no rows. Null source or language is a value of its own.
     """
     code = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")), F.lit(-1)).cast("long")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64("text").alias("th"),
+        fingerprint(F.col("text")).alias("th"),
         code("source").alias("s"),
         code("lang").alias("l"),
     )
     rows = stage(rows, "rows")
-    total = rows.agg(F.sum("size")).first()[0]
+    total, many = rows.agg(F.sum("size"), F.count("*")).first()
     if total is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    leaf = total / 2**depth
+    if target_bytes is not None:
+        depth = max(0, math.ceil(math.log2(max(1, total / target_bytes))))
+    leaf, crowd = total / 2**depth, many / 2**depth
     groups = rows.groupBy("th", "size").agg(F.min("s").alias("s"), F.min("l").alias("l"), F.sum("size").alias("gw"), F.count("*").alias("c"))
-    # at most 20 * 2**depth groups can outweigh a twentieth of a shard
-    hot = groups.where((F.col("gw") > leaf / 20) & (F.col("c") > 1)).select("th", "size", F.ceil(F.col("gw") / (leaf / 40)).cast("int").alias("np"), F.col("s").alias("gs"), F.col("l").alias("gl"))
+    # at most 20 * 2**depth groups can outweigh a twentieth of a shard, and as many by rows
+    heavy = F.greatest(F.col("gw") / (leaf / 40), F.col("c") / (crowd / 40))
+    hot = groups.where((heavy > 2) & (F.col("c") > 1)).select("th", "size", F.ceil(heavy).cast("int").alias("np"), F.col("s").alias("gs"), F.col("l").alias("gl"))
     hot = stage(hot, "hot")
     piece = F.coalesce(F.expr("pmod(xxhash64(doc_id), np)").cast("int"), F.lit(0))
-    rows = rows.join(F.broadcast(hot), ["th", "size"], "left").withColumn("piece", piece)
+    rows = rows.join(F.broadcast(hot), ["th", "size"], "left").withColumn("piece", piece).withColumn("hot", F.col("np").isNotNull())
     rows = rows.withColumn("s", F.coalesce("gs", "s")).withColumn("l", F.coalesce("gl", "l")).drop("np", "gs", "gl")
-    units = rows.groupBy("th", "size", "piece").agg(F.min("s").alias("s"), F.min("l").alias("l"), F.sum("size").alias("w"))
+    units = rows.groupBy("th", "size", "piece").agg(F.min("s").alias("s"), F.min("l").alias("l"), F.sum("size").alias("w"), F.first("hot").alias("hot"))
     ends = units.agg(F.min("size"), F.max("size"), F.min("s"), F.max("s"), F.min("l"), F.max("l")).first()
-    tie = F.shiftrightunsigned(F.xxhash64("th", "piece", F.lit(7)), 64 - _HASH_BITS)
+    tie = F.shiftrightunsigned(F.xxhash64("th.x", "piece", F.lit(7)), 64 - _HASH_BITS)
     for d, c, a, b in zip(DIMENSIONS, ("size", "s", "l"), ends[::2], ends[1::2], strict=True):
         x = F.log2(F.col(c)) if c == "size" else F.col(c).cast("double")
         first, last = (F.log2(F.lit(v)) if c == "size" else F.lit(float(v)) for v in (a, b))
@@ -122,8 +129,11 @@ def kd_shards(docs: DataFrame, depth: int = 3, tolerance: float = 1e-4) -> DataF
         node = nxt
         units = stage(units.withColumn("node", node), "units") if level < depth - 1 else units.withColumn("node", node)
         node = F.col("node")
-    out = rows.join(units.select("th", "size", "piece", (F.col("node") - 2**depth).cast("int").alias("shard")), ["th", "size", "piece"])
-    out = stage(out.select("doc_id", "size", "text_crc32", "th", "shard"), "placed")
+    placed = units.select("th", "size", "piece", "hot", (F.col("node") - 2**depth).cast("int").alias("shard"))
+    on = ["th", "size", "piece"]
+    # the pieces of hot groups, of which there are few, go to their rows; the others meet theirs by a shuffle
+    out = rows.where("hot").join(F.broadcast(placed.where("hot").drop("hot")), on).unionByName(rows.where("not hot").join(placed.where("not hot").drop("hot"), on))
+    out = stage(out.select("doc_id", "size", "text_crc32", F.col("th.x").alias("th"), "shard"), "placed")
     parts = max(1, -(-out.count() // 4_000))
     out = out.withColumn("part", F.expr(f"cast(pmod(xxhash64(doc_id, th), {parts}) as int)"))
     sums = out.groupBy("shard", "part").agg(F.count("*").alias("c"))

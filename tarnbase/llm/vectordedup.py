@@ -7,8 +7,12 @@ passes between them, and one of them is within d/2 of it. So a vector is also
 copied to every cell whose plane is that near, and then each linked pair
 meets in the home cell of at least one of the two: nothing is lost at the
 borders. Cells are compared in blocks of bounded size, so a crowded cell is
-split over many tasks. A block reports link counts and a local spanning
-forest, never its pairs.
+split over many tasks. A block finds candidates by products in single
+precision, with a margin above their rounding, decides in double precision,
+and reports link counts and a local spanning forest, never its pairs.
+
+The number of cells is the one of least work, from the copies that a sample
+would have: more cells mean smaller blocks, but more copies near borders.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import connected_components, stage, vector_batches
+from tarnbase.llm.common import connected_components, small_batches, stage
 
 #: Vectors that the directions are fitted on, about, whatever the size of the table.
 FIT_ROWS = 20_000
 #: Directions, at most: bounds what is broadcast. Beyond, cells grow and are compared in more blocks.
 MOST_CELLS = 4096
 LEFT, RIGHT = 1024, 4096
+#: Seconds of a row of a cell and of a product, about; only their ratio counts.
+ROW, PRODUCT = 1e-5, 2e-9
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -63,80 +69,116 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def matrices(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, row numbers, matrix) of the vectors in an array of lists, by dimension."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    dims = np.diff(ends)
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        yield d, rows, flat[ends[rows][:, None] + np.arange(d)]
+
+
+def as_binary(x: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    return pa.Array.from_buffers(pa.binary(8 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, np.float64).tobytes())]).cast(pa.binary())
+
+
+def _near(u: np.ndarray, c: np.ndarray, gram: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest direction of unit rows, and a mask of the others whose plane is within reach."""
+    s = u @ c.T
+    own = s.argmax(axis=1)
+    at = np.arange(len(own))
+    near = (s[at, own][:, None] - s) / np.sqrt(np.maximum(2 - 2 * gram[own], 1e-18)) <= reach
+    near[at, own] = False
+    return own, near
+
+
+def best_cells(u: np.ndarray, n: int, reach: float) -> int:
+    """Of 1, 8, 64, 512 and MOST_CELLS the number of cells that costs least for n vectors like the unit rows of u."""
+    few = u[:: max(1, len(u) // 4096)]
+    cost = {}
+    for k in (1, 8, 64, 512, MOST_CELLS):
+        if k > len(few):
+            break
+        c = spherical_kmeans(few, k, rounds=2)
+        copies = 1 + np.mean([_near(few[i : i + 256], c, c @ c.T, reach)[1].sum(axis=1).mean() for i in range(0, len(few), 256)])
+        cost[k] = n * copies * (ROW + n / k * PRODUCT * u.shape[1] / 64)
+    return min(cost, key=cost.get)
+
+
 def _assign(reps: DataFrame, centres: dict[int, np.ndarray], reach: float) -> DataFrame:
-    """(cell, home, id, m, v) rows: a vector's home cell (home: its cells, home first) and its copies near borders (home: null). Cells are named dimension * MOST_CELLS * 4 + number."""
+    """(cell, home, id, m, v) rows: a vector's home cell (home: its cells, home first) and its copies near borders (home: empty). Cells are named dimension * MOST_CELLS * 4 + number."""
     shared = reps.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            dims = np.diff(lists.offsets.to_numpy())
-            flat = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() :] if len(lists) else np.empty(0)
-            at = np.r_[0, np.cumsum(dims)]
             ids, ms = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cell, home, rid, rm, rv = [], [], [], [], []
-            for d in np.unique(dims).tolist():
-                rows = np.flatnonzero(dims == d)
-                raw = np.stack([flat[at[i] : at[i + 1]] for i in rows])
+            for d, rows, raw in matrices(batch.column(2)):
                 c = shared.value[d]
-                u = _unit(raw)
-                gram = c @ c.T
-                for i0 in range(0, len(rows), 512):
-                    s = u[i0 : i0 + 512] @ c.T
-                    own = s.argmax(axis=1)
-                    gap = np.sqrt(np.maximum(2 - 2 * gram[own], 1e-18))
-                    near = (s[np.arange(len(own)), own][:, None] - s) / gap <= reach
-                    near[np.arange(len(own)), own] = False
-                    base = d * MOST_CELLS * 4
-                    for k, r in enumerate(rows[i0 : i0 + 512].tolist()):
-                        others = (np.flatnonzero(near[k]) + base).tolist()
-                        mine = [int(own[k]) + base, *others]
-                        vec = raw[i0 + k].tobytes()
-                        cell += mine
-                        home += [mine] + [None] * len(others)
-                        rid += [ids[r]] * len(mine)
-                        rm += [ms[r]] * len(mine)
-                        rv += [vec] * len(mine)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((cell, home, rid, rm, rv), kinds, strict=True)], names=["cell", "home", "id", "m", "v"])
+                own, near = _near(_unit(raw), c, c @ c.T, reach)
+                i, cell = np.nonzero(near)
+                base = d * MOST_CELLS * 4
+                # the cells of row r: its own, then those near it
+                n = 1 + near.sum(axis=1)
+                ends = np.r_[0, np.cumsum(n)]
+                cells = np.empty(ends[-1], np.int64)
+                cells[ends[:-1]] = own
+                rest = np.ones(len(cells), bool)
+                rest[ends[:-1]] = False
+                cells[rest] = cell
+                which = np.r_[np.arange(len(rows)), i]
+                home = pa.ListArray.from_arrays(pa.array(np.r_[ends, np.full(len(i), ends[-1])].astype(np.int32)), pa.array(cells + base))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, cell] + base), home, pa.array(ids[rows][which]), pa.array(ms[rows][which]), as_binary(raw[which])], names=["cell", "home", "id", "m", "v"])
 
     return reps.select("id", "m", "v").mapInArrow(run, "cell long, home array<long>, id long, m long, v binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit rows whose product in double precision reaches the threshold."""
+    slack = max(1e-5, 2e-7 * x.shape[1])
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= threshold - slack)
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 65_536):
+        a, b = x[i[k : k + 65_536]], y[j[k : k + 65_536]]
+        s = np.einsum("ij,ij->i", a, b)
+        ok = s >= threshold
+        for t in np.flatnonzero(np.abs(s - threshold) < 1e-12):  # the order of sums could tip these
+            ok[t] = math.fsum(a[t] * b[t]) >= threshold
+        keep[k : k + 65_536] = ok
+    return i[keep], j[keep]
+
+
 def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Compare the left rows (home here) of a block with its right rows; counts of linked vectors and a spanning forest."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    none = pd.DataFrame({"id": [], "links": [], "to": []})
     if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "links": [], "to": []})
-    get = lambda t: _unit([np.frombuffer(b) for b in t["v"]])
-    x, y = get(left), get(right)
+        return none
+    x, y = (_unit(np.frombuffer(b"".join(t["v"])).reshape(len(t), -1)) for t in (left, right))
     xi, yi = left["id"].to_numpy(), right["id"].to_numpy()
-    xm, ym = left["m"].to_numpy(), right["m"].to_numpy()
-    s = x @ y.T
-    link = s >= threshold
-    for i, j in zip(*np.nonzero(np.abs(s - threshold) < 1e-12), strict=True):  # the product's order of sums could tip these
-        link[i, j] = math.fsum(x[i] * y[j]) >= threshold
-    link &= xi[:, None] != yi[None, :]
-    if not link.any():
-        return pd.DataFrame({"id": [], "links": [], "to": []})
-    here = right["home"].map(lambda h: h is not None and len(h) > 0).to_numpy(bool)
-    xn = link @ ym
+    i, j = _linked(x, y, threshold)
+    other = xi[i] != yi[j]
+    i, j = i[other], j[other]
+    if not len(i):
+        return none
+    xn = np.bincount(i, right["m"].to_numpy()[j], len(xi)).astype(np.int64)
     # a right row at home here is counted as a left row; a copy is counted here unless the left row has a copy in the other's home
-    back = link.copy()
-    back[:, here] = False
-    copies = np.flatnonzero(~here & back.any(axis=0))
-    homes = right["main"].to_numpy()
-    for h in np.unique(homes[copies]).tolist() if len(copies) else []:
-        meets = left["home"].map(lambda c, h=h: h in c).to_numpy(bool)
-        cols = copies[homes[copies] == h]
-        back[np.ix_(meets, cols)] = False
-    yn = xm @ back
+    here, homes = right["home"].map(len).to_numpy() > 0, right["main"].to_numpy()
+    back = ~here[j]
+    names, at = np.unique(homes[j[back]], return_inverse=True)
+    place = {int(h): k for k, h in enumerate(names)}
+    meets = np.zeros((len(xi), len(names)), bool)
+    for r in np.unique(i[back]).tolist():
+        meets[r, [place[h] for h in left["home"].iat[r] if h in place]] = True
+    back[back] = ~meets[i[back], at]
+    yn = np.bincount(j[back], left["m"].to_numpy()[i[back]], len(yi)).astype(np.int64)
     # labels run along links until they rest: a spanning forest of the block
     lx, ly = xi.copy(), yi.copy()
-    big = np.iinfo(np.int64).max
     while True:
-        ly2 = np.minimum(ly, np.where(link, lx[:, None], big).min(axis=0))
-        lx2 = np.minimum(lx, np.where(link, ly2[None, :], big).min(axis=1))
+        ly2, lx2 = ly.copy(), lx.copy()
+        np.minimum.at(ly2, j, lx[i])
+        np.minimum.at(lx2, i, ly2[j])
         if (lx2 == lx).all() and (ly2 == ly).all():
             break
         lx, ly = lx2, ly2
@@ -151,38 +193,36 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     Null, empty, zero and non-finite vectors link with nothing, and so do
     vectors of different lengths; they are kept. Equal vectors are one class
     whose members all link (counted, not expanded). Rows that repeat an id
-    are one vector if their vectors are equal. An empty table gives no rows.
+    are one vector if their vectors are equal, and each get a row. An empty
+    table gives no rows; extra columns are ignored.
     """
     spark = df.sparkSession
-    vector_batches(spark)
+    small_batches(spark)
     ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
     valid = valid_vectors(df, id_col, vec_col)
-    classes = stage(valid.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")), "classes")
+    classes = stage(valid.groupBy("v").agg(F.min("id").alias("id"), F.count_distinct("id").alias("m")), "classes")
     n = classes.count()
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     keep = min(1.0, FIT_ROWS / n)
     sample = classes.where(F.abs(F.xxhash64("id") % 1_000_003) < int(keep * 1_000_003) + 1).select(F.size("v").alias("d"), "v", "id").orderBy("d", "id").toPandas()
     centres = {}
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9
     for d in [r[0] for r in classes.select(F.size("v")).distinct().collect()]:
         rows = sample[sample["d"] == d]
         if rows.empty:
             rows = classes.where(F.size("v") == d).limit(1).toPandas()
         u = _unit(np.stack(rows["v"].to_numpy()))
-        k = cells or min(MOST_CELLS, max(1, math.ceil(math.sqrt(n) / 4)))
-        centres[d] = spherical_kmeans(u, min(k, len(u)))
-    reach = math.sqrt(2 - 2 * threshold) / 2 + 1e-9
+        centres[d] = spherical_kmeans(u, min(cells or best_cells(u, n, reach), len(u)))
     at = stage(_assign(classes, centres, reach), "cells")
-    per = at.groupBy("cell").agg(F.count("*").alias("c"), F.count("home").alias("h"))
+    per = at.groupBy("cell").agg(F.count("*").alias("c"), F.count_if(F.size("home") > 0).alias("h"))
     per = per.select("cell", F.ceil(F.col("h") / LEFT).cast("int").alias("nl"), F.ceil(F.col("c") / RIGHT).cast("int").alias("nr"))
     t = at.join(F.broadcast(per), "cell").where("nl > 0")  # one row for each of at most MOST_CELLS cells of a dimension
-    main = t.withColumn("main", F.when(F.col("home").isNotNull(), F.col("cell")))
     # a copy carries the name of its own home
-    homes = at.where("home is not null").select("id", F.col("cell").alias("own"))
-    main = main.join(homes, "id").withColumn("main", F.col("own")).drop("own")
+    main = t.join(at.where("size(home) > 0").select("id", F.col("cell").alias("main")), "id")
     mine = F.expr("cast(pmod(xxhash64(id), nl) as int)")
     other = F.expr("cast(pmod(xxhash64(id, 1), nr) as int)")
-    left = main.where("home is not null").withColumn("lb", mine).withColumn("rb", F.explode(F.expr("sequence(0, nr - 1)"))).withColumn("side", F.lit(0))
+    left = main.where("size(home) > 0").withColumn("lb", mine).withColumn("rb", F.explode(F.expr("sequence(0, nr - 1)"))).withColumn("side", F.lit(0))
     right = main.withColumn("rb", other).withColumn("lb", F.explode(F.expr("sequence(0, nl - 1)"))).withColumn("side", F.lit(1))
     both = left.unionByName(right).select("cell", "lb", "rb", "side", "id", "m", "home", "main", "v")
     found = both.groupBy("cell", "lb", "rb").applyInPandas(lambda pdf: _block(pdf, threshold), "id long, links long, to long")
