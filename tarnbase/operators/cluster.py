@@ -2,8 +2,8 @@
 
 The greedy ones run over each group in a declared total order in one worker;
 they are meant for the groups they name (a platform's questions, a client's
-queries). Where a group is too large, the order-free variant links pairs and
-merges them into components on the cluster.
+queries). Where a group is too large, the order-free variant counts the links
+of every text and gives the pairs of different ones, to be merged on the cluster.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.functions.similarity import char_jaccard
-
 
 def jaccard(a: str, b: str) -> float:
     x, y = set(a or ""), set(b or "")
@@ -167,11 +165,32 @@ def edit_clusters(df: DataFrame, group: str, order: str, word: str, most: int =
     return df.groupBy(group).applyInPandas(run, schema)
 
 
-def similar_pairs(df: DataFrame, block: Sequence[str], key: str, q: str, above: float = 0.9) -> DataFrame:
-    """Pairs within a block whose questions are alike; links for an order-free clustering."""
-    a = df.select(*block, F.col(key).alias("a"), F.col(q).alias("qa"))
-    b = df.select(*block, F.col(key).alias("b"), F.col(q).alias("qb"))
-    return a.join(b, list(block)).where("a < b").where(char_jaccard("qa", "qb") > above).select("a", "b")
+def similar_links(df: DataFrame, block: Sequence[str], key: str, q: str, above: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Texts of a block whose character sets are alike: (key, rep, n_links) of every row, and the pairs (a, b) of different sets that link, by their representatives.
+
+    Equal sets are one class, named by its smallest key, and all its members
+    link; they are counted, not expanded. Two sets can only be alike if one
+    of the rarest |A| - ceil(above |A|) + 1 characters of one is in the
+    other, so sets meet by those, with rarity counted over the block's sets.
+    """
+    from tarnbase.functions.lineage import cut
+    from tarnbase.functions.similarity import chars, jaccard
+
+    on = list(block)
+    t = df.select(*on, F.col(key).alias("key"), F.array_sort(chars(q)).alias("cs"))
+    sets = cut(t.groupBy(*on, "cs").agg(F.min("key").alias("rep"), F.count("*").alias("m")).where("size(cs) > 0"))
+    each = sets.select(*on, "rep", F.explode("cs").alias("c"))
+    rare = each.groupBy(*on, "c").agg(F.count("*").alias("df"))
+    order = each.join(rare, [*on, "c"]).groupBy(*on, "rep").agg(F.array_sort(F.collect_list(F.struct("df", "c"))).alias("o"))
+    need = F.greatest(F.size("o") - F.ceil(F.size("o") * above).cast("int") + 1, F.lit(1))
+    probe = order.select(*on, F.col("rep").alias("a"), F.explode(F.slice("o", 1, need)).alias("p")).select(*on, "a", F.col("p.c").alias("c"))
+    met = probe.join(each.select(*on, F.col("rep").alias("b"), "c"), [*on, "c"]).where("a <> b").select(*on, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda n: sets.select(*on, F.col("rep").alias(n), F.col("cs").alias(f"c{n}"), F.col("m").alias(f"m{n}"))
+    pairs = cut(met.join(side("a"), [*on, "a"]).join(side("b"), [*on, "b"]).where(jaccard(F.col("ca"), F.col("cb")) > above).select(*on, "a", "b", "ma", "mb"))
+    other = pairs.select(*on, F.col("a").alias("rep"), F.col("mb").alias("n")).unionByName(pairs.select(*on, F.col("b").alias("rep"), F.col("ma").alias("n"))).groupBy(*on, "rep").agg(F.sum("n").alias("n"))
+    links = sets.join(other, [*on, "rep"], "left").select(*on, "cs", "rep", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    rows = t.join(links, [*on, "cs"], "left").select(F.col("key").alias(key), F.coalesce("rep", "key").alias("rep"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows, pairs.select(*on, "a", "b")
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.functions.similarity import char_dice, char_jaccard, text_overlap
+from tarnbase.functions.similarity import char_jaccard, dice, text_overlap
 
 
 def enabled_apps(configs: DataFrame, apps: DataFrame, key: str, override: str) -> DataFrame:
@@ -85,24 +85,28 @@ def names_match(a: Column, b: Column) -> Column:
 def align_queries(peer: DataFrame, local: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Each peer query with its local match: equal keys first (the first local one), else the best character Dice from the threshold up; ties to the first.
 
-    peer: key, norm; local: ord, query, norm. Fuzzy candidates share a
-    character, found by an equi join on the rarest characters of the peer
-    side: two sets with Dice >= t share at least t/(2-t) of the larger, so
-    one of the peer's first |A| - ceil(t/(2-t)|A|) + 1 characters (in a
-    common order) must occur on the local side.
+    peer: key, norm; local: ord, query, norm. The measure sees sets of
+    characters, so texts of one set are compared once, by their first. Fuzzy
+    candidates share a rare character: two sets with Dice >= t share at least
+    t/(2-t) of the larger, so one of the rarest |A| - ceil(t/(2-t)|A|) + 1
+    characters of the peer's set must be on the local side; rarity is counted
+    over the local sets.
     """
+    from tarnbase.functions.lineage import cut
     from tarnbase.functions.similarity import chars
 
     first = local.groupBy("norm").agg(F.min_by("query", "ord").alias("query"), F.min("ord").alias("ord"))
     exact = peer.join(first.select("norm", F.col("query").alias("local_query")), "norm", "left")
-    rest = exact.where("local_query is null").select("key", F.col("norm").alias("pn"))
+    sets = cut(first.withColumn("cs", F.array_sort(chars("norm"))).groupBy("cs").agg(F.min_by("query", "ord").alias("query"), F.min("ord").alias("ord")))
+    wanted = exact.where("local_query is null").select(F.array_sort(chars("norm")).alias("pcs")).where("size(pcs) > 0").distinct()
     need = threshold / (2 - threshold)
-    pc = rest.withColumn("cs", F.array_sort(chars("pn"))).withColumn("cs", F.slice("cs", 1, F.greatest(F.size("cs") - F.ceil(F.size("cs") * need).cast("int") + 1, F.lit(1))))
-    lc = first.withColumn("cs", chars("norm"))
-    cand = pc.select("key", "pn", F.explode("cs").alias("c")).join(lc.select("norm", "ord", "query", F.explode("cs").alias("c")), "c").select("key", "pn", "norm", "ord", "query").distinct()
-    scored = cand.withColumn("dice", char_dice("pn", "norm")).where(F.col("dice") >= threshold)
-    best = scored.groupBy("key").agg(F.max_by(F.struct("query", "dice"), F.struct("dice", -F.col("ord"))).alias("b"))
-    t = exact.join(best, "key", "left")
+    rare = sets.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("df"))
+    pc = wanted.select("pcs", F.explode("pcs").alias("c")).join(rare, "c", "left").groupBy("pcs").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "c"))).alias("o"))
+    probe = F.slice("o", 1, F.greatest(F.size("o") - F.ceil(F.size("o") * need).cast("int") + 1, F.lit(1)))
+    cand = pc.select("pcs", F.explode(probe).alias("p")).select("pcs", F.col("p.c").alias("c")).join(sets.select("cs", "ord", "query", F.explode("cs").alias("c")), "c").select("pcs", "cs", "ord", "query").distinct()
+    scored = cand.withColumn("dice", dice("pcs", "cs")).where(F.col("dice") >= threshold)
+    best = scored.groupBy("pcs").agg(F.max_by(F.struct("query", "dice"), F.struct("dice", -F.col("ord"))).alias("b"))
+    t = exact.withColumn("pcs", F.array_sort(chars("norm"))).join(best, "pcs", "left")
     kind = F.when(F.col("local_query").isNotNull(), "exact").when(F.col("b").isNotNull(), "fuzzy").otherwise("none")
     return t.select("key", "norm", kind.alias("match_type"), F.coalesce("local_query", "b.query", F.lit("")).alias("local_query"), F.when(kind == "exact", 1.0).otherwise(F.coalesce("b.dice", F.lit(0.0))).alias("similarity"))
 
@@ -149,16 +153,27 @@ def split_by_status(rows: DataFrame, status: DataFrame, file_col: str) -> DataFr
 
 
 def duplicate_candidates(new: DataFrame, existing: DataFrame, top: int = 5, exclude_self: bool = True) -> DataFrame:
-    """The nearest stored documents of each new one, blocked by type and platform. Both: id, data_type, platform, vec."""
-    from tarnbase.functions.similarity import cosine
+    """The nearest stored documents of each new one of the same type and platform. Both: id, data_type, platform, vec."""
+    from tarnbase.operators.search import cosines
 
-    e = existing.select(F.col("id").alias("other"), "data_type", "platform", F.col("vec").alias("ovec"))
-    t = new.select("id", "data_type", "platform", "vec").join(e, ["data_type", "platform"])
+    t = cosines(existing.select("id", "vec", "data_type", "platform"), new.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), "data_type", "platform"), top + exclude_self, by=("data_type", "platform"))
+    t = t.select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("cosine").alias("similarity"))
     if exclude_self:
         t = t.where("id <> other")
-    t = t.withColumn("similarity", cosine("vec", "ovec"))
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("id", "other", "similarity", "rank")
+    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def duplicate_links(docs: DataFrame, basic: float = 0.7, strict: float = 0.95, judge: Column | None = None) -> DataFrame:
+    """Of every document the number of others of the same type and platform that hold the same knowledge, and the smallest id among them and itself. docs: id, data_type, platform, vec. Pairs are compared in blocks; only those from `basic` up leave a block. judge: what an injected model says of (id, other, similarity) between the bounds."""
+    from tarnbase.operators.search import cosines
+
+    own = ("data_type", "platform")
+    t = cosines(docs.select("id", "vec", *own), docs.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"), *own), least=basic if judge is not None else max(basic, strict), by=own)
+    t = t.select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("cosine").alias("similarity")).where("id <> other")
+    same = F.col("similarity") > strict
+    t = t.where(same if judge is None else same | judge).groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("least"))
+    return docs.select("id").join(t, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.least("id", "least").alias("first"))
 
 
 def merge_routes(*routes: DataFrame, key: str = "id", fill: tuple[str, ...] = ()) -> DataFrame:

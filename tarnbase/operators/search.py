@@ -1,15 +1,23 @@
 """Retrieval: BM25, vectors, both together, re-ranking.
 
-The index is a table of postings. A query table is joined to it by term, so a
-term that no query has is never read into the join; scores are sums that are
-aggregated before the shuffle.
+Documents are tokenised in one pass over all fields. Only terms that a query
+has leave that pass, as a document's counts of them; document frequencies and
+lengths are aggregated from its rows, so nothing is computed while a query is
+planned. Vectors meet their queries in blocks of bounded size, by matrix
+products; keywords are found by one automaton over each text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnbase.functions.lineage import cut
 from tarnbase.functions.similarity import cosine
 from tarnbase.functions.text import text
 
@@ -20,6 +28,12 @@ SYNONYM_WEIGHT, TIE = 1.8, 0.3
 #: Fixed value: scores of pages are divided by this and cut at 1.
 PAGE_SCALE = 5.0
 TOKEN = r"[\p{L}\p{N}]+"
+#: Vectors and queries of a block of products.
+VECTORS, QUERIES = 16_384, 1_024
+#: Keywords of an automaton; more are looked for in further passes.
+KEYWORDS = 200_000
+#: Query terms that are sent to every task; beyond, terms meet by a shuffle.
+TERMS = 500_000
 
 
 def tokens(x: Column | str) -> Column:
@@ -35,20 +49,21 @@ def postings(docs: DataFrame, key: str, field: Column | str, name: str) -> DataF
 
 def field_scores(docs: DataFrame, key: str, fields: dict[str, Column | str], queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, id, field, score): BM25 of every document that shares a term with a query. queries: qid, text; repeated terms of a query count once each time."""
-    q = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    q = cut(queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf")))
     wanted = q.select("term").distinct()
-    out = None
-    for name, col in fields.items():
-        t = docs.select(F.col(key).alias("id"), tokens(col).alias("t")).where(F.size("t") > 0)
-        stats = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
-        n, avg = stats["n"], stats["avg"] or 1.0
-        p = t.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-        df = p.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg))) * F.col("qtf")
-        s = p.join(df, "term").join(q, "term").groupBy("qid", "id").agg(F.sum(w).alias("score")).withColumn("field", F.lit(name))
-        out = s if out is None else out.unionByName(s)
-    return out.select("qid", "id", "field", "score")
+    # one pass: a row for each field of a document, with its length and its terms
+    t = docs.select(F.col(key).alias("id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("t")) for n, c in fields.items()])).alias("f")).select("id", "f.field", "f.t").where(F.size("t") > 0)
+    stats = F.broadcast(t.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")))  # one row for each field
+    few = wanted.limit(TERMS + 1).count() <= TERMS
+    p = t.select("id", "field", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    p = cut(p.groupBy("id", "field", "len", "term").agg(F.count("*").alias("tf")))
+    df = p.groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg"))) * F.col("qtf")
+    # a query's terms with their weights are few rows a term: they go to the postings, not the postings of a frequent term to one task
+    terms = q.join(df, "term").join(stats, "field").select("field", "term", "qid", "qtf", "df", "n", "avg")
+    s = p.join(F.broadcast(terms) if few and terms.count() <= TERMS else terms, ["field", "term"])
+    return s.groupBy("qid", "id", "field").agg(F.sum(w).alias("score"))
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, tuple[Column | str, float]], queries: DataFrame, tie: float = TIE) -> DataFrame:
@@ -67,18 +82,46 @@ def top(hits: DataFrame, k: int, by: str = "score", per: str = "qid", tie: str =
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cosines(vectors: DataFrame, queries: DataFrame, k: int | None = None, least: float | None = None, places: int = 6, by: Sequence[str] = ()) -> DataFrame:
+    """(qid, id, cosine) of every query with every vector (of the same values of `by`, columns of both), in blocks: the k best of each query in each block (so the best k of all are among them), or those from `least` up. vectors: id, vec; queries: qid, qvec. Cosines are rounded to `places`; a zero vector scores 0, missing vectors and those of other lengths are not compared."""
+    if k is None and least is None:
+        raise ValueError("either k or least must bound what a block returns")
+    v = vectors.select("id", F.col("vec").cast("array<double>").alias("v"), *by).where("size(v) > 0")
+    q = queries.select("qid", F.col("qvec").cast("array<double>").alias("v"), *by).where("size(v) > 0")
+    # as many blocks as the largest group needs
+    nv, nq = (max(1, -(-(t.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) // n)) for t, n in ((v, VECTORS), (q, QUERIES)))
+    dim = F.size("v").alias("dim")
+    left = v.select(F.lit(0).alias("side"), F.col("id").cast("string").alias("key"), "v", dim, *by, F.expr(f"cast(pmod(xxhash64(id), {nv}) as int)").alias("bv"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"))
+    right = q.select(F.lit(1).alias("side"), F.col("qid").cast("string").alias("key"), "v", dim, *by, F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("bv"), F.expr(f"cast(pmod(xxhash64(qid), {nq}) as int)").alias("bq"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if a.empty or b.empty:
+            return pd.DataFrame({"qid": [], "id": [], "cosine": []}).astype({"qid": str, "id": str})
+        x, y = (np.stack(t["v"].to_numpy()).astype(np.float64) for t in (a, b))
+        x, y = (np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m, n in ((m, np.linalg.norm(m, axis=1, keepdims=True)) for m in (x, y)))
+        s = np.round(y @ x.T, places) + 0.0
+        keep = np.ones(s.shape, bool) if least is None else s >= least
+        if k is not None and s.shape[1] > k:  # ties of the k-th stay: which of them is last is decided by the id
+            keep &= s >= np.partition(s, -k, axis=1)[:, -k][:, None]
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"qid": b["key"].to_numpy()[i], "id": a["key"].to_numpy()[j], "cosine": s[i, j]})
+
+    got = left.unionByName(right).groupBy(*by, "bv", "bq", "dim").applyInPandas(block, "qid string, id string, cosine double")
+    return got.select(F.col("qid").cast(queries.schema["qid"].dataType), F.col("id").cast(vectors.schema["id"].dataType), "cosine")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vec: str = "vec", least: float | None = None) -> DataFrame:
-    """(qid, id, cosine, rank): exact nearest by cosine. queries: qid, qvec. Every query meets every vector; for large tables use an index."""
-    t = vectors.select(F.col(key).alias("id"), F.col(vec).alias("vec")).join(queries.select("qid", "qvec"), F.lit(True)).withColumn("cosine", cosine("vec", "qvec"))
-    if least is not None:
-        t = t.where(F.col("cosine") >= least)
+    """(qid, id, cosine, rank): exact nearest by cosine. queries: qid, qvec."""
+    t = cosines(vectors.select(F.col(key).alias("id"), F.col(vec).alias("vec")), queries, k, least)
     return top(t, k, "cosine").select("qid", "id", "cosine", "rank")
 
 
 def nested_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vecs: str = "vecs") -> DataFrame:
-    """As knn, over documents with several vectors: the best counts."""
-    t = vectors.select(F.col(key).alias("id"), F.explode(vecs).alias("v")).join(queries.select("qid", "qvec"), F.lit(True))
-    t = t.groupBy("qid", "id").agg(F.max(cosine("v", "qvec")).alias("cosine"))
+    """As knn, over documents with several vectors: the best counts. Of each query the k best documents are among its k * n best vectors, n being the most that a document has."""
+    flat = vectors.select(F.col(key).alias("id"), F.explode(vecs).alias("vec"))
+    n = vectors.agg(F.max(F.size(vecs))).first()[0] or 1
+    t = cosines(flat, queries, k * n).groupBy("qid", "id").agg(F.max("cosine").alias("cosine"))
     return top(t, k, "cosine").select("qid", "id", "cosine", "rank")
 
 
@@ -109,11 +152,42 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("qid", "id", "place")
 
 
+def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(id, kw, titled): the different keywords that stand anywhere in a text, and whether in its title. texts: id, t (title), h (all); keywords: kw. Each text is read once for KEYWORDS keywords."""
+    import ahocorasick
+
+    kinds = f"id {texts.schema['id'].dataType.simpleString()}, kw string, titled boolean"
+    kw = cut(keywords.select("kw").where("kw <> ''").distinct())
+    passes = max(1, -(-kw.count() // KEYWORDS))
+    out = None
+    for i in range(passes):
+        some = [r["kw"] for r in kw.where(F.expr(f"pmod(xxhash64(kw), {passes}) = {i}")).toLocalIterator()]  # about KEYWORDS of them
+
+        def run(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
+            find = ahocorasick.Automaton()
+            for w in some:
+                find.add_word(w, w)
+            if some:
+                find.make_automaton()
+            for batch in batches:
+                ids, hit, titled = [], [], []
+                for n, (t, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    found = {w for _, w in find.iter(h)} if some and h else set()
+                    ids += [n] * len(found)
+                    hit += sorted(found)
+                    titled += [w in (t or "") for w in sorted(found)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(hit, pa.string()), pa.array(titled, pa.bool_())], names=["id", "kw", "titled"])
+
+        part = texts.select("id", "t", "h").mapInArrow(run, kinds)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def keyword_recall(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank) by keywords found in a chunk, twice more for those in its title. chunks: id, title, text; queries: qid, keywords (array)."""
     q = queries.select("qid", F.explode(F.array_distinct("keywords")).alias("kw"))
-    t = chunks.select("id", F.lower("title").alias("t"), F.lower(F.concat_ws(" ", "title", "text")).alias("h")).join(q, F.col("h").contains(F.col("kw")))
-    t = t.groupBy("qid", "id").agg((F.count("*") + 2 * F.count(F.when(F.col("t").contains(F.col("kw")), 1))).alias("score"))
+    t = chunks.select("id", F.lower(text("title")).alias("t"), F.lower(F.concat_ws(" ", "title", "text")).alias("h"))
+    t = keyword_hits(t, q).join(q, "kw").groupBy("qid", "id").agg((F.count("*") + 2 * F.count_if("titled")).alias("score"))
     return top(t, k)
 
 

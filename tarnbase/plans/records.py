@@ -37,9 +37,9 @@ def h54_placeholders(spark, d):
     return t.select("id", R.restore_placeholders("x", F.col("m")).alias("restored"), R.strip_placeholders("x").alias("stripped"))
 
 
-@query("SELECT p_partkey AS id, p_brand || ',' || p_type AS keywords, 'L' AS label, p_name AS content FROM part WHERE p_type NOT LIKE '% %'")
+@query("SELECT p_partkey AS id, replace(p_brand, ' ', '_') || ',' || replace(p_type, ' ', '_') AS keywords, 'L' AS label, p_name AS content FROM part")
 def h64_parse_segment(spark, d):
-    t = table(spark, d, "part").where("p_type not like '% %'").select(F.col("p_partkey").alias("id"), R.parse_segment(F.expr("concat('- 关键词：', replace(p_brand, ' ', '_'), '、', p_type, '\n- 图谱标签: L\n', p_name)")).alias("s"), F.expr("replace(p_brand, ' ', '_') = p_brand").alias("ok")).where("ok")
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.parse_segment(F.expr("concat('- 关键词：', replace(p_brand, ' ', '_'), '、', replace(p_type, ' ', '_'), '\n- 图谱标签: L\n', p_name)")).alias("s"))
     return t.select("id", F.array_join("s.keywords", ",").alias("keywords"), "s.label", "s.content")
 
 

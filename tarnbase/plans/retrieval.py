@@ -218,21 +218,21 @@ def a28_verdict_report(spark, d):
 
 # -- joins -----------------------------------------------------------------
 
-_APPS = """WITH cfg AS (SELECT o_orderkey AS id, o_custkey % 200 AS app_id, 'c' || (o_custkey % 5) AS client, CASE o_orderkey % 4 WHEN 0 THEN 'learn' WHEN 1 THEN 'scene' WHEN 2 THEN 'force' ELSE 'other' END AS config_key, o_orderpriority AS config_value, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS is_enabled, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS del_flag FROM orders),
- app AS (SELECT c_custkey AS id, c_mktsegment AS customer, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS is_enabled, 0 AS del_flag FROM customer WHERE c_custkey < 200) """
+_APPS = """WITH cfg AS (SELECT o_orderkey AS id, o_custkey AS app_id, 'c' || (o_custkey % 5) AS client, CASE o_orderkey % 4 WHEN 0 THEN 'learn' WHEN 1 THEN 'scene' WHEN 2 THEN 'force' ELSE 'other' END AS config_key, o_orderpriority AS config_value, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS is_enabled, CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS del_flag FROM orders),
+ app AS (SELECT c_custkey AS id, c_mktsegment AS customer, CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS is_enabled, 0 AS del_flag FROM customer) """
 
 
 @query(_APPS + ", live AS (SELECT * FROM cfg WHERE coalesce(del_flag, 0) = 0), sc AS (SELECT app_id, arg_max(config_value, id) AS scene FROM live WHERE config_key = 'scene' GROUP BY 1) SELECT DISTINCT c.app_id, c.client, a.customer, sc.scene FROM live c JOIN app a ON a.id = c.app_id AND a.is_enabled = 1 LEFT JOIN sc ON sc.app_id = c.app_id WHERE c.config_key = 'learn' AND (c.is_enabled = 1 OR EXISTS (SELECT 1 FROM live f WHERE f.app_id = c.app_id AND f.config_key = 'force' AND f.is_enabled = 1))")
 def j1_enabled_apps(spark, d):
-    cfg = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_custkey % 200 as app_id", "concat('c', o_custkey % 5) as client", "case o_orderkey % 4 when 0 then 'learn' when 1 then 'scene' when 2 then 'force' else 'other' end as config_key", "o_orderpriority as config_value", "if(o_orderstatus = 'F', 1, 0) as is_enabled", "if(o_orderkey % 9 = 0, 1, 0) as del_flag")
-    app = table(spark, d, "customer").where("c_custkey < 200").selectExpr("c_custkey as id", "c_mktsegment as customer", "if(c_acctbal > 0, 1, 0) as is_enabled", "0 as del_flag")
+    cfg = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_custkey as app_id", "concat('c', o_custkey % 5) as client", "case o_orderkey % 4 when 0 then 'learn' when 1 then 'scene' when 2 then 'force' else 'other' end as config_key", "o_orderpriority as config_value", "if(o_orderstatus = 'F', 1, 0) as is_enabled", "if(o_orderkey % 9 = 0, 1, 0) as del_flag")
+    app = table(spark, d, "customer").selectExpr("c_custkey as id", "c_mktsegment as customer", "if(c_acctbal > 0, 1, 0) as is_enabled", "0 as del_flag")
     return J.enabled_apps(cfg, app, "learn", "force")
 
 
-@query("WITH q AS (SELECT item_id AS key, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM benchmark), l AS (SELECT doc_id AS ord, substr(text, 1, 80) AS query, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM documents) SELECT q.key, coalesce((SELECT arg_min(query, ord) FROM l WHERE l.norm = q.norm), '') AS local_query FROM q")
+@query("WITH q AS (SELECT item_id AS key, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM benchmark), l AS (SELECT doc_id AS ord, text AS query, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM documents) SELECT q.key, coalesce((SELECT arg_min(query, ord) FROM l WHERE l.norm = q.norm), '') AS local_query FROM q")
 def j8_align_exact(spark, d):
     peer = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), X.qa_key("text").alias("norm"))
-    local = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.substring("text", 1, 80).alias("query"), X.qa_key("text").alias("norm"))
+    local = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("query"), X.qa_key("text").alias("norm"))
     first = local.groupBy("norm").agg(F.min_by("query", "ord").alias("q"))
     return peer.join(first, "norm", "left").select("key", F.coalesce("q", F.lit("")).alias("local_query"))
 
@@ -241,11 +241,10 @@ _SETS = "list_distinct(list_filter(string_split({}, ''), lambda c: c <> ''))"
 _DICE = "2.0 * len(list_intersect(a.cs, b.cs)) / (len(a.cs) + len(b.cs))"
 
 
-@query(f"WITH a AS (SELECT p_partkey AS key, lower(p_name) AS norm, {_SETS.format('lower(p_name)')} AS cs FROM part WHERE p_size <= 3), b AS (SELECT p_partkey AS ord, p_name AS query, lower(p_name) AS norm, {_SETS.format('lower(p_name)')} AS cs FROM part WHERE p_size > 3 AND p_size < 9), e AS (SELECT a.key, a.norm, a.cs, arg_min(b.query, b.ord) AS q FROM a LEFT JOIN b ON a.norm = b.norm GROUP BY 1, 2, 3), s AS (SELECT a.key, b.query, {_DICE} AS dice, row_number() OVER (PARTITION BY a.key ORDER BY {_DICE} DESC, b.ord) AS r FROM e a, b WHERE a.q IS NULL) SELECT e.key, CASE WHEN q IS NOT NULL THEN 'exact' WHEN s.dice >= 0.75 THEN 'fuzzy' ELSE 'none' END AS match_type, coalesce(q, CASE WHEN s.dice >= 0.75 THEN s.query END, '') AS local_query, round(CASE WHEN q IS NOT NULL THEN 1.0 WHEN s.dice >= 0.75 THEN s.dice ELSE 0.0 END, 6)::DOUBLE AS similarity FROM e LEFT JOIN s ON e.key = s.key AND s.r = 1")
+@query(f"WITH a AS (SELECT s_suppkey AS key, lower(s_name) AS norm, {_SETS.format('lower(s_name)')} AS cs FROM supplier), b AS (SELECT c_custkey AS ord, c_name AS query, lower(c_name) AS norm, {_SETS.format('lower(c_name)')} AS cs FROM customer), e AS (SELECT a.key, a.norm, a.cs, arg_min(b.query, b.ord) AS q FROM a LEFT JOIN b ON a.norm = b.norm GROUP BY 1, 2, 3), s AS (SELECT a.key, b.query, {_DICE} AS dice, row_number() OVER (PARTITION BY a.key ORDER BY {_DICE} DESC, b.ord) AS r FROM e a, b WHERE a.q IS NULL) SELECT e.key, CASE WHEN q IS NOT NULL THEN 'exact' WHEN s.dice >= 0.75 THEN 'fuzzy' ELSE 'none' END AS match_type, coalesce(q, CASE WHEN s.dice >= 0.75 THEN s.query END, '') AS local_query, round(CASE WHEN q IS NOT NULL THEN 1.0 WHEN s.dice >= 0.75 THEN s.dice ELSE 0.0 END, 6)::DOUBLE AS similarity FROM e LEFT JOIN s ON e.key = s.key AND s.r = 1")
 def j8_align_fuzzy(spark, d):
-    p = table(spark, d, "part")
-    peer = p.where("p_size <= 3").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("norm"))
-    local = p.where("p_size > 3 and p_size < 9").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("query"), F.lower("p_name").alias("norm"))
+    peer = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.lower("s_name").alias("norm"))
+    local = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("query"), F.lower("c_name").alias("norm"))
     return J.align_queries(peer, local).select("key", "match_type", "local_query", F.round("similarity", 6).alias("similarity"))
 
 
@@ -278,17 +277,17 @@ def j16_multi_route_max(spark, d):
     return J.best_of_variants(table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("similarity"), F.col("o_orderpriority").alias("variant")))
 
 
-@query("WITH r AS (SELECT o_orderkey AS id, o_custkey % 20 AS file, o_orderkey % 40 AS s, o_orderkey % 40 + o_orderkey % 7 AS e FROM orders WHERE o_orderkey % 5 = 0), i AS (SELECT s_suppkey % 20 AS file, s_suppkey % 45 AS page_no, 'h' || (s_suppkey % 30) AS md5 FROM supplier) SELECT r.id, i.md5, min(i.page_no) AS page_no FROM r JOIN i ON r.file = i.file AND i.page_no BETWEEN r.s AND r.e GROUP BY 1, 2")
+@query("WITH r AS (SELECT o_orderkey AS id, o_custkey % 20 AS file, o_orderkey % 40 AS s, o_orderkey % 40 + o_orderkey % 7 AS e FROM orders), i AS (SELECT s_suppkey % 20 AS file, s_suppkey % 45 AS page_no, 'h' || (s_suppkey % 30) AS md5 FROM supplier) SELECT r.id, i.md5, min(i.page_no) AS page_no FROM r JOIN i ON r.file = i.file AND i.page_no BETWEEN r.s AND r.e GROUP BY 1, 2")
 def j17_page_range_join(spark, d):
-    r = table(spark, d, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey as id", "o_custkey % 20 as file", "o_orderkey % 40 as start_page", "o_orderkey % 40 + o_orderkey % 7 as end_page")
+    r = table(spark, d, "orders").selectExpr("o_orderkey as id", "o_custkey % 20 as file", "o_orderkey % 40 as start_page", "o_orderkey % 40 + o_orderkey % 7 as end_page")
     i = table(spark, d, "supplier").selectExpr("s_suppkey % 20 as file", "s_suppkey % 45 as page_no", "concat('h', s_suppkey % 30) as md5")
     return J.page_images(r, i)
 
 
-@query("WITH a AS (SELECT 'i' || (doc_id % 7) AS index_name FROM documents WHERE doc_id % 3 = 0), b AS (SELECT 'i' || (doc_id % 8) AS index_name FROM documents), x AS (SELECT index_name, count(*) AS n FROM a GROUP BY 1), y AS (SELECT index_name, count(*) AS n FROM b GROUP BY 1) SELECT coalesce(x.index_name, y.index_name) AS index_name, coalesce(x.n, 0) AS exported, coalesce(y.n, 0) AS stored, coalesce(y.n, 0) - coalesce(x.n, 0) AS difference FROM x FULL JOIN y ON x.index_name = y.index_name")
+@query("WITH a AS (SELECT 'i' || (doc_id % 7) AS index_name FROM labels), b AS (SELECT 'i' || (doc_id % 8) AS index_name FROM documents), x AS (SELECT index_name, count(*) AS n FROM a GROUP BY 1), y AS (SELECT index_name, count(*) AS n FROM b GROUP BY 1) SELECT coalesce(x.index_name, y.index_name) AS index_name, coalesce(x.n, 0) AS exported, coalesce(y.n, 0) AS stored, coalesce(y.n, 0) - coalesce(x.n, 0) AS difference FROM x FULL JOIN y ON x.index_name = y.index_name")
 def j25_reconcile(spark, d):
     t = table(spark, d, "documents")
-    return J.reconcile(t.where("doc_id % 3 = 0").select(F.expr("concat('i', doc_id % 7)").alias("index_name")), t.select(F.expr("concat('i', doc_id % 8)").alias("index_name")))
+    return J.reconcile(table(spark, d, "labels").select(F.expr("concat('i', doc_id % 7)").alias("index_name")), t.select(F.expr("concat('i', doc_id % 8)").alias("index_name")))
 
 
 @query("SELECT s_suppkey AS key, n_name AS chain FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0 WHERE n_name IS NOT NULL UNION ALL SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 1 JOIN region ON r_regionkey = n_regionkey")
@@ -348,44 +347,43 @@ def v20_scale(spark, d):
 
 
 _VEC = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
-_KNN = f"WITH e AS ({_VEC}), q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 25 = 0), s AS (SELECT qid, id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, q), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s) "
+#: Queries: every id that 20 divides, against all rows.
+_KNN = f"WITH e AS ({_VEC}), q AS (SELECT id AS qid, v AS qv FROM e WHERE id % 20 = 0), s AS (SELECT qid, id, round(list_cosine_similarity(v, qv), 6) AS cosine FROM e, q), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM s) "
 
 
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return e, e.where("id % 25 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-
-
-def _scores(spark, d):
-    e, q = _vectors(spark, d)
-    return e.join(q, F.lit(True)).select("qid", "id", F.round(S.cosine("vec", "qvec"), 6).alias("cosine"))
+    return e, e.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
 
 
 @query(_KNN + "SELECT qid, id, cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
 def v2_knn_topk(spark, d):
-    return V.top(_scores(spark, d), 10, "cosine")
+    return V.knn(*_vectors(spark, d), 10)
 
 
 @query(_KNN + "SELECT qid, id, cosine FROM s WHERE cosine >= 0.25")
 def v5_min_score(spark, d):
-    return _scores(spark, d).where("cosine >= 0.25")
+    return V.cosines(*_vectors(spark, d), least=0.25)
 
 
-@query(_KNN + f""", b AS (SELECT id AS qid, (id * 7 + j) % 500 AS id, 10.0 - j AS score FROM e, (SELECT unnest(range(10)) AS j) WHERE id % 25 = 0), bk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b),
- u AS (SELECT qid, id, score AS bm25, NULL::DOUBLE AS cosine, 0 AS route, rank FROM bk WHERE rank <= 5 UNION ALL SELECT qid, id, NULL, cosine, 1, rank FROM k WHERE rank <= 5)
- SELECT qid, id, max(bm25)::DOUBLE AS bm25, max(cosine) AS cosine, CAST(min(route) AS INTEGER) AS route, CAST(arg_min(rank, route) AS INTEGER) AS rank FROM u GROUP BY 1, 2""")
-def v4_dual_merge(spark, d):
+#: A question is an item of the benchmark; its vector is the one whose id is 20 times its own.
+_BOTH = _BM25 + f", bk AS (SELECT qid, id, round(score, 6) AS score, rank FROM k), e AS ({_VEC}), vs AS (SELECT q.id // 20 AS qid, e.id, round(list_cosine_similarity(e.v, q.v), 6) AS cosine FROM e, e q WHERE q.id % 20 = 0), vk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id) AS rank FROM vs), routes AS (SELECT qid, id, score AS bm25, NULL::DOUBLE AS cosine, 0 AS route, rank FROM bk WHERE rank <= 5 UNION ALL SELECT qid, id, NULL, cosine, 1, rank FROM vk WHERE rank <= 5), dual AS (SELECT qid, id, max(bm25)::DOUBLE AS bm25, max(cosine) AS cosine, CAST(min(route) AS INTEGER) AS route, CAST(arg_min(rank, route) AS INTEGER) AS rank FROM routes GROUP BY 1, 2) "
+
+
+def _dual(spark, d):
     e, q = _vectors(spark, d)
-    b = q.select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).select("qid", F.expr("(qid * 7 + j) % 500").alias("id"), (10.0 - F.col("j")).alias("score"))
-    return V.dual(b, _scores(spark, d), 10)
+    return V.dual(_hits(spark, d), V.knn(e, q.select(F.expr("qid div 20").alias("qid"), "qvec"), 5), 10)
+
 
+@query(_BOTH + "SELECT * FROM dual")
+def v4_dual_merge(spark, d):
+    return _dual(spark, d)
 
-@query(f"WITH e AS (SELECT vec_id AS id, 'qa' AS data_type, 'x' AS platform, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id AND a.data_type = b.data_type AND a.platform = b.platform WHERE list_cosine_similarity(a.v, b.v) > 0.35")
-def v6_duplicate_pairs(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("qa").alias("data_type"), F.lit("x").alias("platform"), F.col("embedding").alias("content_vec"), F.col("embedding").alias("title_vec"))
-    a, b = (e.select(*[F.col(c).alias(f"{p}_{c}") for c in e.columns]) for p in ("a", "b"))
-    j = a.join(b, (F.col("a_data_type") == F.col("b_data_type")) & (F.col("a_platform") == F.col("b_platform")) & (F.col("a_id") < F.col("b_id")))
-    return j.where(S.same_knowledge(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), basic=0.2, strict=0.35)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+@query(f"WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), l AS (SELECT a.id, b.id AS other FROM e a JOIN e b ON a.id <> b.id AND a.label = b.label WHERE round(list_cosine_similarity(a.v, b.v), 6) > 0.25) SELECT e.id, count(l.other) AS n_links, least(e.id, min(l.other)) AS first FROM e LEFT JOIN l ON l.id = e.id GROUP BY e.id")
+def v6_duplicate_links(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("qa").alias("data_type"), F.col("label").cast("string").alias("platform"), F.col("embedding").alias("vec"))
+    return J.duplicate_links(e, basic=0.2, strict=0.25)
 
 
 @query(f"WITH e AS ({_VEC}) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON b.id = a.id + 1")
@@ -395,12 +393,12 @@ def v7_cosine(spark, d):
     return e.join(f, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.cosine("va", "vb"), 6).alias("cosine"))
 
 
-@query(f"WITH e AS ({_VEC}), s AS (SELECT a.id AS qid, b.id AS id, list_cosine_similarity(a.v, b.v) AS t, list_cosine_similarity(a.v, c.v) AS c, b.id % 3 <> 0 AS has FROM e a JOIN e b ON a.id % 50 = 0 AND b.id BETWEEN a.id AND a.id + 40 JOIN e c ON c.id = (b.id + 7) % 500), m AS (SELECT qid, id, round(CASE WHEN has THEN t + 0.2 * c ELSE c END, 6) AS similarity FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM m WHERE similarity > 0.0) SELECT qid, id, similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
+@query(_BOTH + ", m AS (SELECT h.qid, h.id, round(CASE WHEN h.id % 3 <> 0 THEN list_cosine_similarity(q.v, t.v) + 0.2 * coalesce(list_cosine_similarity(q.v, c.v), 0) ELSE coalesce(list_cosine_similarity(q.v, c.v), 0) END, 6) AS similarity FROM dual h JOIN e q ON q.id = 20 * h.qid JOIN e t ON t.id = h.id LEFT JOIN e c ON c.id = h.id + 1), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM m WHERE similarity > 0.0) SELECT qid, id, similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def v8_rerank(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    c = e.select(F.col("id").alias("cid"), F.col("v").alias("cv"))
-    t = q.join(e, F.col("id").between(F.col("qid"), F.col("qid") + 40)).join(c, F.col("cid") == (F.col("id") + 7) % 500)
+    # what both routes found, by its own vector as the title's and the next one as the content's
+    t = _dual(spark, d).select("qid", "id").join(e.select(F.expr("id div 20").alias("qid"), F.col("id").alias("i"), F.col("v").alias("qv")).where("i % 20 = 0"), "qid").join(e, "id")
+    t = t.join(e.select((F.col("id") - 1).alias("id"), F.col("v").alias("cv")), "id", "left")
     t = t.withColumn("similarity", F.round(S.rank_similarity(S.cosine("qv", "v"), S.cosine("qv", "cv"), F.col("id") % 3 != 0), 6))
     return V.rerank(t.select("qid", "id", "similarity"), 0.0, 10)
 
@@ -422,10 +420,10 @@ def v12_bigram_dice(spark, d):
     return p.join(q, "id").select("id", F.round(S.bigram_dice("a", "b"), 6).alias("dice"))
 
 
-@query("WITH q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]+')[1:6]) AS kw FROM benchmark), c AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1)) AS t, lower(split_part(text, chr(10), 1) || ' ' || text) AS h FROM documents), s AS (SELECT qid, id, count(*) + 2 * count(CASE WHEN contains(t, kw) THEN 1 END) AS score FROM c JOIN q ON contains(c.h, q.kw) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8")
+@query("WITH q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_\\-]+')) AS kw FROM benchmark), c AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1)) AS t, lower(split_part(text, chr(10), 1) || ' ' || text) AS h FROM documents), s AS (SELECT qid, id, count(*) + 2 * count(CASE WHEN contains(t, kw) THEN 1 END) AS score FROM c JOIN q ON contains(c.h, q.kw) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8")
 def v18_keyword_recall(spark, d):
     c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "text")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9][a-z0-9_\-]+"), F.lit(0)), 1, 6).alias("keywords"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9][a-z0-9_\-]+"), F.lit(0)).alias("keywords"))
     return V.keyword_recall(c, q, 8)
 
 
@@ -441,13 +439,13 @@ def u2_hybrid_union(spark, d):
 
 # -- maintenance -----------------------------------------------------------
 
-_UPS = "n AS (SELECT id % 400 AS id, max(id) AS by FROM kb WHERE id % 2 = 0 GROUP BY 1)"
+_UPS = "n AS (SELECT id // 2 AS id, max(id) AS by FROM kb GROUP BY 1)"
 
 
 @query(_W + f", {_UPS} SELECT id, platform, 'old' AS state FROM kb WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT n.id, k.platform, 'new' FROM n JOIN kb k ON k.id = n.by")
 def k1_upsert_latest(spark, d):
     t = knowledge(spark, d).select("id", "platform").withColumn("state", F.lit("old"))
-    new = t.where("id % 2 = 0").select((F.col("id") % 400).alias("id"), "platform", F.lit("new").alias("state"), F.col("id").alias("seq"))
+    new = t.select(F.expr("id div 2").alias("id"), "platform", F.lit("new").alias("state"), F.col("id").alias("seq"))
     return M.upsert(t, new, "id", "seq")
 
 
@@ -463,10 +461,11 @@ def k5_update_count(spark, d):
     return M.conditional_update(t, {"audit_result": 2}, P.update_filter(t, [{"platform": "src1"}, {"quality_level": ["mid", "low"]}]))[1]
 
 
-@query(_W + ", s AS (SELECT id, audit_result, id % 5 AS revision FROM kb), u AS (SELECT id, (id % 3) AS expected, 9 AS audit_result FROM kb WHERE id % 2 = 0) SELECT s.id, CAST(CASE WHEN s.revision = u.expected THEN 9 ELSE s.audit_result END AS INTEGER) AS audit_result, CASE WHEN s.revision = u.expected THEN s.revision + 1 ELSE s.revision END AS revision, u.id IS NOT NULL AND s.revision <> u.expected AS conflict FROM s LEFT JOIN u ON s.id = u.id")
+@query(_W + ", s AS (SELECT id, audit_result, id % 5 AS revision FROM kb), u AS (SELECT id, (id % 3) AS expected, 9 AS audit_result FROM kb WHERE data_type = 'qa') SELECT s.id, CAST(CASE WHEN s.revision = u.expected THEN 9 ELSE s.audit_result END AS INTEGER) AS audit_result, CASE WHEN s.revision = u.expected THEN s.revision + 1 ELSE s.revision END AS revision, u.id IS NOT NULL AND s.revision <> u.expected AS conflict FROM s LEFT JOIN u ON s.id = u.id")
 def k7_compare_and_set(spark, d):
-    s = knowledge(spark, d).select("id", "audit_result", (F.col("id") % 5).alias("revision"))
-    u = s.where("id % 2 = 0").select("id", (F.col("id") % 3).alias("expected"), F.lit(9).alias("audit_result"))
+    t = knowledge(spark, d)
+    s = t.select("id", "audit_result", (F.col("id") % 5).alias("revision"))
+    u = t.where("data_type = 'qa'").select("id", (F.col("id") % 3).alias("expected"), F.lit(9).alias("audit_result"))
     return M.compare_and_set(s, u)
 
 
@@ -491,10 +490,10 @@ def k12_soft_delete(spark, d):
     return M.soft_delete(t, P.file_filter(names))[0].select("id", "del_flag")
 
 
-@query(_W + ", p AS (SELECT k.id, CASE WHEN k.del_flag <> 0 THEN 'x' WHEN k.insert_time >= '2024-01-01 10:00:00' THEN 'x' ELSE 'delete' END AS action FROM kb k WHERE k.id % 2 = 0) SELECT k.id, CASE WHEN p.action = 'delete' THEN 1 ELSE k.del_flag END AS del_flag, CASE WHEN p.action = 'delete' THEN 'retired' ELSE 'live' END AS flag FROM kb k LEFT JOIN p ON k.id = p.id")
+@query(_W + ", p AS (SELECT k.id, CASE WHEN k.del_flag <> 0 THEN 'x' WHEN k.insert_time >= '2024-01-01 10:00:00' THEN 'x' ELSE 'delete' END AS action FROM kb k WHERE k.quality_level = 'low') SELECT k.id, CASE WHEN p.action = 'delete' THEN 1 ELSE k.del_flag END AS del_flag, CASE WHEN p.action = 'delete' THEN 'retired' ELSE 'live' END AS flag FROM kb k LEFT JOIN p ON k.id = p.id")
 def k14_retire(spark, d):
     t = knowledge(spark, d).withColumn("flag", F.lit("live"))
-    plan = J.retire_plan(t.where("id % 2 = 0").select("id"), t, "2024-01-01 10:00:00")
+    plan = J.retire_plan(t.where("quality_level = 'low'").select("id"), t, "2024-01-01 10:00:00")
     return M.apply_retire(t, plan, "retired").select("id", "del_flag", "flag")
 
 
@@ -514,10 +513,10 @@ def k18_copy_drop(spark, d):
     return M.drop_matching(table(spark, d, "embeddings"))
 
 
-@query(_W + "SELECT id, CASE WHEN id % 10 = 0 THEN 'fixed' ELSE quality_level END AS quality_level FROM kb")
+@query(_W + "SELECT id, CASE WHEN quality_level = 'low' THEN 'fixed' ELSE quality_level END AS quality_level FROM kb")
 def k9_join_update(spark, d):
     t = knowledge(spark, d).select("id", "quality_level")
-    return M.join_update(t, t.where("id % 10 = 0").select("id", F.lit("fixed").alias("quality_level")))
+    return M.join_update(t, t.where("quality_level = 'low'").select("id", F.lit("fixed").alias("quality_level")))
 
 
 @query(_W + "SELECT id FROM kb WHERE id > 500 ORDER BY id LIMIT 50")

@@ -129,37 +129,53 @@ def u5_merge_fuller(spark, d):
     return K.fuller(t, "key", "body", "top")
 
 
-@query(None)
+_CHARS = "list_distinct(list_filter(string_split({}, ''), lambda c: c <> ''))"
+_JACCARD = "(len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))))"
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT p_partkey AS id, p_brand AS platform, {_CHARS.format('p_name')} AS qs, {_CHARS.format("p_type || ' ' || p_name")} AS xs, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_type || ' ' || p_name) DESC, p_partkey) AS rn FROM part),
+ r AS (SELECT platform, rn, id, true AS keep, [{{'q': qs, 'x': xs}}] AS ls FROM o WHERE rn = 1 UNION ALL SELECT platform, rn, id, keep, CASE WHEN keep THEN list_append(ls, {{'q': qs, 'x': xs}}) ELSE ls END FROM (SELECT o.*, r.ls, len(list_filter(r.ls, lambda k: {_JACCARD.format('k.q', 'o.qs')} > 0.9 OR {_JACCARD.format('k.x', 'o.xs')} > 0.8)) = 0 AS keep FROM r JOIN o ON o.platform = r.platform AND o.rn = r.rn + 1)) SELECT id, platform FROM r WHERE keep""")
 def v9_qa_dedup(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("platform"), F.col("p_name").alias("q"), F.concat("p_type", F.lit(" "), "p_name").alias("a"))
     return K.qa_dedup(t).select("id", "platform")
 
 
-@query(None)
+_OVER = "CASE WHEN contains({0}, {1}) OR contains({1}, {0}) THEN 1.0 ELSE len(list_intersect({2}, {3}))::DOUBLE / least(len({2}), len({3})) END"
+_QKEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_brand AS grp, p_name AS raw, {_QKEY.format('p_name')} AS q, {_QKEY.format("p_type || ' ' || p_name")} AS x FROM part), o AS (SELECT *, {_CHARS.format('q')} AS qc, {_CHARS.format('x')} AS xc, row_number() OVER (PARTITION BY grp ORDER BY id) AS rn FROM p),
+ r AS (SELECT grp, rn, [{{'id': id, 'raw': raw, 'q': q, 'x': x, 'qc': qc, 'xc': xc}}] AS ls FROM o WHERE rn = 1 UNION ALL
+ SELECT grp, rn, CASE WHEN hit IS NULL THEN list_append(ls, me) WHEN tt >= 0.95 AND length(me.raw) < length(ls[hit].raw) THEN list_transform(ls, lambda k, i: CASE WHEN i = hit THEN me ELSE k END) ELSE ls END FROM (SELECT *, {_OVER.format('ls[hit].x', 'me.x', 'ls[hit].xc', 'me.xc')} AS tt FROM (SELECT *, list_position(list_transform(ls, lambda k: ({_OVER.format('k.q', 'me.q', 'k.qc', 'me.qc')}) >= 0.86 OR (({_OVER.format('k.x', 'me.x', 'k.xc', 'me.xc')}) >= 0.95 AND ({_OVER.format('k.q', 'me.q', 'k.qc', 'me.qc')}) >= 0.55)), true) AS hit FROM (SELECT o.grp, o.rn, r.ls, {{'id': o.id, 'raw': o.raw, 'q': o.q, 'x': o.x, 'qc': o.qc, 'xc': o.xc}} AS me FROM r JOIN o ON o.grp = r.grp AND o.rn = r.rn + 1))))
+ SELECT unnest(list_transform(ls, lambda k: k.id)) AS id, grp FROM (SELECT grp, arg_max(ls, rn) AS ls FROM r GROUP BY 1)""")
 def v13_chat_dedup(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.col("p_name").alias("q"), F.concat("p_type", F.lit(" "), "p_name").alias("a"))
     return K.chat_dedup(t, "grp").select("id", "grp")
 
 
-@query(None)
+_LEADERS = "e AS (SELECT vec_id AS id, label AS client, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), r AS (SELECT client, rn, id, id AS leader, [{'k': id, 'v': v}] AS ls FROM e WHERE rn = 1 UNION ALL SELECT client, rn, id, CASE WHEN best > 0.3 THEN ls[list_position(sims, best)].k ELSE id END, CASE WHEN best > 0.3 THEN ls ELSE list_append(ls, {'k': id, 'v': v}) END FROM (SELECT *, list_max(sims) AS best FROM (SELECT e.*, r.ls, list_transform(r.ls, lambda x: list_cosine_similarity(x.v, e.v)) AS sims FROM r JOIN e ON e.client = r.client AND e.rn = r.rn + 1)))"
+
+
+@query(f"WITH RECURSIVE {_LEADERS} SELECT id, leader FROM r")
 def v14_leader_cluster(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("client"), F.col("embedding").alias("vec"))
     return K.leaders(e, "client", "id", "vec", 0.3).select("id", "leader")
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_LEADERS}, h AS (SELECT e.id, e.v, row_number() OVER (ORDER BY e.id) AS rn FROM e JOIN r ON r.id = e.id WHERE r.leader = r.id), t AS (SELECT rn, id, id AS top, [{{'k': id, 'v': v}}] AS ls FROM h WHERE rn = 1 UNION ALL SELECT rn, id, CASE WHEN best > 0.3 THEN ls[list_position(sims, best)].k ELSE id END, CASE WHEN best > 0.3 THEN ls ELSE list_append(ls, {{'k': id, 'v': v}}) END FROM (SELECT *, list_max(sims) AS best FROM (SELECT h.*, t.ls, list_transform(t.ls, lambda x: list_cosine_similarity(x.v, h.v)) AS sims FROM t JOIN h ON h.rn = t.rn + 1))) SELECT r.id, r.leader, t.top AS top_leader FROM r JOIN t ON t.id = r.leader")
 def v15_two_level(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("user"), F.col("embedding").alias("vec"))
     return K.two_level_leaders(e, "user", "id", "vec", 0.3)
 
 
-@query(None)
+@query("WITH RECURSIVE o AS (SELECT p_partkey AS id, p_brand AS grp, lower(trim(p_name)) AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part), r AS (SELECT grp, rn, id, CAST(0 AS BIGINT) AS cluster, [w] AS ls FROM o WHERE rn = 1 UNION ALL SELECT grp, rn, id, CASE WHEN hit IS NULL THEN len(ls) ELSE hit - 1 END, CASE WHEN hit IS NULL THEN list_append(ls, w) ELSE ls END FROM (SELECT o.*, r.ls, list_position(list_transform(r.ls, lambda c: c <> '' AND o.w <> '' AND levenshtein(c, o.w) <= greatest(2, CAST(floor(least(length(c), length(o.w)) * 0.3) AS BIGINT))), true) AS hit FROM r JOIN o ON o.grp = r.grp AND o.rn = r.rn + 1)) SELECT id, cluster FROM r")
 def v17_edit_cluster(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.col("p_name").alias("word"))
     return K.edit_clusters(t, "grp", "id", "word").select("id", "cluster")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE o AS (SELECT p_partkey AS id, p_brand AS platform, CASE WHEN p_size < 5 THEN 'g' || p_size END AS g, {_CHARS.format('p_name')} AS qs, {_CHARS.format('p_type')} AS xs, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
+ r AS (SELECT platform, rn, id, CAST(0 AS BIGINT) AS regroup, CAST(1 AS BIGINT) AS n, [{{'g': g, 'q': qs, 'x': xs, 'o': CAST(0 AS BIGINT)}}] AS ls FROM o WHERE rn = 1 UNION ALL SELECT platform, rn, id, got, n + CASE WHEN hit IS NULL THEN 1 ELSE 0 END, list_append(ls, {{'g': g, 'q': qs, 'x': xs, 'o': got}}) FROM (SELECT *, CASE WHEN hit IS NULL THEN n ELSE ls[hit].o END AS got FROM (SELECT o.*, r.ls, r.n, list_position(list_transform(r.ls, lambda k: coalesce(k.g = o.g, false) OR {_JACCARD.format('k.q', 'o.qs')} > 0.9 OR {_JACCARD.format('k.x', 'o.xs')} > 0.8), true) AS hit FROM r JOIN o ON o.platform = r.platform AND o.rn = r.rn + 1))) SELECT id, regroup FROM r""")
 def w18_regroup(spark, d):
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("platform"), F.expr("if(p_size < 5, concat('g', p_size), null)").alias("group"), F.col("p_name").alias("q"), F.col("p_type").alias("a"))
     return K.regroup(t).select("id", "regroup")
@@ -178,15 +194,15 @@ def h31_tree_paths(spark, d):
     return T.paths(_tree(spark, d)).select("id", "name", "level", "path")
 
 
-@query("WITH RECURSIVE l AS (SELECT c_custkey AS src, c_custkey + 7 AS dst FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey < 300), r AS (SELECT src, dst, 1 AS hops FROM l UNION ALL SELECT r.src, l.dst, r.hops + 1 FROM r JOIN l ON r.dst = l.src) SELECT src, arg_max(dst, hops) AS final, max(hops) AS hops FROM r GROUP BY 1")
+@query("WITH RECURSIVE l AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey <> c_custkey // 2), r AS (SELECT src, dst, 1 AS hops FROM l UNION ALL SELECT r.src, l.dst, r.hops + 1 FROM r JOIN l ON r.dst = l.src) SELECT src, arg_max(dst, hops) AS final, max(hops) AS hops FROM r GROUP BY 1")
 def h38_closure(spark, d):
-    t = table(spark, d, "customer").where("c_custkey % 3 <> 0 and c_custkey < 300").select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 7).alias("dst"))
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 2").alias("dst")).where("src <> dst")
     return T.follow(t)
 
 
-@query("WITH p AS (SELECT p_brand AS site, CASE WHEN p_size < 10 THEN 'a' ELSE 'b' END AS platform, 'http://x/' || p_partkey AS url FROM part WHERE p_partkey < 120) SELECT platform, url, CASE WHEN count(*) OVER (PARTITION BY platform, site) > 1 THEN site || '_' || left(md5(url), 8) ELSE site END AS site FROM p")
+@query("WITH p AS (SELECT p_brand AS site, CASE WHEN p_size < 10 THEN 'a' ELSE 'b' END AS platform, 'http://x/' || p_partkey AS url FROM part) SELECT platform, url, CASE WHEN count(*) OVER (PARTITION BY platform, site) > 1 THEN site || '_' || left(md5(url), 8) ELSE site END AS site FROM p")
 def x93_disambiguate(spark, d):
-    t = table(spark, d, "part").where("p_partkey < 120").select(F.col("p_brand").alias("site"), F.expr("if(p_size < 10, 'a', 'b')").alias("platform"), F.expr("concat('http://x/', p_partkey)").alias("url"))
+    t = table(spark, d, "part").select(F.col("p_brand").alias("site"), F.expr("if(p_size < 10, 'a', 'b')").alias("platform"), F.expr("concat('http://x/', p_partkey)").alias("url"))
     return T.disambiguate(t)
 
 
@@ -222,18 +238,18 @@ def q23_refs(spark, d):
     return O.validate(O.parse(t))
 
 
-@query("WITH m AS (SELECT user_id % 50 AS user_id, max(ts) AS mark FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT e.event_id FROM events e LEFT JOIN m ON e.user_id = m.user_id WHERE m.mark IS NULL OR e.ts > m.mark")
+@query("WITH m AS (SELECT user_id % 50 AS user_id, max(ts) AS mark FROM events WHERE event_type = 'view' GROUP BY 1) SELECT e.event_id FROM events e LEFT JOIN m ON e.user_id = m.user_id WHERE m.mark IS NULL OR e.ts > m.mark")
 def r1_incremental(spark, d):
     e = table(spark, d, "events")
-    marks = e.where("event_id % 2 = 0").groupBy(F.expr("user_id % 50").alias("user_id")).agg(F.max("ts").alias("mark"))
+    marks = e.where("event_type = 'view'").groupBy(F.expr("user_id % 50").alias("user_id")).agg(F.max("ts").alias("mark"))
     return R.after_marks(e, marks, ["user_id"], "ts").select("event_id")
 
 
-@query("WITH m AS (SELECT user_id, max(ts) AS mark FROM events WHERE event_id % 2 = 0 GROUP BY 1), n AS (SELECT user_id, max(ts) AS mark FROM events WHERE user_id % 3 <> 0 GROUP BY 1) SELECT user_id, max(mark) AS mark FROM (SELECT * FROM m UNION ALL SELECT * FROM n) GROUP BY 1")
+@query("WITH m AS (SELECT user_id, max(ts) AS mark FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id, max(ts) AS mark FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type <> 'error') GROUP BY 1) SELECT user_id, max(mark) AS mark FROM (SELECT * FROM m UNION ALL SELECT * FROM n) GROUP BY 1")
 def r2_next_marks(spark, d):
     e = table(spark, d, "events")
-    marks = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("mark"))
-    return R.next_marks(marks, e, ["user_id"], "ts", e.where("user_id % 3 <> 0"))
+    marks = e.where("event_type = 'view'").groupBy("user_id").agg(F.max("ts").alias("mark"))
+    return R.next_marks(marks, e, ["user_id"], "ts", e.where("event_type <> 'error'"))
 
 
 @query("SELECT user_id AS app_id, arg_max(value, event_id) AS run_time FROM events GROUP BY 1")
