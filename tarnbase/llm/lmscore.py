@@ -167,14 +167,17 @@ def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=-1, keepdims=True))
-    return p / p.sum(axis=-1, keepdims=True)
+    """In place."""
+    z -= z.max(axis=-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=-1, keepdims=True)
+    return z
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Rows whose class has groups; their class and their place among the rows of that class, and the most rows of one."""
     rows = np.flatnonzero((cls >= OWN) & (cls < OWN + SHARED))
-    rows = rows[np.argsort(cls[rows], kind="stable")]
+    rows = rows[np.argsort(cls[rows].astype(np.uint8), kind="stable")]
     s = cls[rows] - OWN
     n = np.bincount(s, minlength=SHARED)
     return rows, s, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n), int(n.max(initial=0))
@@ -225,10 +228,11 @@ def sgd(w: Weights, past: Weights, ctx: np.ndarray, leaf: np.ndarray, rate: floa
     if most:
         each = np.zeros((SHARED, most, HIDDEN), np.float32)
         each[s, k] = h[rows]
-        q = np.zeros((SHARED, most, GROUPS), np.float32)
-        q[s, k] = _softmax(np.matmul(each, w[4]) + w[5][:, None])[s, k]
-        q[s, k, GROUP_OF[leaf[rows]]] -= 1
-        q /= n
+        real = np.zeros((SHARED, most, 1), np.float32)
+        real[s, k] = 1 / n
+        q = _softmax(np.matmul(each, w[4]) + w[5][:, None])
+        q *= real
+        q[s, k, GROUP_OF[leaf[rows]]] -= 1 / n
         back[rows] += np.matmul(q, w[4].transpose(0, 2, 1))[s, k]
         steps += [(w[4], past[4], np.matmul(each.transpose(0, 2, 1), q)), (w[5], past[5], q.sum(axis=1))]
     back *= 1 - h * h
@@ -237,7 +241,7 @@ def sgd(w: Weights, past: Weights, ctx: np.ndarray, leaf: np.ndarray, rate: floa
         sq += g * g
         a -= rate * g / np.sqrt(sq + 1e-8)
     for i in range(2 * SIDE):
-        order = np.argsort(ctx[:, i], kind="stable")
+        order = np.argsort(ctx[:, i].astype(np.uint16), kind="stable")
         seen = ctx[order, i]
         first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
         g, at = np.add.reduceat(back[order], first, axis=0), seen[first]

@@ -5,7 +5,8 @@ Pieces are dealt into groups of bounded size by a hash. Inside a group they
 are placed best-fit, largest first; then a local search empties bins: from
 the emptiest bin on, pieces move into others, are exchanged one for one, two
 for one or one for two, by whatever raises the sum of squared fills most, until
-no exchange between any two underfull bins does. The pieces of bins that stay
+no exchange between any two underfull bins does, or there are as few bins as
+the sizes allow, so that none can be emptied. The pieces of bins that stay
 underfull are dealt again into fewer groups and packed as a second round, so
 the loss does not grow with the number of groups.
 """
@@ -29,7 +30,7 @@ from tarnbase.llm.common import small_batches, stage
 
 CAPACITY = 4096
 #: Pieces of a group, about.
-GROUP = 4000
+GROUP = 1000
 #: Parts of words a worker remembers the ids of.
 REMEMBER = 700_000
 _CODEC: dict = {}
@@ -139,25 +140,30 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def improve(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int) -> None:
-    """Exchange pieces between underfull bins, in place, until none raises the sum of squared fills; emptiest bins first."""
-    change, seen = 1, np.zeros(len(fill), np.int64)  # when each bin was last found to have no exchange
-    while True:
+    """Exchange pieces between underfull bins, in place, until none raises the sum of squared fills or no bin can be emptied; emptiest bins first."""
+    # when each bin was changed, and when it was last found to have no exchange: since then only with changed bins can it have one
+    now, changed, seen = 1, np.ones(len(fill), np.int64), np.zeros(len(fill), np.int64)
+    pairs: dict[int, np.ndarray] = {}  # pairs of pieces of a bin, as long as it does not change
+    # no two pieces of more than half a bin share one
+    fewest = max(-(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+    while np.count_nonzero(fill) > fewest:
         under = np.flatnonzero((fill > 0) & (fill < capacity))
-        under = under[np.lexsort((under, fill[under]))]
-        todo = [a for a in under.tolist() if seen[a] < change]
-        if not todo:
+        for a in under[np.lexsort((under, fill[under]))].tolist():
+            others = under[(under != a) & ((changed[under] > seen[a]) | (changed[a] > seen[a]))]
+            act = _exchange(sizes, where, fill, capacity, a, others, pairs) if len(others) else None
+            seen[a] = now
+            if act is not None:
+                break
+        else:
             return
-        a = todo[0]
-        act = _exchange(sizes, where, fill, capacity, a)
-        if act is None:
-            seen[a] = change
-            continue
         b, out, back = act
         where[out], where[back] = b, a
         d = int(sizes[out].sum() - sizes[back].sum())
         fill[a] -= d
         fill[b] += d
-        change += 1
+        now += 1
+        changed[a] = changed[b] = now
+        pairs.pop(a, None), pairs.pop(b, None)
 
 
 def _kinds(sizes: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
@@ -168,13 +174,9 @@ def _kinds(sizes: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     return rows[np.arange(len(rows)) - first < most]
 
 
-def _exchange(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int, a: int) -> tuple[int, list[int], list[int]] | None:
-    """The bin, the pieces that a gives it and those it gives back: the move that raises the squared fills most; without moves the best exchange of one for one; then two for one; then one for two."""
+def _exchange(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity: int, a: int, others: np.ndarray, pairs: dict[int, np.ndarray]) -> tuple[int, list[int], list[int]] | None:
+    """One of the other bins, the pieces that a gives it and those it gives back: the move that raises the squared fills most; without moves the best exchange of one for one; then two for one; then one for two."""
     mine = _kinds(sizes, np.flatnonzero(where == a), 2)
-    others = np.flatnonzero((fill > 0) & (fill < capacity))
-    others = others[others != a]
-    if not len(others) or not len(mine):
-        return None
 
     def best(give: np.ndarray, take: np.ndarray, bins: np.ndarray) -> tuple[int, int] | None:
         """Places of the sums to give and to take, for which a's loss is another bin's gain."""
@@ -191,18 +193,20 @@ def _exchange(sizes: np.ndarray, where: np.ndarray, fill: np.ndarray, capacity:
     one = mine[np.r_[True, sizes[mine][1:] != sizes[mine][:-1]]]
     if hit := best(sizes[one], np.zeros(len(others), np.int64), others):
         return int(others[hit[1]]), [int(one[hit[0]])], []
-    theirs = np.flatnonzero((fill[where] < capacity) & (where != a))
+    among = np.zeros(len(fill), bool)
+    among[others] = True
+    theirs = np.flatnonzero(among[where])
     if hit := best(sizes[one], sizes[theirs], where[theirs]):
         return int(where[theirs[hit[1]]]), [int(one[hit[0]])], [int(theirs[hit[1]])]
     x, y = np.triu_indices(len(mine), 1)
     if len(x) and (hit := best(sizes[mine[x]] + sizes[mine[y]], sizes[theirs], where[theirs])):
         return int(where[theirs[hit[1]]]), [int(mine[x[hit[0]]]), int(mine[y[hit[0]]])], [int(theirs[hit[1]])]
-    pairs = []
-    for rows in np.split(theirs[np.argsort(where[theirs], kind="stable")], np.flatnonzero(np.diff(np.sort(where[theirs]))) + 1):
-        rows = _kinds(sizes, rows, 2)
-        x, y = np.triu_indices(len(rows), 1)
-        pairs.append(np.stack([rows[x], rows[y]]))
-    p = np.concatenate(pairs, axis=1)
+    for o in others.tolist():
+        if o not in pairs:
+            rows = _kinds(sizes, np.flatnonzero(where == o), 2)
+            x, y = np.triu_indices(len(rows), 1)
+            pairs[o] = np.stack([rows[x], rows[y]])
+    p = np.concatenate([pairs[o] for o in others.tolist()], axis=1)
     p = p[:, sizes[p].sum(axis=0) < sizes[one].max()]
     if p.shape[1] and (hit := best(sizes[one], sizes[p].sum(axis=0), where[p[0]])):
         return int(where[p[0, hit[1]]]), [int(one[hit[0]])], p[:, hit[1]].tolist()

@@ -331,7 +331,8 @@ def test_local_search_rests_only_where_no_exchange_helps(low, high, n):
     fill = np.bincount(b, weights=sizes).astype(int)
     assert fill.max() <= 1000 and len(fill) >= -(-sizes.sum() // 1000)
     bins = [sizes[b == k].tolist() for k in range(len(fill))]
-    under = [k for k in range(len(fill)) if fill[k] < 1000]
+    fewest = max(-(-sizes.sum() // 1000), (2 * sizes > 1000).sum())
+    under = [k for k in range(len(fill)) if fill[k] < 1000] if len(fill) > fewest else []  # else none can be emptied
     for x in under:
         for y in under:
             if x == y:
