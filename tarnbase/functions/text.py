@@ -194,11 +194,12 @@ def replace_urls(x: Column | str, by: str = "") -> Column:
 
 
 def mask_identifiers(x: Column | str) -> Column:
-    """Links, e-mail, phone numbers, user, business and numeric ids masked; the order of the steps matters."""
+    """Links, e-mail, phone numbers, user, business and numeric ids masked; the order of the steps matters. Patterns and labels are fixed values."""
     t = replace_urls(F.trim(text(x)), "[链接]")
     w, edge, end = r"[\p{L}\p{N}_]", r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     steps = [
-        (rf"[{w[1:-1]}.+-]+@[{w[1:-1]}-]+(?:\.[{w[1:-1]}-]+)+", "[邮箱]"),
+        # possessive, and only from where a run of its characters begins: long runs are read once
+        (rf"(?:(?<![{w[1:-1]}.+-])|\G)[{w[1:-1]}.+-]++@[{w[1:-1]}-]++(?:\.[{w[1:-1]}-]++)++", "[邮箱]"),
         (rf"{edge}1[3-9][0-9]{{9}}{end}", "[手机号]"),
         (rf"(?i){edge}(?:wxid|ww|corp)[_-]?[A-Za-z0-9_-]{{5,}}{end}", "[用户ID]"),
         (rf"(?i){edge}gh[_-][A-Za-z0-9_-]{{5,}}{end}", "[用户ID]"),

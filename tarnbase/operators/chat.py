@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbase.functions import text as X
-from tarnbase.operators import quality as Q
+from tarnbase.operators import noise as N
 from tarnbase.operators import windows as W
 
 #: Fixed schema of a message, with its historical spelling of the content's key.
@@ -34,7 +34,7 @@ def read_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return t.select("send_name", "message_time", "m.*").withColumn("content", F.coalesce("content", "conent")).drop("conent")
 
 
-def rooms(messages: DataFrame, marks: DataFrame | None = None, order: str = "msg_id", rules: Q.NoiseRules = Q.NoiseRules(), seconds: int = 120) -> DataFrame:
+def rooms(messages: DataFrame, marks: DataFrame | None = None, order: str = "msg_id", rules: N.NoiseRules = N.NoiseRules(), seconds: int = 120) -> DataFrame:
     """Messages cleaned, classified, rid of noise and repeats, and grouped by room in order of time; what a room's mark already covers is skipped."""
     t = messages.withColumn("content", X.sanitise_chat("content")).withColumn("speaker", speaker(F.col("send_name")))
     if marks is not None:
@@ -42,7 +42,7 @@ def rooms(messages: DataFrame, marks: DataFrame | None = None, order: str = "msg
     image = X.kind_is("ctype", X.IMAGE_KINDS)
     mixed = X.kind_is("ctype", X.MIXED_KINDS)
     t = t.withColumn("kind", F.when(image, "image").when(mixed, "mixed").when(X.kind_is("ctype", X.TEXT_KINDS), "text").otherwise("other")).where("kind <> 'other'")
-    t = t.where((F.col("kind") == "image") | ~Q.is_noise("content", rules, clean=True) | ((F.col("kind") == "mixed") & Q.keep_image_of_noise("content", rules, clean=True)))
+    t = t.where((F.col("kind") == "image") | ~N.is_noise("content", rules, clean=True) | ((F.col("kind") == "mixed") & N.keep_image_of_noise("content", rules, clean=True)))
     t = t.withColumn("epoch", X.message_epoch("message_time"))
     return W.suppress_repeats(t, ["group_name", "speaker", "content"], "epoch", order, seconds)
 

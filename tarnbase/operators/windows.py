@@ -40,20 +40,32 @@ def turn_summary(df: DataFrame, group: str, order: str, text: str, speaker: str)
 
 
 def suppress_repeats(df: DataFrame, keys: Sequence[str], epoch: str, order: str, seconds: int = 120) -> DataFrame:
-    """Drop a message that repeats one of the same keys within `seconds` of the last one *kept*. A message whose time can't be read goes if the keys were seen. A chain can only be followed in order, so each key's times are folded in place; other columns never leave the JVM."""
-    item = F.struct(F.col(order).alias("o"), F.col(epoch).cast("double").alias("e"))
+    """Drop a message that repeats one of the same keys within `seconds` of the last one *kept*. A message whose time can't be read goes if the keys were seen.
+
+    Whether a message is kept depends on those before it only if one of them
+    is within `seconds`; so a message later than all before it by more begins
+    a burst of its own, and only the times of a burst are folded in order. In
+    a burst only messages that others are near to need the fold at all.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.max(epoch).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = df.withColumn("__n", F.row_number().over(w)).withColumn("__fresh", F.col(epoch).isNotNull() & (before.isNull() | (F.col(epoch) > before + seconds)))
+    t = t.withColumn("__burst", F.sum(F.col("__fresh").cast("long")).over(w))
+    item = F.struct(F.col("__n").alias("n"), F.col(epoch).cast("double").alias("e"))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<int>").alias("keep"))
     kept = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(F.lit(None).cast("double").alias("last"), F.lit(False).alias("seen"), F.array().cast(f"array<{df.schema[order].dataType.simpleString()}>").alias("keep")),
-        lambda a, x: F.when(
-            x["e"].isNull(), F.struct(a["last"].alias("last"), F.lit(True).alias("seen"), F.when(a["seen"], a["keep"]).otherwise(F.concat(a["keep"], F.array(x["o"]))).alias("keep"))
-        )
-        .when(a["last"].isNotNull() & (x["e"] - a["last"] <= seconds) & (x["e"] >= a["last"]), a)
-        .otherwise(F.struct(x["e"].alias("last"), F.lit(True).alias("seen"), F.concat(a["keep"], F.array(x["o"])).alias("keep"))),
+        F.array_sort(F.collect_list(F.when(F.col(epoch).isNotNull(), item))),
+        start,
+        lambda a, x: F.when((x["e"] >= a["last"]) & (x["e"] - a["last"] <= seconds), a).otherwise(F.struct(x["e"].alias("last"), F.concat(a["keep"], F.array(x["n"])).alias("keep"))),
         lambda a: a["keep"],
     )
-    good = df.groupBy(*keys).agg(kept.alias("__keep")).select(F.explode("__keep").alias(order))
-    return df.join(good, order, "left_semi")
+    bursts = t.groupBy(*keys, "__burst").agg(kept.alias("__keep")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.explode("__keep").alias("__m"))
+    same = F.col("__n") == F.col("__m")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    # the first of its keys stays even if its time can't be read
+    read = t.where(F.col(epoch).isNotNull()).join(bursts, same, "left_semi")
+    return read.unionByName(t.where(F.col(epoch).isNull() & (F.col("__n") == 1))).drop("__n", "__fresh", "__burst")
 
 
 def context_before(df: DataFrame, group: str, order: Sequence[str], text: str, n: int = 50, name: str = "context") -> DataFrame:

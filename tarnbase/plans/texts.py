@@ -198,11 +198,6 @@ def q5_level(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), Q.level_of_tags(tags.cast("array<string>"), ("可用",)).alias("level"))
 
 
-@query(None)
-def q6_noise(spark, d):
-    return Q.mark_noise(table(spark, d, "conversations"), "text").select("conv_id", "turn", "noise")
-
-
 _WEAK = ", ".join(f"'{w}'" for w in Q.WEAK_ANSWERS)
 
 

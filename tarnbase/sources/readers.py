@@ -111,7 +111,7 @@ def qa_rows(cells: DataFrame, headers: dict[str, Sequence[str]] = HEADERS) -> Da
 
 
 def binary_documents(spark: SparkSession, path: str, parse, schema: str, suffix: str = "*") -> DataFrame:
-    """Files of any kind through an injected parser: a function from (name, bytes) to rows of the schema; files it fails on give an empty result, not an error."""
+    """Files of any kind through an injected parser: a function from (name, bytes) to rows of the schema. Adds `error`: a file that the parser fails on is one row, with nulls and what went wrong; of a file without rows there is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
     names = [f.name for f in T._parse_datatype_string(schema)]
 
@@ -119,12 +119,12 @@ def binary_documents(spark: SparkSession, path: str, parse, schema: str, suffix:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows = list(parse(name, content))
-                except Exception:  # a parser may fail on any file; it is reported as having no rows
-                    rows = []
-                yield pd.DataFrame(rows, columns=names)
+                    rows, error = list(parse(name, content)), None
+                except Exception as e:  # a parser may fail on any file, and must not end the others
+                    rows, error = [[None] * len(names)], f"{name}: {type(e).__name__}: {e}"
+                yield pd.DataFrame(rows, columns=names).assign(error=error)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, f"{schema}, error string")
 
 
 def crawled(texts: DataFrame, manifest: DataFrame, least: int = 400, timely: Column | None = None) -> DataFrame:

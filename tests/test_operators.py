@@ -8,6 +8,7 @@ from tarnbase.operators import joins as J
 from tarnbase.operators import maintain as M
 from tarnbase.operators import ontology as O
 from tarnbase.operators import predicates as P
+from tarnbase.operators import noise as N
 from tarnbase.operators import quality as Q
 from tarnbase.operators import search as V
 from tarnbase.operators import segment as G
@@ -125,7 +126,7 @@ def test_repair(spark):
 
 @pytest.mark.parametrize("line, want", [("好的", True), ("扫码马上报名", True), ("扫码报名吗?", False), ("https://a.b 教程", True), ("店铺怎么绑定收款账号", False), ("", True), ("http://a/b.png", False), ("@bob hi", True)])
 def test_noise(spark, line, want):
-    assert Q.mark_noise(spark.createDataFrame([(line,)], "x string"), "x").first()["noise"] is want
+    assert N.mark_noise(spark.createDataFrame([(line,)], "x string"), "x").first()["noise"] is want
 
 
 def test_review_fails_closed(spark):

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from tarnbase.plans import functions, records, registry, retrieval, rows, sequences, texts  # noqa: F401
+from tarnbase.plans import corrections, functions, records, registry, retrieval, rows, sequences, texts  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
