@@ -150,8 +150,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plain = lambda c: F.to_json(F.struct(c)) if docs.schema[c].dataType.typeName() in ("array", "map", "struct", "variant") else F.col(f"`{c}`")
     whole = docs.select(nested(docs), fingerprint(*map(plain, docs.columns)).alias("row"))
     t, _, got = _plan(whole.select("d.doc_id", "d.text", "d.source", "row"), F.col("row"), **options)
-    takes = got.join(t.select("row", "start", "size"), ["row", "start"])
-    out = whole.dropDuplicates(["row"]).join(takes.distinct(), "row").orderBy("at", "start", "turn")
+    # by plain columns, so that the texts are dealt by them once for both steps
+    key = [F.col(f"row.{c}").alias(c) for c in ("x", "y")]
+    takes = got.join(t.select("row", "start", "size"), ["row", "start"]).select(*key, "start", "turn", "words", "at", "size").distinct()
+    out = whole.select("d", *key).dropDuplicates(["x", "y"]).join(takes, ["x", "y"]).orderBy("at", "start", "turn")
     cut = F.expr(r"regexp_extract(d.text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', words, '}+'), 0)")
     new = {"text": F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("d.text"))}
     if "n_chars" in docs.columns:

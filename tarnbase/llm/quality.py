@@ -85,18 +85,28 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Logistic:
-    """Ridge logistic regression on standardised columns, by Newton steps."""
+    """Ridge logistic regression on standardised columns, by Newton steps over chunks of rows, so that nothing of the size of the rows is copied."""
 
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
+        n, sums, squares = len(x), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        first = x[:1].astype(np.float64).sum(axis=0)  # differences to a row keep the variance exact
+        for part in self._chunks(x):
+            part -= first
+            sums += part.sum(axis=0)
+            squares += (part * part).sum(axis=0)
+        self.mean = first + sums / n
+        self.scale = np.sqrt(np.maximum(squares / n - (sums / n) ** 2, 0))
         self.scale[self.scale < 1e-9] = 1.0
-        z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale]
-        w = np.zeros(z.shape[1])
-        prior = np.r_[1e-6, np.full(z.shape[1] - 1, ridge)]
+        w = np.zeros(x.shape[1] + 1)
+        prior = np.r_[1e-6, np.full(x.shape[1], ridge)]
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (p - y) + prior * w
-            h = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(prior)
+            g, h, at = prior * w, np.diag(prior), 0
+            for part in self._chunks(x):
+                z = np.c_[np.ones(len(part)), (part - self.mean) / self.scale]
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g = g + z.T @ (p - y[at : at + len(part)])
+                h = h + (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+                at += len(part)
             d = np.linalg.solve(h, g)
             w = w - d * min(1.0, 5 / max(1e-12, np.abs(d).max()))
             if np.abs(d).max() < 1e-7:
@@ -104,9 +114,15 @@ class Logistic:
         self.w = w
         return self
 
+    @staticmethod
+    def _chunks(x: np.ndarray) -> Iterator[np.ndarray]:
+        for i in range(0, len(x), 4096):
+            yield x[i : i + 4096].astype(np.float64)
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         # centred per row: the same whatever rows are scored together
-        return np.clip(((x - self.mean) / self.scale * self.w[1:]).sum(axis=1) + self.w[0], -30, 30)
+        out = [((part - self.mean) / self.scale * self.w[1:]).sum(axis=1) for part in self._chunks(x)]
+        return np.clip(np.concatenate([*out, np.empty(0)]) + self.w[0], -30, 30)
 
 
 class Anchored:
@@ -197,13 +213,20 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        v = np.concatenate(_views(batch), axis=1)
+        v = np.concatenate(_views(batch), axis=1).astype(np.float32)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "v"])
 
 
-def _stacked(rows: list, at: int) -> tuple[np.ndarray, np.ndarray]:
-    v = np.frombuffer(b"".join(r[at] for r in rows), np.float64).reshape(-1, N_TEXT + N_META)
-    return v[:, :N_TEXT], v[:, N_TEXT:]
+def _stacked(t: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
+    """Both views of the rows, and their column y if they have one; they come as Arrow, not as rows of Python objects."""
+    got = t.toArrow()
+    chunks = [np.frombuffer(c.buffers()[2], np.uint8)[_offset(c, 0) : _offset(c, len(c))] for c in got["v"].chunks if len(c)] if len(got) else []
+    v = np.concatenate([*chunks, np.empty(0, np.uint8)]).view(np.float32).reshape(-1, N_TEXT + N_META)
+    return v[:, :N_TEXT], v[:, N_TEXT:], got["y"].to_pylist() if "y" in got.column_names else []
+
+
+def _offset(c: pa.Array, i: int) -> int:
+    return int(np.frombuffer(c.buffers()[1], np.int32 if pa.types.is_binary(c.type) else np.int64)[c.offset + i])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained | None:
@@ -223,11 +246,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained |
     views = lambda t: t.mapInArrow(_packed, "doc_id long, v binary")
     mine = known.where(drawn(F.when(F.col("y") == 1, rate[1]).otherwise(rate[0]))).join(docs.select("doc_id").distinct(), "doc_id")
     # as many as `rows` and CLASS_ROWS allow, so they can be with every task
-    labelled = views(docs.join(F.broadcast(mine), "doc_id", "left_semi")).join(F.broadcast(mine), "doc_id").select("doc_id", "y", "v").orderBy("doc_id", "v").collect()
-    pool = []
+    t, m, y = _stacked(views(docs.join(F.broadcast(mine), "doc_id", "left_semi")).join(F.broadcast(mine), "doc_id").select("doc_id", "y", "v").orderBy("doc_id", "v"))
+    pool_t, pool_m = t[:0], m[:0]
     if sizes.get(None):
-        pool = views(docs.where(drawn(F.lit(min(1.0, rows / sizes[None])), F.coalesce(F.col("doc_id").cast("string"), "text")))).join(known, "doc_id", "left_anti").orderBy("doc_id", "v").collect()
-    model = co_train(*_stacked(labelled, 2), np.array([r["y"] for r in labelled], int), *_stacked(pool, 1))
+        pool = docs.where(drawn(F.lit(min(1.0, rows / sizes[None])), F.coalesce(F.col("doc_id").cast("string"), "text"))).join(known, "doc_id", "left_anti")
+        pool_t, pool_m, _ = _stacked(views(pool).orderBy("doc_id", "v"))
+    model = co_train(t, m, np.array(y, int), pool_t, pool_m)
     if model is not None:
         model.excess = float(np.log(rate[1] / rate[0]))
     return model
