@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     per row: doc_id, n_shingles, component_id, kept. A null, empty or blank
     text has no shingles, links with nothing and is kept. Equal texts are
     linked; ties go to the smallest doc_id. An empty table gives no rows. Rows
-    that repeat a doc_id are one document that is linked by any of its texts.
+    that repeat a doc_id are one document that is linked by any of its texts;
+    a row without words stays alone.
     """
     cut = sketch_cut(percent / 100, samples)
     meta = stage(sketches(docs, width, samples, rows), "meta")
