@@ -300,11 +300,13 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
 
 
 def _promising(rows: DataFrame, cut: int) -> DataFrame:
-    """rows: (key, wi, wj, blk, doc, comp, sketch). The rows that have one of another component within `cut` bits, once for each pair (bi, bj) of small blocks in which they do."""
+    """rows: (key, wi, wj, blk, doc, comp, sketch, bands). The rows that have one of another component within `cut` bits, once for each pair (bi, bj) of small blocks in which they do. Two rows that share several bands meet in several buckets, all of which are compared, as both rows are in them; they count in the bucket of the first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         blk, doc, comp = (pdf[c].to_numpy() for c in ("blk", "doc", "comp"))
         sk = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+        bands = np.stack(pdf["bands"].to_numpy())
+        bands = bands[:, : int(np.flatnonzero(bands[0] == pdf["key"].iat[0])[0])]  # those before this bucket's
         found = []
         same = pdf["wi"].iat[0] == pdf["wj"].iat[0]
         for i in range(0, len(doc), 64):
@@ -314,6 +316,8 @@ def _promising(rows: DataFrame, cut: int) -> DataFrame:
             if not same:
                 ok &= (blk[part, None] // WIDE) != (blk[None, :] // WIDE)
             x, y = np.nonzero(ok)
+            first = ~(bands[x + i] == bands[y]).any(axis=1)
+            x, y = x[first], y[first]
             found.append(np.unique(np.stack([x + i, blk[y]], axis=1), axis=0))
         at, other = np.concatenate(found).T
         return pd.DataFrame({"key": pdf["key"].iat[0], "bi": np.minimum(blk[at], other), "bj": np.maximum(blk[at], other), "blk": blk[at], "doc": doc[at], "comp": comp[at], "sketch": pdf["sketch"].to_numpy()[at]})
@@ -392,9 +396,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     small = rows.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("blk"), "doc", "comp", "sketch")
     small = small.repartition("key").sortWithinPartitions("key")
     near = stage(_compare_blocks(small, cut, percent, whole=False).distinct(), "near")
-    large = rows.where(F.col("c") > SMALL).withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("w", F.expr(f"cast(blk div {WIDE} as int)"))
+    large = rows.where(F.col("c") > SMALL).join(reps.select(F.col("doc_id").alias("doc"), "bands"), "doc").withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("w", F.expr(f"cast(blk div {WIDE} as int)"))
     large = large.withColumn("j", F.explode(F.expr(f"sequence(0, cast((nb - 1) div {WIDE} as int))")))
-    large = stage(_promising(large.select("key", F.least("w", "j").alias("wi"), F.greatest("w", "j").alias("wj"), "blk", "doc", "comp", "sketch"), cut), "large")
+    large = stage(_promising(large.select("key", F.least("w", "j").alias("wi"), F.greatest("w", "j").alias("wj"), "blk", "doc", "comp", "sketch", "bands"), cut), "large")
     sets = sets_of(_ends(near).union(large.select(F.col("doc").alias("id"))).distinct())
     large = large.join(_as_bytes(sets).withColumnRenamed("id", "doc"), "doc").select("key", "bi", "bj", "blk", "doc", "comp", "sketch", "s")
     large = large.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
