@@ -11,8 +11,9 @@ split over many tasks. A block finds candidates by products in single
 precision, with a margin above their rounding, decides in double precision,
 and reports link counts and a local spanning forest, never its pairs.
 
-The number of cells is the one of least work, from the copies that a sample
-would have: more cells mean smaller blocks, but more copies near borders.
+The number of cells is the one of least work, from the copies that rows of a
+sample have which the directions were not fitted on: more cells mean smaller
+blocks, but more copies near borders.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from tarnbase.llm.common import connected_components, small_batches, stage
 FIT_ROWS = 20_000
 #: Directions, at most: bounds what is broadcast. Beyond, cells grow and are compared in more blocks.
 MOST_CELLS = 4096
-LEFT, RIGHT = 1024, 4096
+#: Rows of either side that are compared at once, and numbers of a side that are sent to one task, where that is more.
+LEFT, RIGHT, SENT = 1024, 4096, 1 << 19
 #: Seconds of a row of a cell and of a product, about; only their ratio counts.
 ROW, PRODUCT = 1e-5, 2e-9
 
@@ -96,14 +98,18 @@ def _near(u: np.ndarray, c: np.ndarray, gram: np.ndarray, reach: float) -> tuple
 
 def best_cells(u: np.ndarray, n: int, reach: float) -> int:
     """Of 1, 8, 64, 512 and MOST_CELLS the number of cells that costs least for n vectors like the unit rows of u."""
-    few = u[:: max(1, len(u) // 4096)]
+    fit, other = (x[:: -(-len(x) // 4096)] for x in (u[::2], u[1::2] if len(u) > 1 else u))  # rows that are directions themselves lie far from all borders
+    d = u.shape[1]
     cost = {}
     for k in (1, 8, 64, 512, MOST_CELLS):
-        if k > len(few):
+        if k > len(fit):
             break
-        c = spherical_kmeans(few, k, rounds=2)
-        copies = 1 + np.mean([_near(few[i : i + 256], c, c @ c.T, reach)[1].sum(axis=1).mean() for i in range(0, len(few), 256)])
-        cost[k] = n * copies * (ROW + n / k * PRODUCT * u.shape[1] / 64)
+        c = spherical_kmeans(fit, k, rounds=2)
+        gram = c @ c.T
+        copies = 1 + sum(_near(other[i : i + 256], c, gram, reach)[1].sum() for i in range(0, len(other), 256)) / len(other)
+        home, cell = n / k, n * copies / k
+        sent = math.ceil(cell / max(RIGHT, SENT // d)) + copies * (1 + math.ceil(home / max(LEFT, SENT // d)))
+        cost[k] = n * (sent * ROW + cell * PRODUCT * d / 64)
     return min(cost, key=cost.get)
 
 
@@ -150,11 +156,14 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray,
 
 
 def _block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Compare the left rows (home here) of a block with its right rows; counts of linked vectors and a spanning forest."""
+    """Compare the left rows (home here) of a block with its right rows, LEFT and RIGHT of them at once; counts of linked vectors and spanning forests."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    none = pd.DataFrame({"id": [], "links": [], "to": []})
-    if left.empty or right.empty:
-        return none
+    found = [_compare(left[i : i + LEFT], right[j : j + RIGHT], threshold) for i in range(0, len(left), LEFT) for j in range(0, len(right), RIGHT)]
+    return pd.concat(found) if found else pd.DataFrame({"id": [], "links": [], "to": []})
+
+
+def _compare(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    none = pd.DataFrame({"id": np.empty(0, np.int64), "links": np.empty(0, np.int64), "to": np.empty(0, np.int64)})
     x, y = (_unit(np.frombuffer(b"".join(t["v"])).reshape(len(t), -1)) for t in (left, right))
     xi, yi = left["id"].to_numpy(), right["id"].to_numpy()
     i, j = _linked(x, y, threshold)
@@ -216,7 +225,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
         centres[d] = spherical_kmeans(u, min(cells or best_cells(u, n, reach), len(u)))
     at = stage(_assign(classes, centres, reach), "cells")
     per = at.groupBy("cell").agg(F.count("*").alias("c"), F.count_if(F.size("home") > 0).alias("h"))
-    per = per.select("cell", F.ceil(F.col("h") / LEFT).cast("int").alias("nl"), F.ceil(F.col("c") / RIGHT).cast("int").alias("nr"))
+    most = lambda rows: F.expr(f"greatest({rows}, {SENT} div greatest(cell div {MOST_CELLS * 4}, 1))")  # noqa: E731  cells are named by their dimension
+    per = per.select("cell", F.ceil(F.col("h") / most(LEFT)).cast("int").alias("nl"), F.ceil(F.col("c") / most(RIGHT)).cast("int").alias("nr"))
     t = at.join(F.broadcast(per), "cell").where("nl > 0")  # one row for each of at most MOST_CELLS cells of a dimension
     # a copy carries the name of its own home
     main = t.join(at.where("size(home) > 0").select("id", F.col("cell").alias("main")), "id")

@@ -412,6 +412,27 @@ def test_crowded_cell_is_split(spark, monkeypatch):
     assert [got[i] for i in range(300)] == ((u @ u.T >= 0.995).sum(axis=1) - 1).tolist()
 
 
+def test_cell_of_several_tasks(spark, monkeypatch):
+    for name, rows in (("LEFT", 20), ("RIGHT", 30), ("SENT", 8 * 70)):
+        monkeypatch.setattr(vectordedup, name, rows)
+    rng = np.random.default_rng(1)
+    x = np.ones((300, 8)) + 0.05 * rng.standard_normal((300, 8))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {r["vec_id"]: r["n_links"] for r in vectordedup.near_vectors(t, threshold=0.995, cells=4).collect()}
+    assert [got[i] for i in range(300)] == ((u @ u.T >= 0.995).sum(axis=1) - 1).tolist()
+
+
+def test_cells_only_where_they_have_few_copies():
+    rng = np.random.default_rng(1)
+    u = vectordedup._unit(rng.standard_normal((8000, 64)))
+    centres = vectordedup._unit(rng.standard_normal((500, 64)))
+    near = vectordedup._unit(centres[rng.integers(0, 500, 8000)] + 0.03 * rng.standard_normal((8000, 64)))
+    reach = np.sqrt(0.1) / 2
+    assert vectordedup.best_cells(u, 50_000, reach) <= 8
+    assert vectordedup.best_cells(near, 1_000_000, reach) >= 64
+
+
 def test_nearest(spark):
     x, t = vectors(spark, 600)
     got = defaultdict(list)
