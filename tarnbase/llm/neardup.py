@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import connected_components, nested, small_batches, stage
+from tarnbase.llm.common import connected_components, forget, nested, remembered, small_batches, stage
 
 SKETCH_BITS = 512
 SAMPLES, ROWS = 128, 4
@@ -60,7 +60,6 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
 _M1, _M2, _MUL = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,7 +76,7 @@ def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(remembered(("shingles",), _Hashes).__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         n = max(1, len(h) - width + 1)
         used = min(width, len(h))
@@ -229,14 +228,22 @@ def _ends(pairs: DataFrame) -> DataFrame:
 STEP = 200
 
 
+#: Pairs of a block whose sizes, bands or common members are looked up at a time; bounds a worker's memory.
+SLAB = 1 << 15
+
+
 def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs (i, j) of sorted sets reach the similarity: by matrix products over the members that several sets have where that is less work, one by one otherwise."""
     size = np.array([len(s) for s in sets])
-    fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-    got = np.zeros(len(i), np.int64)
+    slabs = [slice(k, k + SLAB) for k in range(0, len(i), SLAB)]
+    fits, steps = np.empty(len(i), bool), 0
+    for k in slabs:
+        a, b = size[i[k]], size[j[k]]
+        fits[k] = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        steps += 1000 * int(fits[k].sum()) + int((a + b)[fits[k]].sum())
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, common = np.repeat(np.arange(len(sets)), size), np.flatnonzero(times > 1)
-    if len(common) * len(sets) ** 2 <= STEP * (1000 * fits.sum() + (size[i] + size[j])[fits].sum()):
+    if len(common) * len(sets) ** 2 <= STEP * steps:
         number = np.full(len(times), -1)
         number[common] = np.arange(len(common))
         row, at = row[number[at] >= 0], number[at[number[at] >= 0]]
@@ -248,11 +255,28 @@ def _alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -
             m = np.zeros((len(sets), min(wide, len(common) - k)), np.float32)
             m[row[here], at[here] - k] = 1
             product += m @ m.T
-        got = np.rint(product[i, j]).astype(np.int64)
+        for k in slabs:
+            got = np.rint(product[i[k], j[k]]).astype(np.int64)
+            fits[k] &= 100 * got >= percent * (size[i[k]] + size[j[k]] - got)
     else:
         for k in np.flatnonzero(fits):
-            got[k] = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
-    return fits & (100 * got >= percent * (size[i] + size[j] - got))
+            got = len(np.intersect1d(sets[i[k]], sets[j[k]], assume_unique=True))
+            fits[k] = 100 * got >= percent * (size[i[k]] + size[j[k]] - got)
+    return fits
+
+
+def _one_of_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where each unordered pair of the labels a[k], b[k] stands first."""
+    names = np.union1d(a, b)
+    met, first = np.zeros((len(names), len(names)), bool), []
+    for k in range(0, len(a), SLAB):
+        x, y = np.searchsorted(names, a[k : k + SLAB]), np.searchsorted(names, b[k : k + SLAB])
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        new = np.flatnonzero(~met[x, y])
+        _, at = np.unique(x[new] * len(names) + y[new], return_index=True)
+        met[x[new], y[new]] = True
+        first.append(k + new[at])
+    return np.concatenate(first)
 
 
 def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> DataFrame:
@@ -266,13 +290,16 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
             ok[part] &= comp[part, None] != comp[None, :]
             if not same:
                 ok[part] &= blk[part, None] != blk[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
+        for k in range(len(doc)):
+            ok[k, : k + 1] = False
+        i, j = (x.astype(np.int32) for x in np.nonzero(ok))
         if sets is not None and len(i):
             good = _alike(sets, i, j, percent)
             i, j = i[good], j[good]
             # one pair of any two components is all that merging them takes
-            _, k = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])]), axis=1, return_index=True)
-            i, j = i[k], j[k]
+            if len(i):
+                k = _one_of_each(comp[i], comp[j])
+                i, j = i[k], j[k]
         return np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +323,7 @@ def _compare_blocks(rows: DataFrame, cut: int, percent: int, whole: bool) -> Dat
             got = np.unique(np.stack([a, b], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
+        forget()
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -321,6 +349,7 @@ def _promising(rows: DataFrame, cut: int) -> DataFrame:
     """rows: (key, wi, wj, blk, per, doc, comp, sketch, bands), `per` blocks in one of sketches. The rows that have one of another component within `cut` bits, once for each pair (bi, bj) of blocks in which they do. Two rows that share several bands meet in several buckets, all of which are compared, as both rows are in them; they count in the bucket of the first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
         blk, doc, comp = (pdf[c].to_numpy() for c in ("blk", "doc", "comp"))
         sk = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
         bands = np.stack(pdf["bands"].to_numpy())
@@ -334,7 +363,7 @@ def _promising(rows: DataFrame, cut: int) -> DataFrame:
             if not same:
                 ok &= (blk[part, None] // per) != (blk[None, :] // per)
             x, y = np.nonzero(ok)
-            first = ~(bands[x + i] == bands[y]).any(axis=1)
+            first = np.concatenate([~(bands[x[k : k + SLAB] + i] == bands[y[k : k + SLAB]]).any(axis=1) for k in range(0, len(x), SLAB)] + [np.empty(0, bool)])
             x, y = x[first], y[first]
             found.append(np.unique(np.stack([x + i, blk[y]], axis=1), axis=0))
         at, other = np.concatenate(found).T

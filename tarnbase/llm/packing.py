@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import small_batches, stage
+from tarnbase.llm.common import remembered, small_batches, stage
 
 CAPACITY = 4096
 #: Pieces of a group, about.
 GROUP = 1000
 #: Parts of words a worker remembers the ids of.
 REMEMBER = 700_000
-_CODEC: dict = {}
 #: Texts of these characters alone are stable under NFC, keep their code range when lower-cased, and have the same letters, numbers and spaces for Python as for the vocabulary's pattern; any other text takes the slower way.
 _PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027]*")
 _L, _N = "a-zªµºß-öø-\u017f", "0-9²³¹¼½¾"
@@ -92,10 +91,8 @@ class _Known(dict):
 
 
 def _codec(path: str, end_id: int) -> Codec:
-    if (path, end_id) not in _CODEC:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _CODEC[path, end_id] = Codec(path, end_id)
-    return _CODEC[path, end_id]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return remembered(("codec", path, end_id), lambda: Codec(path, end_id))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

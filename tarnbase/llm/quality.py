@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import small_batches
+from tarnbase.llm.common import forget, small_batches
 
 #: Labelled rows that the views are fitted on, and rows of the pool, about.
 FIT_ROWS = 40_000
@@ -212,6 +212,7 @@ def co_train(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, po
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         v = np.concatenate(_views(batch), axis=1).astype(np.float32)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "v"])
@@ -277,6 +278,7 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out = shared.value.score(*_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.round(x, 9)) for x in out)], names=["doc_id", "text_score", "meta_score", "score"])
@@ -298,6 +300,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, least: f
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             nulls = pa.nulls(batch.num_rows)
             view = pa.RecordBatch.from_arrays([batch.column(names.index(c)) if c in names else nulls for c in ("doc_id", "text", "source", "lang", "n_chars")], names=["doc_id", "text", "source", "lang", "n_chars"])
