@@ -115,8 +115,10 @@ class Lexicon:
 
     def groups(self, words: list[str], ids: np.ndarray) -> np.ndarray:
         """The group of each word."""
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        return np.where(ids >= 0, self.leaves[ids] if len(self.leaves) else 0, LEAVES - REST + rest_group(n))
+        rare = np.flatnonzero(ids < 0)
+        out = self.leaves[ids] if len(self.leaves) else np.empty(len(ids), np.int64)
+        out[rare] = LEAVES - REST + rest_group(np.fromiter((len(words[k]) for k in rare.tolist()), np.int64, len(rare)))
+        return out
 
     def spelled(self, words: list[str]) -> np.ndarray:
         """log P(word | group) of words that no other document has: letter by letter."""
@@ -160,10 +162,11 @@ def _context(leaves: np.ndarray) -> np.ndarray:
 
 
 def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
-    h = w[0][0][ctx[:, 0]]
+    h = w[0][0].take(ctx[:, 0], axis=0)
     for i in range(1, 2 * SIDE):
-        h = h + w[0][i][ctx[:, i]]
-    return np.tanh(h + w[1])
+        h += w[0][i].take(ctx[:, i], axis=0)
+    h += w[1]
+    return np.tanh(h, out=h)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -240,13 +243,18 @@ def sgd(w: Weights, past: Weights, ctx: np.ndarray, leaf: np.ndarray, rate: floa
     for a, sq, g in steps:
         sq += g * g
         a -= rate * g / np.sqrt(sq + 1e-8)
-    for i in range(2 * SIDE):
-        order = np.argsort(ctx[:, i].astype(np.uint16), kind="stable")
-        seen = ctx[order, i]
-        first = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-        g, at = np.add.reduceat(back[order], first, axis=0), seen[first]
-        past[0][i][at] += g * g
-        w[0][i][at] -= rate * g / np.sqrt(past[0][i][at] + 1e-8)
+    # all sides at once: row i * (LEAVES + 1) + group of the tables that lie one after the other
+    key = (ctx + np.arange(2 * SIDE) * (LEAVES + 1)).T.ravel()
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    seen = key.take(order)
+    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+    at = seen.take(first)
+    g = np.add.reduceat(back.take(order % n, axis=0), first, axis=0)
+    table, sq = w[0].reshape(-1, HIDDEN), past[0].reshape(-1, HIDDEN)
+    now = sq.take(at, axis=0)
+    now += g * g
+    sq[at] = now
+    table[at] -= rate * g / np.sqrt(now + 1e-8)
 
 
 def _pack(w: Weights) -> bytes:

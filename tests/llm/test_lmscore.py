@@ -177,3 +177,18 @@ def test_weights_are_added_in_parts(spark, monkeypatch):
     got = L._sum_in_order(spark.createDataFrame(rows, "part int, n long, w binary"))
     want = [sum((i + 1) * x[k] for i, x in enumerate(w)) / 28 for k in range(6)]
     assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip(got, want, strict=True))
+
+
+def test_only_words_outside_the_table_are_measured():
+    """Lengths of the table's words aren't taken: those are most words, and the table has their groups."""
+
+    class Word(str):
+        def __len__(self):
+            raise AssertionError("a word of the table was measured")
+
+    lex = L.Lexicon(["the", "of"], [60, 50], [1] * L.REST, {}, np.zeros((2, 2)), {}, None)
+    words = [Word("of"), "seventh", Word("the")]
+    assert lex.groups(words, np.array([1, -1, 0])).tolist() == [1, L.LEAVES - L.REST + 1, 0]
+    none = L.Lexicon([], [], [1] * L.REST, {}, np.zeros((2, 2)), {}, None)
+    assert none.groups(["x"], np.array([-1])).tolist() == [L.LEAVES - L.REST]
+    assert none.groups([], np.array([], np.int64)).tolist() == []
