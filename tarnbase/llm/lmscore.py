@@ -63,6 +63,8 @@ COUNTED = 200_000
 CHARS = 400
 #: Tokens that are scored together; bounds a worker's memory.
 TOGETHER = 65_536
+#: Rows whose exponentials are held at once when scoring; they fit a core's cache.
+SCORED = 1024
 #: Weights that are added up in one task.
 ADDED = 32
 
@@ -154,11 +156,21 @@ def start_weights(lex: Lexicon | None = None, seed: int = 3) -> Weights:
     ]
 
 
+def _lined(docs: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Documents one after the other, with edges between them, and where each begins."""
+    edge = np.full(SIDE, EDGE)
+    whole = np.concatenate([x for d in docs for x in (edge, d)] + [edge]).astype(np.int64)
+    return whole, np.cumsum([SIDE] + [len(d) + SIDE for d in docs[:-1]]).tolist()
+
+
+def _around(whole: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups around places of documents in a line, those of one side together, and the groups at them."""
+    return np.stack([whole.take(at + k) for k in range(-SIDE, SIDE + 1) if k]).T, whole.take(at)
+
+
 def _context(leaves: np.ndarray) -> np.ndarray:
     """The groups around every position."""
-    p = np.concatenate([np.full(SIDE, EDGE), leaves, np.full(SIDE, EDGE)])
-    n = len(leaves)
-    return np.stack([p[i : i + n] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
+    return _around(_lined([leaves])[0], np.arange(len(leaves)) + SIDE)[0]
 
 
 def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
@@ -166,95 +178,107 @@ def _hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     for i in range(1, 2 * SIDE):
         h += w[0][i].take(ctx[:, i], axis=0)
     h += w[1]
-    return np.tanh(h, out=h)
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place."""
-    z -= z.max(axis=-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=-1, keepdims=True)
-    return z
+    # tanh as 1 - 2 / (1 + exp(2 x)), since numpy's exp is faster; from 40 on it is 1
+    np.minimum(h, 40, out=h)
+    h += h
+    np.exp(h, out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
+    return h
+
+
+def _exp(z: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of z and their sums by row. Where those might not be finite, each row's maximum is taken from z first, in place."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z, out=out)
+    return e, e @ np.ones(z.shape[1], np.float32)
 
 
-def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rows whose class has groups; their class and their place among the rows of that class, and the most rows of one."""
-    rows = np.flatnonzero((cls >= OWN) & (cls < OWN + SHARED))
-    rows = rows[np.argsort(cls[rows].astype(np.uint8), kind="stable")]
-    s = cls[rows] - OWN
-    n = np.bincount(s, minlength=SHARED)
-    return rows, s, np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n), int(n.max(initial=0))
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows whose class has groups, class by class; the classes that have rows, and where those begin and end."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(cls.take(order), np.arange(OWN, OWN + SHARED + 1)).tolist()
+    return order[cuts[0] : cuts[-1]], [(c, a - cuts[0], b - cuts[0]) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
 
 def leaf_logprob(w: Weights, ctx: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """log P(group | context) of every row."""
-    out = np.empty(len(leaf), np.float32)
-    for i in range(0, len(leaf), 4096):
-        l = leaf[i : i + 4096]
-        h, cls = _hidden(w, ctx[i : i + 4096]), CLASS_OF[l]
-        z = h @ w[2] + w[3]
-        z -= z.max(axis=1, keepdims=True)
-        got = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
-        rows, s, k, most = _by_class(cls)
-        if most:
-            each = np.zeros((SHARED, most, HIDDEN), np.float32)
-            each[s, k] = h[rows]
-            q = np.matmul(each, w[4]) + w[5][:, None]
-            q -= q.max(axis=2, keepdims=True)
-            got[rows] += q[s, k, GROUP_OF[l[rows]]] - np.log(np.exp(q).sum(axis=2))[s, k]
-        out[i : i + 4096] = got
+    n, cls = len(leaf), CLASS_OF.take(leaf)
+    out, h = np.empty(n, np.float32), np.empty((n, HIDDEN), np.float32)
+    for i in range(0, n, SCORED):
+        h[i : i + SCORED] = _hidden(w, ctx[i : i + SCORED])
+        z = h[i : i + SCORED] @ w[2]
+        z += w[3]
+        total = _exp(z)[1]
+        out[i : i + SCORED] = z[np.arange(len(z)), cls[i : i + SCORED]] - np.log(total)
+    rows, classes = _by_class(cls)
+    for c, a, b in classes:
+        for i in range(a, b, SCORED):
+            r = rows[i : min(i + SCORED, b)]
+            z = h.take(r, axis=0) @ w[4][c]
+            z += w[5][c]
+            total = _exp(z)[1]
+            out[r] += z[np.arange(len(z)), GROUP_OF.take(leaf.take(r))] - np.log(total)
     return out
 
 
 def document_sums(w: Weights, docs: list[np.ndarray]) -> np.ndarray:
     """Summed log-probabilities of the groups of several documents, scored together; each sees only its own words."""
-    edge = np.full(SIDE, EDGE)
-    whole = np.concatenate([x for d in docs for x in (edge, d)] + [edge]).astype(np.int64)
-    at = np.concatenate([np.arange(len(d)) + o for d, o in zip(docs, np.cumsum([SIDE] + [len(d) + SIDE for d in docs[:-1]]), strict=True)]).astype(np.int64)
+    whole, start = _lined(docs)
+    at = np.concatenate([np.arange(o, o + len(d)) for d, o in zip(docs, start, strict=True)])
     lp = np.zeros(len(at))
-    for i in range(0, len(at), 4096):
-        rows = at[i : i + 4096]
-        lp[i : i + 4096] = leaf_logprob(w, np.stack([whole[rows + k] for k in range(-SIDE, SIDE + 1) if k], axis=1), whole[rows])
+    for i in range(0, len(at), TOGETHER):
+        lp[i : i + TOGETHER] = leaf_logprob(w, *_around(whole, at[i : i + TOGETHER]))
     return np.array([x.sum() for x in np.split(lp, np.cumsum([len(d) for d in docs])[:-1])])
 
 
 def sgd(w: Weights, past: Weights, ctx: np.ndarray, leaf: np.ndarray, rate: float = 0.08) -> None:
     """One Adagrad step, in place; past holds the squared sums."""
-    n = len(leaf)
-    cls, h = CLASS_OF[leaf], _hidden(w, ctx)
-    p = _softmax(h @ w[2] + w[3])
-    p[np.arange(n), cls] -= 1
-    p /= n
+    n, ones = len(leaf), np.ones(len(leaf), np.float32)
+    cls, h = CLASS_OF.take(leaf), _hidden(w, ctx)
+    z = h @ w[2]
+    z += w[3]
+    p, total = _exp(z, z)
+    p *= (1 / (n * total))[:, None]
+    p[np.arange(n), cls] -= 1 / n
     back = p @ w[2].T
-    steps = [(w[2], past[2], h.T @ p), (w[3], past[3], p.sum(axis=0))]
-    rows, s, k, most = _by_class(cls)
-    if most:
-        each = np.zeros((SHARED, most, HIDDEN), np.float32)
-        each[s, k] = h[rows]
-        real = np.zeros((SHARED, most, 1), np.float32)
-        real[s, k] = 1 / n
-        q = _softmax(np.matmul(each, w[4]) + w[5][:, None])
-        q *= real
-        q[s, k, GROUP_OF[leaf[rows]]] -= 1 / n
-        back[rows] += np.matmul(q, w[4].transpose(0, 2, 1))[s, k]
-        steps += [(w[4], past[4], np.matmul(each.transpose(0, 2, 1), q)), (w[5], past[5], q.sum(axis=1))]
-    back *= 1 - h * h
-    steps.append((w[1], past[1], back.sum(axis=0)))
+    steps = [(w[2], past[2], h.T @ p), (w[3], past[3], ones @ p)]
+    rows, classes = _by_class(cls)
+    if classes:
+        # each class has as many rows as it has, in one array
+        own = h.take(rows, axis=0)
+        z = np.empty((len(rows), GROUPS), np.float32)
+        for c, a, b in classes:
+            np.matmul(own[a:b], w[4][c], out=z[a:b])
+            z[a:b] += w[5][c]
+        q, total = _exp(z, z)
+        q *= (1 / (n * total))[:, None]
+        q[np.arange(len(rows)), GROUP_OF.take(leaf.take(rows))] -= 1 / n
+        groups, bias = np.zeros_like(w[4]), np.zeros_like(w[5])
+        for c, a, b in classes:
+            np.matmul(own[a:b].T, q[a:b], out=groups[c])
+            np.matmul(ones[a:b], q[a:b], out=bias[c])
+            np.matmul(q[a:b], w[4][c].T, out=own[a:b])
+        back[rows] += own
+        steps += [(w[4], past[4], groups), (w[5], past[5], bias)]
+    h *= h
+    back *= 1 - h
+    steps.append((w[1], past[1], ones @ back))
+    # all sides at once: row i * (LEAVES + 1) + group of the tables that lie one after the other. Two columns are a complex number, so that half as many are added
+    key = (ctx.T + np.arange(2 * SIDE)[:, None] * (LEAVES + 1)).ravel()
+    table = np.zeros((HIDDEN // 2, w[0].size // HIDDEN), np.complex64)
+    for column, values in zip(table, np.tile(back.view(np.complex64).T, (1, 2 * SIDE)), strict=True):
+        np.add.at(column, key, values)
+    steps.append((w[0], past[0], np.ascontiguousarray(table.T).view(np.float32).reshape(w[0].shape)))
     for a, sq, g in steps:
-        sq += g * g
-        a -= rate * g / np.sqrt(sq + 1e-8)
-    # all sides at once: row i * (LEAVES + 1) + group of the tables that lie one after the other
-    key = (ctx + np.arange(2 * SIDE) * (LEAVES + 1)).T.ravel()
-    order = np.argsort(key.astype(np.uint16), kind="stable")
-    seen = key.take(order)
-    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-    at = seen.take(first)
-    g = np.add.reduceat(back.take(order % n, axis=0), first, axis=0)
-    table, sq = w[0].reshape(-1, HIDDEN), past[0].reshape(-1, HIDDEN)
-    now = sq.take(at, axis=0)
-    now += g * g
-    sq[at] = now
-    table[at] -= rate * g / np.sqrt(now + 1e-8)
+        x = g * g
+        sq += x
+        np.sqrt(np.add(sq, 1e-8, out=x), out=x)
+        g *= rate
+        g /= x
+        a -= g
 
 
 def _pack(w: Weights) -> bytes:
@@ -384,16 +408,20 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int =
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, begin=begin) -> Iterator[pa.RecordBatch]:
             part, w, past = None, [], []
-            seen, ctxs, goals, held = 0, [], [], 0
+            seen, docs, held = 0, [], 0
+            ctx = goal = None
 
             def step(least: int) -> None:
                 """Train on what is held, in batches, until fewer than `least` positions are left."""
-                nonlocal ctxs, goals, held
-                ctx, goal = np.concatenate(ctxs), np.concatenate(goals)
+                nonlocal docs, ctx, goal, held
+                if docs:
+                    whole, start = _lined(docs)
+                    new = _around(whole, np.concatenate([np.arange(o + turn % stride, o + len(d), stride) for d, o in zip(docs, start, strict=True)]))
+                    ctx, goal = new if goal is None else (np.concatenate([ctx.T, new[0].T], axis=1).T, np.concatenate([goal, new[1]]))
                 while len(goal) >= least:
                     sgd(w, past, ctx[:BATCH], goal[:BATCH])
                     ctx, goal = ctx[BATCH:], goal[BATCH:]
-                ctxs, goals, held = [ctx], [goal], len(goal)
+                docs, held = [], len(goal)
 
             def close() -> Iterator[pa.RecordBatch]:
                 if held:
@@ -405,14 +433,14 @@ def train(encoded: DataFrame, lex: Lexicon, rounds: int = ROUNDS, stride: int =
                 for p, leaves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if p != part:
                         yield from close()
-                        part, w, seen, ctxs, goals, held = p, _unpack(begin.value), 0, [], [], 0
-                        past = [np.full_like(x, 1e-3) for x in w]
-                    leaf = np.frombuffer(leaves, "<u2").astype(np.int64)
-                    at = np.arange(turn % stride, len(leaf), stride)
+                        part, w, seen, docs, held = p, _unpack(begin.value), 0, [], 0
+                        past, ctx, goal = [np.full_like(x, 1e-3) for x in w], None, None
+                    leaf = np.frombuffer(leaves, "<u2")
+                    targets = len(range(turn % stride, len(leaf), stride))
                     seen += len(leaf)
-                    if len(at):
-                        ctxs.append(_context(leaf)[at]), goals.append(leaf[at])
-                        held += len(at)
+                    if targets:
+                        docs.append(leaf)
+                        held += targets
                     if held >= 8 * BATCH:
                         step(BATCH)
             yield from close()

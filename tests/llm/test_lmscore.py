@@ -192,3 +192,45 @@ def test_only_words_outside_the_table_are_measured():
     none = L.Lexicon([], [], [1] * L.REST, {}, np.zeros((2, 2)), {}, None)
     assert none.groups(["x"], np.array([-1])).tolist() == [L.LEAVES - L.REST]
     assert none.groups([], np.array([], np.int64)).tolist() == []
+
+
+def test_a_step_takes_each_row_once_however_words_are_spread(monkeypatch):
+    """Exponentials of a step and of scoring: at most a row of classes and a row of groups for each word, also when all words are of one class."""
+    taken, exp = [], np.exp
+    monkeypatch.setattr(L.np, "exp", lambda x, **to: (taken.append(np.size(x)), exp(x, **to))[1])
+    w = L.start_weights()
+    leaf = np.random.default_rng(1).integers(L.OWN, L.OWN + L.GROUPS, 500)
+    each = 500 * (L.HIDDEN + L.CLASSES + L.GROUPS)
+    L.leaf_logprob(w, L._context(leaf), leaf)
+    assert sum(taken) <= each
+    taken.clear()
+    L.sgd(w, [np.full_like(x, 1e-3) for x in w], L._context(leaf), leaf)
+    assert sum(taken) <= each
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_a_step_follows_the_gradient(scale):
+    """Against differences of the summed log-probabilities; with large weights, against a softmax in double precision."""
+    rng = np.random.default_rng(6)
+    w = [x * scale for x in L.start_weights()]
+    leaf = rng.integers(0, L.LEAVES, 400)
+    ctx = L._context(leaf)
+    e, b1, w2, b2, w3, b3 = (x.astype(float) for x in w)
+    h = np.tanh(sum(e[i, ctx[:, i]] for i in range(2 * L.SIDE)) + b1)
+    log = lambda z: z - z.max(axis=1, keepdims=True) - np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+    want, every = log(h @ w2 + b2)[np.arange(400), L.CLASS_OF[leaf]], np.arange(400)
+    of = np.clip(L.CLASS_OF[leaf] - L.OWN, 0, L.SHARED - 1)
+    inner = log(np.einsum("nh,nhg->ng", h, w3[of]) + b3[of])[every, L.GROUP_OF[leaf]]
+    want += np.where((leaf >= L.OWN) & (leaf < L.LEAVES - L.REST), inner, 0)
+    got = L.leaf_logprob(w, ctx, leaf)
+    assert np.isfinite(got).all() and got == pytest.approx(want, rel=1e-4, abs=1e-3)
+    past, before = [np.full_like(x, 1e6) for x in w], [x.copy() for x in w]
+    L.sgd(w, past, ctx, leaf, rate=1e3)  # so much is in past that the step is the gradient
+    assert all(np.isfinite(x).all() for x in w)
+    if scale == 1:
+        mean = lambda ws: L.leaf_logprob(ws, ctx, leaf).sum(dtype=float) / 400
+        for k, (a, b) in enumerate(zip(before, w, strict=True)):
+            step = (b - a).astype(float)
+            along = lambda t: mean([x + np.float32(t) * step.astype(np.float32) if i == k else x for i, x in enumerate(before)])  # noqa: B023, E731
+            t = 0.02 / max(1e-9, np.abs(step).max())
+            assert (along(t) - along(-t)) / (2 * t) == pytest.approx((step**2).sum(), rel=0.05)
