@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbase.llm.common import connected_components, forget, nested, remembered, small_batches, stage
+from tarnbase.llm.common import connected_components, forget, nested, release, remembered, small_batches, stage, tidied
 
 SKETCH_BITS = 512
 SAMPLES, ROWS = 128, 4
@@ -383,22 +383,15 @@ def _as_bytes(sets: DataFrame) -> DataFrame:
     return sets.select("id", "s").mapInArrow(run, "id long, s binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
-    """Components of documents linked by the Jaccard similarity of their word shingles.
-
-    docs: doc_id (integer), text; other columns are ignored. Returns one row
-    per row: doc_id, n_shingles, component_id, kept. A null, empty or blank
-    text has no shingles, links with nothing and is kept. Equal texts are
-    linked; ties go to the smallest doc_id. An empty table gives no rows. Rows
-    that repeat a doc_id are one document that is linked by any of its texts;
-    a row without words stays alone.
-    """
+def _linked(docs: DataFrame, percent: int, width: int, samples: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Staged tables: the documents with their nodes and sketches, classes of equal sets, components of nodes, and which of these components further links merge."""
     cut = sketch_cut(percent / 100, samples)
     meta = stage(sketches(docs, width, samples, rows), "meta")
     fps = ["fp1", "fp2", "n_shingles"]
     # a document is a node of its own id; a repeated id's further texts are nodes beyond all ids, linked to it
-    several = meta.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*fps)).alias("lo"), F.max(F.struct(*fps)).alias("hi")).where("lo <> hi")
-    several = stage(several.select("doc_id", "lo"), "several")
+    repeated = meta.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct(*fps)).alias("lo"), F.max(F.struct(*fps)).alias("hi"), F.count("*").alias("c")).where("c > 1")
+    repeated = stage(repeated.select("doc_id", "lo", F.expr("lo <> hi").alias("differ")), "repeated")
+    several = repeated.where("differ").select("doc_id", "lo")
     more = None
     if several.isEmpty():
         meta = meta.withColumn("node", F.col("doc_id"))
@@ -408,19 +401,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
         more = stage(more.withColumn("node", F.lit(top) + F.monotonically_increasing_id()), "more")
         meta = meta.join(more, ["doc_id", *fps], "left").withColumn("node", F.coalesce("node", "doc_id"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
         if more is None:
-            return stage(_sets(docs, ids, width), "sets")
+            return stage(_sets(docs, ids, width), name)
         known = ids.join(more.select(F.col("node").alias("id"), "doc_id"), "id", "left").select(F.coalesce("doc_id", "id").alias("id")).distinct()
         got = _sets(docs, known, width).join(more.select(F.col("doc_id").alias("id"), F.col("fp1").alias("fp"), "node"), ["id", "fp"], "left")
-        return stage(got.select(F.coalesce("node", "id").alias("id"), "fp", "s").dropDuplicates(["id"]), "sets")
+        return stage(got.select(F.coalesce("node", "id").alias("id"), "fp", "s").dropDuplicates(["id"]), name)
 
     full = meta.where("n_shingles > 0")
     classes = full.groupBy(*fps).agg(F.min("node").alias("rep"), F.count("*").alias("c"))
     copies = stage(classes.where("c > 1").select(*fps, "rep"), "copies")
     # representatives: all but the copies that are not the smallest node of their class
     tagged = full.join(copies, fps, "left").where("rep is null or rep = node")
-    reps = stage(tagged.select(F.col("node").alias("doc_id"), "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
+    reps = tagged.where("node is not null").select(F.col("node").alias("doc_id"), "n_shingles", "bands", "sketch")
+    # only rows that repeat an id with its text can be of one node; without them the sketches need no shuffle for that
+    reps = stage(reps if repeated.isEmpty() else reps.dropDuplicates(["doc_id"]), "reps")
 
     spread = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("doc").alias("lead"), F.count("*").alias("c")).where("c > 1")
@@ -428,12 +423,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
 
     star = member.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     star = stage(_passing(star, reps, cut), "star")
-    links = confirm(star, sets_of(_ends(star)), percent)
+    sets = sets_of(_ends(star), "sets")
+    links = confirm(star, sets, percent)
     if more is not None:
         of_one = meta.where("node <> doc_id").join(copies, fps, "left").select(F.coalesce("rep", "node").alias("a"), "doc_id", "node")
         first = meta.where("node = doc_id").join(copies, fps, "left").select("doc_id", F.coalesce("rep", "node").alias("b")).distinct()
         links = links.union(of_one.join(first, "doc_id").select("a", "b")).union(of_one.select("a", "doc_id")).distinct()
     comps = stage(connected_components(links), "comps")
+    release(sets)
 
     at = member.join(comps, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("comp"))
     at = stage(at, "at")
@@ -450,7 +447,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     large = rows.where(F.col("c") > SMALL).join(each, "doc").withColumn("blk", F.expr("cast(pmod(xxhash64(doc), nb) as int)")).withColumn("w", F.expr("cast(blk div per as int)"))
     large = large.withColumn("j", F.explode(F.expr("sequence(0, cast((nb - 1) div per as int))")))
     large = stage(_promising(large.select("key", F.least("w", "j").alias("wi"), F.greatest("w", "j").alias("wj"), "blk", "per", "doc", "comp", "sketch", "bands"), cut), "large")
-    sets = sets_of(_ends(near).union(large.select(F.col("doc").alias("id"))).distinct())
+    release(reps)
+    sets = sets_of(_ends(near).union(large.select(F.col("doc").alias("id"))).distinct(), "more_sets")
     large = large.join(_as_bytes(sets).withColumnRenamed("id", "doc"), "doc").select("key", "bi", "bj", "blk", "doc", "comp", "sketch", "s")
     large = large.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     far = _compare_blocks(large, cut, percent, whole=True)
@@ -459,9 +457,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples:
     of = comps.select("node", "component")
     ends = rest.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = stage(connected_components(ends.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))), "merged")
-    merged = merged.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
+    release(sets)
+    return meta, copies, comps, merged
+
 
-    out = meta.join(copies, fps, "left").select("doc_id", "n_shingles", F.coalesce("rep", "node").alias("rep"))
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, samples: int = SAMPLES, rows: int = ROWS) -> DataFrame:
+    """Components of documents linked by the Jaccard similarity of their word shingles.
+
+    docs: doc_id (integer), text; other columns are ignored. Returns one row
+    per row: doc_id, n_shingles, component_id, kept. A null, empty or blank
+    text has no shingles, links with nothing and is kept. Equal texts are
+    linked; ties go to the smallest doc_id. An empty table gives no rows. Rows
+    that repeat a doc_id are one document that is linked by any of its texts;
+    a row without words stays alone.
+    """
+    with tidied(docs.sparkSession):
+        meta, copies, comps, merged = _linked(docs, percent, width, samples, rows)
+    merged = merged.select(F.col("node").alias("c1"), F.col("component").alias("c2"))
+    out = meta.join(copies, ["fp1", "fp2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "node").alias("rep"))
     out = out.join(comps, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("c0"))
     out = out.join(merged, F.col("c0") == F.col("c1"), "left").select("doc_id", "n_shingles", F.coalesce("c2", "c0").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

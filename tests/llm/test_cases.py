@@ -1,9 +1,12 @@
 """Names that clash, nulls in any column, repeats, hot groups, empty tables: each has the result that the docstrings state."""
 
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -119,6 +122,33 @@ def test_ids_beyond_the_filter_are_joined(spark, monkeypatch):
     assert {got[i] for i in range(40)} == {0}
 
 
+def shuffled(spark):
+    """Names of the shuffle files that are there."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {str(files.apply(i).getName()) for i in range(files.size()) if str(files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_near_duplicates_leave_no_shuffle_files_and_sets(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:k], f"e{k}", *words[k + 1 :]]) for k in range(20)] + ["alone among the others, of other words"] * 2 + [None]
+    # the last row repeats an id and its text
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    before, tables, was = shuffled(spark), Path(common.shared_folder(spark), "tarnbase"), spark.conf.get(common.CLEANUP)
+    there = set(os.listdir(tables)) if tables.exists() else set()
+    got = neardup.near_duplicates(docs)
+    for _ in range(50):  # executors remove files in their own time
+        if not (left := shuffled(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    made = {x.rpartition("-")[0] for x in set(os.listdir(tables)) - there}
+    assert "meta" in made and not made & {"reps", "sets", "more_sets"}
+    assert spark.conf.get(common.CLEANUP) == was
+    want = sorted([(k, 0) for k in range(20)] + [(20, 20), (21, 20), (22, 22), (0, 0)])
+    for _ in range(2):
+        assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == want
+
+
 def test_repeated_vectors_are_one(spark):
     v, w = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
     t = spark.createDataFrame([(1, v), (1, v), (2, w), (3, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
